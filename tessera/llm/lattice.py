@@ -47,12 +47,12 @@ class Lattice:
             raise ValueError("pieces must be distinct")
         bits, left, self.levels = 20, np.arange(len(keys)), []
         while len(left):
-            shift = np.uint64(64 - bits)
-            slots = (keys[left] * MIX + np.uint64(len(self.levels)) * PRIME) >> shift
+            shift, plus = np.uint64(64 - bits), np.uint64(len(self.levels) * int(PRIME) & (2**64 - 1))
+            slots = (keys[left] * MIX + plus) >> shift
             _, first = np.unique(slots, return_index=True)
             held, at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
             held[slots[first]], at[slots[first]] = keys[left[first]], BYTES + left[first]
-            self.levels.append((shift, np.uint64(len(self.levels)) * PRIME, held, at))
+            self.levels.append((shift, plus, held, at))
             left, bits = np.delete(left, first), 14
 
     @staticmethod

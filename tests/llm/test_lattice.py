@@ -81,9 +81,16 @@ def test_scores_of_the_query(spark, sf_dir, broadcast_rows):
         n, known, train, base = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, train, not learn(r.doc_id))
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
-    # The lattice spells unseen words better than add-one counts.
-    out = [r for r in got if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out) or broadcast_rows < 1000
+
+
+def test_fitting_raises_the_likelihood(spark, sf_dir):
+    counts = lattice.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.lit(True)).cache()
+    words = [(r.token, r.c) for r in counts.collect() if r.token]
+    c = np.array([n for _, n in words])
+    likelihood = [float(lattice.Lattice(*lattice.fit(counts, PATH, steps=k)[:2]).forward([w for w, _ in words]) @ c) for k in (0, 1, 2)]
+    assert likelihood[0] < likelihood[1] < likelihood[2]
+    pieces, logp, end = lattice.fit(counts, PATH)
+    assert np.exp(logp).sum() + math.exp(end) == pytest.approx(1)
 
 
 def test_edges_of_input(spark):
