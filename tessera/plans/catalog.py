@@ -37,4 +37,4 @@ def oracles() -> dict[str, str]:
 
 
 def _load() -> None:
-    pass
+    from tessera.plans import biblio_queries, match_queries, text_queries, topic_queries  # noqa: F401
