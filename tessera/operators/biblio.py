@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numbering import labelled
 from tessera.functions.scalar import joined_distinct
 
 
@@ -135,15 +136,13 @@ def collapse_metadata(rows: DataFrame, order: str) -> DataFrame:
 def author_nodes(rows: DataFrame, order: str = "pos") -> DataFrame:
     """A_i by first appearance, with years and counts."""
     out = rows.groupBy("author").agg(F.min(order).alias("_at"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.countDistinct("master_id").alias("article_count"), F.countDistinct("subject_l2").alias("subject_count"))
-    number = F.row_number().over(Window.orderBy("_at", "author"))
-    return out.select(F.concat(F.lit("A_"), number).alias("node_id"), F.col("author").alias("node_label"), F.lit("author").alias("node_type"), "first_year", "last_year", "article_count", "subject_count", F.lit(None).cast("string").alias("subject_l1"), F.lit(None).cast("bigint").alias("author_count"))
+    return labelled(out, "node_id", "A_%d", "_at", "author").select("node_id", F.col("author").alias("node_label"), F.lit("author").alias("node_type"), "first_year", "last_year", "article_count", "subject_count", F.lit(None).cast("string").alias("subject_l1"), F.lit(None).cast("bigint").alias("author_count"))
 
 
 def subject_nodes(rows: DataFrame, order: str = "pos") -> DataFrame:
     """S_i by first appearance, with years and counts."""
     out = rows.groupBy("subject_l2", "subject_l1").agg(F.min(order).alias("_at"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.countDistinct("master_id").alias("article_count"), F.countDistinct("author").alias("author_count"))
-    number = F.row_number().over(Window.orderBy("_at", "subject_l2"))
-    return out.select(F.concat(F.lit("S_"), number).alias("node_id"), F.col("subject_l2").alias("node_label"), F.lit("subject").alias("node_type"), "first_year", "last_year", "article_count", F.lit(None).cast("bigint").alias("subject_count"), "subject_l1", "author_count")
+    return labelled(out, "node_id", "S_%d", "_at", "subject_l2").select("node_id", F.col("subject_l2").alias("node_label"), F.lit("subject").alias("node_type"), "first_year", "last_year", "article_count", F.lit(None).cast("bigint").alias("subject_count"), "subject_l1", "author_count")
 
 
 def article_edges(rows: DataFrame, order: str = "pos") -> DataFrame:

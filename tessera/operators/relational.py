@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numbering import labelled
+
 
 def articles(rows: DataFrame) -> DataFrame:
     return rows.select("master_id", "title", "year", "volume", "time_window").distinct()
 
 
 def _numbered(rows: DataFrame, prefix: str, name: str, *order: str) -> DataFrame:
-    """Dense keys by sorted value. The dimension, not the facts, passes one sort."""
-    return rows.withColumn(name, F.format_string(f"{prefix}_%05d", F.row_number().over(Window.orderBy(*order))))
+    """Dense keys by sorted value."""
+    return labelled(rows, name, f"{prefix}_%05d", *order)
 
 
 def authors(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import words as W
+from tessera.functions.numbering import labelled
 from tessera.functions.scalar import normalize_for_match, squish
 
 
@@ -208,7 +209,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text", preference: Sequence[C
     """Groups DUP_0001... in order of first appearance, and in each the row to keep by `preference`, then id."""
     keyed = docs.select("*", duplicate_key(F.col(text)).alias("checksum"))
     sizes = keyed.groupBy("checksum").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
-    named = sizes.withColumn("group_id", F.format_string("DUP_%04d", F.row_number().over(Window.orderBy("first_id"))))
+    named = labelled(sizes, "group_id", "DUP_%04d", "first_id")
     best = F.row_number().over(Window.partitionBy("checksum").orderBy(*preference, "doc_id"))
     return keyed.join(named, "checksum").withColumn("keep", best == 1).select("doc_id", "group_id", "copies", "keep")
 

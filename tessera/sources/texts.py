@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.functions.numbering import labelled
+
 #: Encodings tried in turn; the last fits any bytes.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 
@@ -74,9 +76,8 @@ def read_texts(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFr
 
 def manifest(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Ids by order of the key, sizes and checksums of texts."""
-    number = F.row_number().over(Window.orderBy(key))
     narrow = docs.select(key, F.length(text).cast("bigint").alias("raw_char_count"), F.size(F.split(text, "\n", -1)).cast("bigint").alias("raw_line_count"), F.sha1(text).alias("raw_text_checksum"))
-    return narrow.select(key, F.format_string("TXT_%05d", number).alias("text_id"), "raw_char_count", "raw_line_count", "raw_text_checksum")
+    return labelled(narrow, "text_id", "TXT_%05d", key).select(key, "text_id", "raw_char_count", "raw_line_count", "raw_text_checksum")
 
 
 _PAGE = re.compile(r"^## p\. ([0-9ivxlcdm]*) ?\(#(\d+)\)", re.I | re.M)

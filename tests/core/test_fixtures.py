@@ -215,3 +215,15 @@ def test_small_operators(spark):
     assert "PRIMARY KEY (`id`)" in relational.ddl(spark.createDataFrame([], "id string, n int"), "t", ("id",))
     frame = spark.createDataFrame([(k, [float(k % 2), float(1 - k % 2)]) for k in range(10)], "vec_id long, embedding array<double>")
     assert len({(r.vec_id % 2, r.cluster) for r in models.embedding_clusters(frame, 2).collect()}) == 2
+
+
+def test_numbers_over_a_whole_table(spark):
+    from tessera.functions.numbering import numbered
+
+    rows = [(k * 37 % 101, "b" if k % 2 else "a") for k in range(101)] + [(None, "z"), (5, "c")]
+    frame = spark.createDataFrame(rows, "k int, s string")
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for buckets in (2, 16, 500):
+        got = numbered(frame, "n", "k", "s", buckets=buckets).orderBy("n").collect()
+        assert [r.n for r in got] == list(range(1, 104)) and [(r.k, r.s) for r in got] == want
+    assert numbered(frame.limit(0), "n", "k").count() == 0
