@@ -45,23 +45,31 @@ class Grams:
         return out
 
 
-def fit_linear(rows: list[tuple[np.ndarray, int]], size: int, odds: float, epochs: int = 8, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of the features and the intercept: ratios times logistic weights by adaptive
-    gradient steps over the rows in turn, averaged. `odds` are the log odds to start from
-    in place of the sample's. Without rows of both classes the weights are zero."""
-    total = [sum(y == c for _, y in rows) for c in (0, 1)]
+def fit_linear(rows: list[tuple[np.ndarray, int]], size: int, epochs: int = 6, rate: float = 0.5, decay: float = 1e-4, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of the features, which features are known, and the intercept.
+
+    Known are those of `least` rows or more. A feature is scaled by the difference of the
+    classes' log odds of holding it, add-one smoothed; logistic weights are then fitted by
+    adaptive gradient steps over the rows in turn. The intercept is set for equal class
+    priors: on held-out rows the classes are nearer together than on the rows fitted on,
+    and the sample's odds would turn away a third of the rare class. Without rows of both
+    classes nothing is known.
+    """
+    total = np.array([sum(y == c for _, y in rows) for c in (0, 1)], np.float64)
     if not all(total):
-        return np.zeros(size), odds
-    counts = np.ones((2, size))
+        return np.zeros(size), np.zeros(size, bool), 0.0
+    counts = np.zeros((2, size))
     for at, y in rows:
         counts[y][at] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    weight, square, mean, steps = np.zeros(size), np.full(size, 1e-2), np.zeros(size), 0
-    bias, bias_square, bias_mean = 0.0, 1e-2, 0.0
-    for epoch in range(epochs):
+    known = counts.sum(axis=0) >= least
+    held = (counts + 1) / (total[:, None] + 2)
+    log_odds = np.log(held / (1 - held))
+    ratio = np.where(known, log_odds[1] - log_odds[0], 0.0)
+    weight, square, bias, bias_square = np.zeros(size), np.full(size, 1e-2), 0.0, 1e-2
+    rows = [(at[known[at]], y) for at, y in rows]
+    for _ in range(epochs):
         for at, y in rows:
-            x = ratio[at]
-            norm = max(1.0, math.sqrt(len(at)))
+            norm, x = max(1.0, math.sqrt(len(at))), ratio[at]
             z = bias + float(weight[at] @ x) / norm
             g = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y
             step = g * x / norm + decay * weight[at]
@@ -69,14 +77,12 @@ def fit_linear(rows: list[tuple[np.ndarray, int]], size: int, odds: float, epoch
             weight[at] -= rate * step / np.sqrt(square[at])
             bias_square += g * g
             bias -= rate * g / math.sqrt(bias_square)
-        if epoch >= epochs // 2:
-            mean, bias_mean, steps = mean + weight, bias_mean + bias, steps + 1
-    return mean / steps * ratio, bias_mean / steps + odds - math.log(total[1] / total[0])
+    return weight * ratio, known, bias - math.log(total[1] / total[0])
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable: Column, orders: tuple[int, ...], bits: int, per_class: int, most_features: int) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, usable: Column, orders: tuple[int, ...], bits: int, per_class: int, most_features: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on at most `per_class` rows of each class and `most_features` n-grams in all."""
-    sample, odds = class_sample(documents, labels, "toxic", usable, per_class)
+    sample, _ = class_sample(documents, labels, "toxic", usable, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(orders, bits)
@@ -91,7 +97,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, orders: tuple[i
         used += len(r.grams) // 4
         rows.append((r.doc_id, np.frombuffer(bytes(r.grams), np.uint32), r.y))
     rows.sort(key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0]))
-    return fit_linear([(at, y) for _, at, y in rows], 1 << bits, odds)
+    return fit_linear([(at, y) for _, at, y in rows], 1 << bits)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, test: Column, orders: tuple[int, ...] = (3, 4, 5), bits: int = 18, per_class: int = 3000, most_features: int = 24_000_000) -> DataFrame:
@@ -100,20 +106,21 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, test: Column, orders
     Fitted on labels (doc_id, toxic) of rows that aren't `test`. Null texts count as empty,
     whose score is that of a text of one space. Repeated rows and null ids stay; labels of
     no document, null labels and other columns are ignored; without labels of both classes
-    all scores are the prior's.
+    all scores are a half.
     """
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", test.alias("held_out"))
-    weight, bias = fit(documents, labels, ~test, orders, bits, per_class, most_features)
-    model = spark.sparkContext.broadcast((weight.astype(np.float32), bias))
+    weight, known, bias = fit(documents, labels, ~test, orders, bits, per_class, most_features)
+    model = spark.sparkContext.broadcast((weight.astype(np.float32), known, bias))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, (w, b) = Grams(orders, bits), model.value
+        grams, (w, own, b) = Grams(orders, bits), model.value
         for batch in small_batches(batches, "text"):
             z = []
             for text in as_bytes(batch.column("text")):
                 at = grams.of(text)
+                at = at[own[at]]
                 z.append(b + float(w[at].sum(dtype=np.float64)) / max(1.0, math.sqrt(len(at))))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=schema)
