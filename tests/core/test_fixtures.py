@@ -227,3 +227,23 @@ def test_numbers_over_a_whole_table(spark):
         got = numbered(frame, "n", "k", "s", buckets=buckets).orderBy("n").collect()
         assert [r.n for r in got] == list(range(1, 104)) and [(r.k, r.s) for r in got] == want
     assert numbered(frame.limit(0), "n", "k").count() == 0
+
+
+def test_export_and_metadata(spark, sf_dir, tmp_path):
+    from tessera.sources import sinks
+
+    tables = {n: t for n, t in sinks.export_tables(roles.expanded(spark, sf_dir).cache()).items() if n in ("articles", "article_subjects", "subjects", "time_windows", "subject_diversity_stats")}
+    ddl = sinks.export(spark, tables, f"file://{tmp_path}/out")
+    assert ddl.count("CREATE TABLE") == 5 and "PRIMARY KEY (`master_id`, `subject_id`)" in ddl
+    for name, (_, key) in tables.items():
+        written = spark.read.parquet(f"file://{tmp_path}/out/{name}")
+        assert written.count() == written.select(*key).distinct().count() > 0
+    frame = spark.createDataFrame([(" ", "T", "x"), ("1", "U", None)], "master_id string, matched_title string, `L1 subject` string")
+    assert [(r.master_id, r.title, r.L1, r.year) for r in sinks.by_alias(frame).collect()] == [(None, "T", "x", None), ("1", "U", None, None)]
+    assert sinks.existing(frame, ["no", "L1 subject"]).columns == ["L1 subject"] and sinks.ordered(frame, ["L1 subject", "no"]).columns[0] == "L1 subject"
+    ids = spark.range(4)
+    sinks.append_rows(ids.limit(2), f"file://{tmp_path}/rows", "id")
+    sinks.append_rows(ids, f"file://{tmp_path}/rows", "id")
+    assert spark.read.parquet(f"file://{tmp_path}/rows").count() == 4
+    sinks.write_csv(spark.createDataFrame([('a "q"', 1)], "s string, n int"), f"file://{tmp_path}/csv")
+    assert texts.read_csv(spark, f"file://{tmp_path}/csv", "s string, n int").first().s == 'a "q"'
