@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import normalize_for_match
+from tessera.operators.text import unnested
 
 
 def map_subjects(rows: DataFrame, rules: DataFrame, key: str = "subject") -> DataFrame:
@@ -31,7 +32,7 @@ def containment(texts: DataFrame, items: DataFrame, text: str = "text", item: st
     own = items.select("item_id", F.col(item).alias("_item"), words(F.col(item)).alias("_w")).where(F.length(item) > 0)
     long = own.where(F.size("_w") >= 6).select("item_id", "_item", F.array_join(F.slice("_w", 2, 4), " ").alias("_anchor"))
     runs = F.when(F.size("_w") >= 4, F.transform(F.sequence(F.lit(1), F.size("_w") - 3), lambda i: F.array_join(F.slice("_w", i, 4), " "))).otherwise(F.array().cast("array<string>"))
-    rows = texts.select("doc_id", F.col(text).alias("_text"), words(F.col(text)).alias("_w")).select("doc_id", "_text", F.explode(F.array_distinct(runs)).alias("_anchor"))
+    rows = texts.select("doc_id", F.col(text).alias("_text"), words(F.col(text)).alias("_w")).select("doc_id", "_text", F.explode_outer(F.array_distinct(runs)).alias("_anchor")).where("_anchor IS NOT NULL")
     hits = rows.join(long, "_anchor").where(F.contains("_text", "_item")).select("doc_id", "item_id").distinct()
     short = own.where(F.size("_w") < 6).select("item_id", "_item")
     rest = texts.select("doc_id", F.col(text).alias("_text")).join(short, F.contains("_text", "_item")).select("doc_id", "item_id")
@@ -63,20 +64,26 @@ def match_titles(texts: DataFrame, titles: DataFrame, preselect: int = 18, top:
     """
     heads = texts.select("doc_id", "year", F.substring("text", 1, 8000).alias("head")).withColumn("head_norm", normalize_for_match("head"))
     metas = titles.select("master_id", "title_year", normalize_for_match("title").alias("title_norm"), title_tokens(F.col("title")).alias("tokens")).where("title_norm != ''")
-    keys = metas.select("master_id", F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
-    held = heads.select("doc_id", F.explode(F.array_distinct(F.split("head_norm", " "))).alias("token"))
+    keys = metas.select("master_id", F.explode_outer("tokens").alias("token"), F.size("tokens").alias("n")).where("token IS NOT NULL")
+    held = unnested(heads, F.array_distinct(F.split("head_norm", " ")), "token", "doc_id")
     coverage = held.join(keys, "token").groupBy("doc_id", "master_id").agg((F.count("*") / F.first("n")).alias("coverage"))
     bonus = F.when(F.col("year").isNull(), 0).when(F.col("year") == F.col("title_year"), 12).otherwise(-12)
-    rows = coverage.join(heads, "doc_id").join(metas, "master_id").withColumn("year_bonus", bonus)
-    inside = F.contains("head_norm", "title_norm")
-    cheap = F.when(inside, 100.0).otherwise(F.bround(F.col("coverage") * 75.0, 2))
+    rows = coverage.join(heads.drop("head"), "doc_id").join(metas.withColumn("_size", F.size("tokens")), "master_id").withColumn("year_bonus", bonus)
+    # Only the first and the last token of a title can be parts of longer words of a text that holds it.
+    rows = rows.withColumn("_inside", (F.col("coverage") * F.col("_size") >= F.col("_size") - 2) & F.contains("head_norm", "title_norm"))
+    # Heads and tokens stay out of the sort; the few pairs that are kept meet them again.
+    rows = rows.select("doc_id", "master_id", "coverage", "year_bonus", "_inside")
+    cheap = F.when(F.col("_inside"), 100.0).otherwise(F.bround(F.col("coverage") * 75.0, 2))
     first = Window.partitionBy("doc_id").orderBy(F.desc(cheap + F.col("year_bonus")), "master_id")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= preselect)
-    lines = F.slice(F.transform(F.filter(F.split("head", "\n"), lambda x: F.trim(x) != ""), normalize_for_match), 1, 45)
-    rows = rows.withColumn("_lines", F.transform(lines, lambda x: F.split(x, " ")))
-    part = lambda i, k: F.size(F.filter("tokens", lambda t: F.array_contains(F.flatten(F.slice("_lines", i, k)), t))) / F.size("tokens")
-    local = F.aggregate(F.when(F.size("_lines") > 0, F.sequence(F.lit(1), F.size("_lines"))).otherwise(F.array().cast("array<int>")), F.lit(0.0).cast("double"), lambda a, i: F.greatest(a, part(i, 1), part(i, 2)))
-    full = F.when(inside, 100.0).when(local >= 0.99, 92.0).otherwise(F.bround(F.greatest(F.col("coverage") * 75.0, local * 85.0), 2))
+    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= preselect).join(metas.select("master_id", "tokens", F.size("tokens").alias("_size")), "master_id")
+    # A window of two lines covers that of its first; the words of each window are made once a text.
+    lines = F.slice(F.transform(F.filter(F.split("head", "\n"), lambda x: F.trim(x) != ""), lambda x: F.split(normalize_for_match(x), " ")), 1, 45)
+    pairs = F.transform(F.arrays_zip(F.col("_lines").alias("a"), F.slice(F.concat("_lines", F.array(F.array().cast("array<string>"))), 2, 45).alias("b")), lambda p: F.array_union(p["a"], p["b"]))
+    near = heads.select("doc_id", lines.alias("_lines")).select("doc_id", pairs.alias("_windows"))
+    once = F.size(F.array_distinct("tokens")) == F.col("_size")
+    local = F.array_max(F.transform("_windows", lambda w: F.when(once, F.size(F.array_intersect("tokens", w))).otherwise(F.size(F.filter("tokens", lambda t: F.array_contains(w, t)))))) / F.col("_size")
+    rows = rows.join(near, "doc_id").withColumn("_local", F.coalesce(local, F.lit(0.0))).drop("_windows")
+    full = F.when(F.col("_inside"), 100.0).when(F.col("_local") >= 0.99, 92.0).otherwise(F.bround(F.greatest(F.col("coverage") * 75.0, F.col("_local") * 85.0), 2))
     rows = rows.withColumn("title_score", full).withColumn("combined_score", F.col("title_score") + F.col("year_bonus"))
     last = Window.partitionBy("doc_id").orderBy(F.desc("combined_score"), "master_id")
     return rows.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= top).select("doc_id", "master_id", "rank", "title_score", "year_bonus", "combined_score")

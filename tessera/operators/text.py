@@ -37,6 +37,13 @@ def model_tokens(text: Column, stopwords: Sequence[str] = W.MODEL + W.DOMAIN) ->
     return without(F.filter(raw, lambda t: (F.length(t) >= 3) & (F.length(F.translate(t, "-'", "")) >= 3)), stopwords)
 
 
+def unnested(rows: DataFrame, array: str | Column, name: str, *carry: str) -> DataFrame:
+    """`carry` and one row per element. An outer explode, with its null rows dropped after
+    it: a plain one makes the optimizer test the array's size below the projection that
+    builds it, and so build it several times."""
+    return rows.select(*carry, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def ngrams(tokens: Column, low: int = 1, high: int = 3) -> Column:
     """All n-grams of `low` to `high` tokens, joined by '_', the short ones first."""
 
@@ -76,8 +83,8 @@ def vocabulary(docs: DataFrame, tokens: str = "tokens", min_df: int = 5, max_df:
     counts, so the shuffle holds a row per task and term.
     """
     n = docs.agg(F.count("*").alias("_n"))
-    used = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("raw_count"))
-    held = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("document_count"))
+    used = unnested(docs, tokens, "term").groupBy("term").agg(F.count("*").alias("raw_count"))
+    held = unnested(docs, F.array_distinct(tokens), "term").groupBy("term").agg(F.count("*").alias("document_count"))
     out = used.join(held, "term").crossJoin(F.broadcast(n))
     most = F.greatest(F.floor(F.lit(max_df) * F.col("_n")), F.lit(min_df))
     out = out.withColumn("_ok", (F.col("document_count") >= min_df) & (F.col("document_count") <= most))
@@ -89,7 +96,7 @@ def vocabulary(docs: DataFrame, tokens: str = "tokens", min_df: int = 5, max_df:
 def doc_terms(docs: DataFrame, keep_terms: DataFrame | None = None, tokens: str = "tokens", carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, carry..., term, tf, doc_len): counts of the terms in `keep_terms`, which is
     bounded by the vocabulary's cap and broadcast, and the number of kept tokens of the document."""
-    rows = docs.select("doc_id", *carry, F.explode(tokens).alias("term"))
+    rows = unnested(docs, tokens, "term", "doc_id", *carry)
     if keep_terms is not None:
         rows = rows.join(F.broadcast(keep_terms.select("term")), "term", "left_semi")
     rows = rows.groupBy("doc_id", *carry, "term").agg(F.count("*").alias("tf"))
@@ -131,7 +138,7 @@ def tfidf_by_group(docs: DataFrame, group: str, n: int = 25, min_df: int = 5, ma
 
 def tfidf_macro(docs: DataFrame, group: str, n: int = 40) -> DataFrame:
     """Groups as documents: relative term counts times the idf over groups; top terms of each."""
-    counts = docs.where(F.col(group).isNotNull()).select(group, F.explode("tokens").alias("term")).groupBy(group, "term").agg(F.count("*").alias("count"))
+    counts = unnested(docs.where(F.col(group).isNotNull()), "tokens", "term", group).groupBy(group, "term").agg(F.count("*").alias("count"))
     groups = counts.agg(F.countDistinct(group).alias("n_docs"))
     df = counts.groupBy("term").agg(F.count("*").alias("document_count"))
     total = F.sum("count").over(Window.partitionBy(group))
@@ -150,7 +157,7 @@ def count_tfidf(counts: DataFrame, term: str, window: str, count: str, windows:
 def class_tfidf(docs: DataFrame, group: str, n: int = 10) -> DataFrame:
     """Classes as documents with BM25 weights: sqrt of the class's relative frequency times
     ln(1 + (mean class words - total + 0.5) / (total + 0.5)), where that is positive."""
-    counts = docs.where(F.col(group).isNotNull()).select(group, F.explode("tokens").alias("term")).groupBy(group, "term").agg(F.count("*").alias("count"))
+    counts = unnested(docs.where(F.col(group).isNotNull()), "tokens", "term", group).groupBy(group, "term").agg(F.count("*").alias("count"))
     mean = counts.groupBy(group).agg(F.sum("count").alias("_w")).agg(F.avg("_w").alias("_mean"))
     total = counts.groupBy("term").agg(F.sum("count").alias("total"))
     out = counts.withColumn("_tf", F.sqrt(F.col("count") / F.sum("count").over(Window.partitionBy(group)))).join(total, "term").crossJoin(F.broadcast(mean))
@@ -161,7 +168,7 @@ def class_tfidf(docs: DataFrame, group: str, n: int = 10) -> DataFrame:
 
 def model_documents(docs: DataFrame, kept: DataFrame, min_tokens: int = 20) -> DataFrame:
     """Documents as their tokens in the vocabulary, in order, with counts and exclusion."""
-    rows = docs.select("doc_id", F.posexplode("tokens").alias("_i", "term")).join(F.broadcast(kept.select("term")), "term", "left_semi")
+    rows = docs.select("doc_id", F.posexplode_outer("tokens").alias("_i", "term")).where("term IS NOT NULL").join(F.broadcast(kept.select("term")), "term", "left_semi")
     own = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "term"))), lambda x: x["term"]), " ").alias("model_text"), F.count("*").alias("token_count_after_df"))
     out = docs.select("doc_id", F.size("tokens").cast("bigint").alias("token_count_before_df")).join(own, "doc_id", "left")
     count = F.coalesce("token_count_after_df", F.lit(0))
@@ -174,7 +181,7 @@ def chunk_documents(docs: DataFrame, text: str = "text", size: int = 400, overla
     step = size - overlap
     parts = docs.select("doc_id", F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "").alias("w"))
     starts = F.when(F.size("w") == 0, F.array().cast("array<int>")).when(F.size("w") <= size, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)), lambda i: F.size("w") - i >= least))
-    rows = parts.select("doc_id", "w", F.posexplode(starts).alias("chunk_index", "at"))
+    rows = parts.select("doc_id", "w", F.posexplode_outer(starts).alias("chunk_index", "at")).where("at IS NOT NULL")
     chunk = F.slice("w", F.col("at") + 1, size)
     return rows.select("doc_id", "chunk_index", F.array_join(chunk, " ").alias("chunk_text"), F.size(chunk).alias("chunk_word_count"))
 
@@ -214,11 +221,9 @@ def duplicate_groups(docs: DataFrame, text: str = "text", preference: Sequence[C
     return keyed.join(named, "checksum").withColumn("keep", best == 1).select("doc_id", "group_id", "copies", "keep")
 
 
-def language_signals(text: Column) -> Column:
-    """Counts by script and function words of the first 25,000 characters, as the rule states."""
-    t = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 25000))
+def language_signals(t: Column, tokens: Column) -> Column:
+    """Counts by script and function words of a lower-cased text and its words, as the rule states."""
     cjk = F.length(F.regexp_replace(t, "[^\\u3400-\\u9fff]", ""))
-    tokens = F.regexp_extract_all(t, F.lit("[a-zà-öø-ÿ]+"), 0)
     alpha = F.aggregate(tokens, F.lit(0), lambda a, w: a + F.length(w))
     hits = lambda words: F.size(F.filter(tokens, lambda w: w.isin(*words)))
     marks = lambda chars: F.length(F.regexp_replace(t, f"[^{chars}]", ""))
@@ -233,7 +238,9 @@ def language_signals(text: Column) -> Column:
 
 def with_language(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds detected_language and language_confidence."""
-    out = docs.withColumn("_s", language_signals(F.col(text)))
+    # Words are a column of their own: they are extracted once and counted five times.
+    out = docs.withColumn("_t", F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 25000))).withColumn("_k", F.regexp_extract_all("_t", F.lit("[a-zà-öø-ÿ]+"), 0))
+    out = out.withColumn("_s", language_signals(F.col("_t"), F.col("_k")))
     en, fr, de, cjk, alpha = (F.col(f"_s.{c}") for c in ("en", "fr", "de", "cjk", "alpha"))
     ratio, best = cjk / (cjk + alpha), F.greatest(en, fr, de)
     second = F.sort_array(F.array(en, fr, de))[1]
@@ -241,7 +248,7 @@ def with_language(docs: DataFrame, text: str = "text") -> DataFrame:
     mixed = (second > 0) & (second / F.greatest(best, F.lit(1)) >= 0.72) & (best >= 15)
     language = F.when(cjk + alpha == 0, "unknown").when(ratio >= 0.3, F.when((alpha > 250) & (ratio < 0.75), "mixed").otherwise("zh-Hant")).when(best < 8, "unknown").when(mixed, "mixed").otherwise(first)
     confidence = F.when(cjk + alpha == 0, 0.0).when(ratio >= 0.3, F.least(F.lit(0.99), 0.6 + ratio)).when(best < 8, 0.25).otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.35), (best + 1) / (en + fr + de + 3))))
-    return out.withColumn("detected_language", language).withColumn("language_confidence", F.round(confidence, 3)).drop("_s")
+    return out.withColumn("detected_language", language).withColumn("language_confidence", F.round(confidence, 3)).drop("_s", "_t", "_k")
 
 
 def analysis_text(text: Column, language: Column) -> Column:

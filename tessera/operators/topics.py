@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import min_max
+from tessera.operators.text import unnested
 
 
 def whole() -> Window:
@@ -105,7 +106,7 @@ def semantic_coherence(docs: DataFrame, topic_words: DataFrame, n: int = 10) ->
     one topic's n words for each topic.
     """
     top = topic_words.where(F.col("rank") <= n).select("topic_id", "rank", "word")
-    held = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("word")).join(F.broadcast(top), "word")
+    held = unnested(docs, F.array_distinct("tokens"), "word", "doc_id").join(F.broadcast(top), "word")
     own = held.groupBy("doc_id", "topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("w"))
     single = held.groupBy("topic_id", "rank").agg(F.count("*").alias("d"))
     pairs = own.select("topic_id", F.explode(F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b["rank"] < a["rank"]), lambda b: F.struct(a["rank"].alias("i"), b["rank"].alias("j")))))).alias("p"))

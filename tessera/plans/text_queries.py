@@ -146,7 +146,7 @@ def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titled(spark, sf_dir).select("master_id", "time_window", F.explode("tokens").alias("term")).groupBy("time_window", "term").agg(F.count("*").alias("n"), F.countDistinct("master_id").alias("article_count"))
+    return text.unnested(_titled(spark, sf_dir), "tokens", "term", "master_id", "time_window").groupBy("time_window", "term").agg(F.count("*").alias("n"), F.countDistinct("master_id").alias("article_count"))
 
 
 @register("title_term_time", TITLES + "SELECT time_window, term, count(*) AS n, count(DISTINCT master_id) AS article_count FROM term GROUP BY ALL")
@@ -159,7 +159,7 @@ def title_term_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     TITLES + ", b AS (SELECT master_id, time_window, unnest(list_transform(range(1, greatest(len(tokens) - 1, 0) + 1), lambda i: CASE WHEN tokens[i] <> tokens[i + 1] THEN tokens[i] || ' ' || tokens[i + 1] END)) AS bigram FROM tt) SELECT time_window, bigram, count(*) AS n, count(DISTINCT master_id) AS article_count FROM b WHERE bigram IS NOT NULL GROUP BY ALL",
 )
 def title_bigram_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _titled(spark, sf_dir).select("master_id", "time_window", F.explode(text.bigrams(F.col("tokens"))).alias("bigram"))
+    rows = text.unnested(_titled(spark, sf_dir), text.bigrams(F.col("tokens")), "bigram", "master_id", "time_window")
     return rows.groupBy("time_window", "bigram").agg(F.count("*").alias("n"), F.countDistinct("master_id").alias("article_count"))
 
 
@@ -176,7 +176,7 @@ TERM_SUBJECT = with_expanded(f", tt AS (SELECT DISTINCT master_id, time_window,
 
 def _term_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = known(spark, sf_dir).select("master_id", "time_window", "title", "subject_l1").distinct()
-    terms = rows.select("master_id", "time_window", "title").distinct().select("master_id", "time_window", F.explode(text.title_tokens(F.col("title"))).alias("term"))
+    terms = text.unnested(rows.select("master_id", "time_window", "title").distinct(), text.title_tokens(F.col("title")), "term", "master_id", "time_window")
     return terms.join(rows.drop("title"), ["master_id", "time_window"])
 
 
