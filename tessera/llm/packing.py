@@ -39,7 +39,7 @@ class WordTokenizer:
     The memo has two generations of at most `most` words; it changes speed, not results.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
