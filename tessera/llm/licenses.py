@@ -1,7 +1,8 @@
 """License scans: signature rules over a text's words, in DataFrame functions only.
 
-A rule is a regular expression with a keyword, a label and a priority. Texts without any
-gate word are never matched, and a rule is tried only where its keyword occurs. A
+A rule is a regular expression with a keyword that all its matches contain, a label and a
+priority. A rule is tried only where its keyword occurs, and a text without any keyword
+is never matched. A
 detection that lies within a detection of higher priority, or within a longer one of its
 own, is suppressed. All of it is one projection of a row: there is no shuffle.
 """
@@ -18,10 +19,8 @@ from tessera.llm.shared import table
 #: Fixed by the query's contract: phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Texts with none of these aren't matched.
-GATES = ("licen", "spdx", "released under", "distributed under", "terms of", "creative commons", " cc by ", " cc0 ", "gnu ", "public domain", "rights reserved")
-
-#: Label, keyword, name, version: names as regular expressions over words.
+#: Label, keyword, name, version: names as regular expressions over words. Every match of a
+#: name, with the spaces around it, contains the keyword.
 FAMILIES = (
     ("mit", " mit ", "mit(?: x11)?", ""),
     ("apache", " apache ", "apache(?: software)?", "(?:1 0|1 1|2 0|2)"),
@@ -33,7 +32,7 @@ FAMILIES = (
     ("agpl", "affero", "(?:gnu )?affero general public", "(?:1|3|3 0)"),
     ("agpl", " agpl", "(?:gnu )?agpl(?:v3)?", "(?:3|3 0)"),
     ("gfdl", "free documentation", "(?:gnu )?free documentation", "(?:1 1|1 2|1 3)"),
-    ("bsd-2", " bsd ", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", ""),
+    ("bsd-2", "bsd ", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", ""),
     ("bsd-3", " bsd ", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", ""),
     ("bsd-4", " bsd ", "(?:original bsd|bsd 4 clause|4 clause bsd)", ""),
     ("bsd", " bsd ", "bsd", ""),
@@ -67,8 +66,8 @@ FAMILIES = (
     ("cc-by-nd", " by nd ", "cc by nd", "(?:1 0|2 0|2 5|3 0|4 0)"),
     ("cc-by", " cc by ", "cc by", "(?:1 0|2 0|2 5|3 0|4 0)"),
     ("cc0", "cc0", "cc0", "1 0"),
-    ("cc-by-nc-sa", "noncommercial", "creative commons attribution non ?commercial share ?alike", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial", "(?:1 0|2 0|2 5|3 0|4 0)"),
+    ("cc-by-nc-sa", "creative commons attribution non", "creative commons attribution non ?commercial share ?alike", "(?:1 0|2 0|2 5|3 0|4 0)"),
+    ("cc-by-nc", "creative commons attribution non", "creative commons attribution non ?commercial", "(?:1 0|2 0|2 5|3 0|4 0)"),
     ("cc-by-sa", "creative commons", "creative commons attribution share ?alike", "(?:1 0|2 0|2 5|3 0|4 0)"),
     ("cc-by-nd", "creative commons", "creative commons attribution no ?derivatives", "(?:1 0|2 0|2 5|3 0|4 0)"),
     ("cc-by", "creative commons", "creative commons attribution", "(?:1 0|2 0|2 5|3 0|4 0)"),
@@ -110,12 +109,22 @@ def built_in_rules() -> list[Rule]:
     return out
 
 
+def gates(rules: list[Rule]) -> tuple[str, ...]:
+    """The keywords of the rules: a text with none of them has no match."""
+    return tuple(dict.fromkeys(r.keyword for r in rules))
+
+
+GATES = gates(built_in_rules())
+
+
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def _rules(rules: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex")) for k, r in enumerate(rules)])
+    """array<struct<keyword, rules>>: the rules by keyword."""
+    one = lambda k, r: F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"))
+    return F.array(*[F.struct(F.lit(g).alias("keyword"), F.array(*[one(k, r) for k, r in enumerate(rules) if r.keyword == g]).alias("rules")) for g in gates(rules)])
 
 
 def detections(words: Column, rules: list[Rule]) -> Column:
@@ -125,7 +134,7 @@ def detections(words: Column, rules: list[Rule]) -> Column:
     `words` is a text's words with one space before, between and after.
     """
     tried = F.transform(
-        F.filter(_rules(rules), lambda r: F.contains(words, r["keyword"])),
+        F.flatten(F.transform(F.filter(_rules(rules), lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"])),
         lambda r: F.struct(r.alias("r"), F.split(words, r["regex"], -1).alias("between"), F.regexp_extract_all(words, r["regex"], F.lit(0)).alias("hits")),
     )
     kind = "array<struct<s:bigint,e:bigint,priority:int,rule:int,label:string>>"
@@ -168,14 +177,15 @@ def scan(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     ids stay; other columns are ignored.
     """
     base = [Rule(label, "license", phrase, 2) for phrase, label in BASE]
+    rules = rules or built_in_rules()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")), F.lit(" ")).alias("words"))
     words, kind = F.col("words"), "array<struct<s:bigint,e:bigint,priority:int,rule:int,label:string>>"
     gate = F.lit(False)
-    for g in GATES:
+    for g in gates(base + rules):
         gate = gate | F.contains(words, F.lit(g))
     empty = F.array().cast(kind)
     texts = texts.select("doc_id", F.when(words == "  ", 0).otherwise(_spaces(words) - 1).cast("long").alias("n_words"), F.when(gate, words).alias("words"))
-    found = texts.select("doc_id", "n_words", F.when(words.isNotNull(), detections(words, base)).otherwise(empty).alias("base"), F.when(words.isNotNull(), unsuppressed(detections(words, rules or built_in_rules()))).otherwise(empty).alias("found"))
+    found = texts.select("doc_id", "n_words", F.when(words.isNotNull(), detections(words, base)).otherwise(empty).alias("base"), F.when(words.isNotNull(), unsuppressed(detections(words, rules))).otherwise(empty).alias("found"))
     labels = lambda c: F.transform(c, lambda d: d["label"])
     best = F.array_max(F.transform(F.concat("base", "found"), lambda d: d["priority"]))
     return found.select(
