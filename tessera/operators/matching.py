@@ -59,18 +59,30 @@ def match_titles(texts: DataFrame, titles: DataFrame, preselect: int = 18, top:
     """(doc_id, master_id, rank, title_score, year_bonus, combined_score): the best titles of
     each text (doc_id, text, year) among titles (master_id, title, title_year).
 
-    Texts count with their first 8,000 characters. Candidates share a token with the title;
-    a cheap score keeps `preselect` of them, the full score ranks those. Ties by master_id.
+    Texts count with their first 8,000 characters. Every title counts: a cheap score keeps
+    `preselect` of them, the full score ranks those. Ties by master_id. Of the titles that
+    share no token with a text only the first of its year and the first of all can be kept.
     """
     heads = texts.select("doc_id", "year", F.substring("text", 1, 8000).alias("head")).withColumn("head_norm", normalize_for_match("head"))
-    metas = titles.select("master_id", "title_year", normalize_for_match("title").alias("title_norm"), title_tokens(F.col("title")).alias("tokens")).where("title_norm != ''")
-    keys = metas.select("master_id", F.explode_outer("tokens").alias("token"), F.size("tokens").alias("n")).where("token IS NOT NULL")
+    titles = titles.select("master_id", "title_year", F.coalesce("title", F.lit("")).alias("title"))
+    metas = titles.select("master_id", "title_year", normalize_for_match("title").alias("title_norm"), title_tokens(F.col("title")).alias("tokens"))
+    keys = unnested(metas, "tokens", "token", "master_id").withColumn("hit", F.lit(1))
     held = unnested(heads, F.array_distinct(F.split("head_norm", " ")), "token", "doc_id")
-    coverage = held.join(keys, "token").groupBy("doc_id", "master_id").agg((F.count("*") / F.first("n")).alias("coverage"))
+    in_year = Window.partitionBy("title_year").orderBy("master_id")
+    years = metas.select("master_id", "title_year", F.row_number().over(in_year).alias("_n")).where(F.col("_n") <= preselect).select("master_id", F.col("title_year").alias("year"))
+    overall = metas.select("master_id").orderBy("master_id").limit(preselect)
+    blank = heads.select("doc_id", "year").join(years, "year").select("doc_id", "master_id").unionByName(heads.select("doc_id").crossJoin(F.broadcast(overall)))
+    # The inner words of a title are whole words in any text that holds it; without a token among them it is compared with every text.
+    words = F.split("title_norm", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda t: F.length(t) > 2)
+    loose = metas.where((F.col("title_norm") != "") & (F.size(inner) == 0)).select("master_id", "title_norm")
+    blank = blank.unionByName(heads.select("doc_id", "head_norm").join(loose, F.contains("head_norm", "title_norm")).select("doc_id", "master_id"))
+    hits = held.join(keys, "token").select("doc_id", "master_id", "hit").unionByName(blank.withColumn("hit", F.lit(0))).groupBy("doc_id", "master_id").agg(F.sum("hit").alias("hits"))
     bonus = F.when(F.col("year").isNull(), 0).when(F.col("year") == F.col("title_year"), 12).otherwise(-12)
-    rows = coverage.join(heads.drop("head"), "doc_id").join(metas.withColumn("_size", F.size("tokens")), "master_id").withColumn("year_bonus", bonus)
+    rows = hits.join(heads.drop("head"), "doc_id").join(metas.withColumn("_size", F.size("tokens")), "master_id").withColumn("year_bonus", bonus)
+    rows = rows.withColumn("coverage", F.coalesce(F.col("hits") / F.nullif("_size", F.lit(0)), F.lit(0.0)))
     # Only the first and the last token of a title can be parts of longer words of a text that holds it.
-    rows = rows.withColumn("_inside", (F.col("coverage") * F.col("_size") >= F.col("_size") - 2) & F.contains("head_norm", "title_norm"))
+    rows = rows.withColumn("_inside", (F.col("title_norm") != "") & (F.col("hits") >= F.col("_size") - 2) & F.contains("head_norm", "title_norm"))
     # Heads and tokens stay out of the sort; the few pairs that are kept meet them again.
     rows = rows.select("doc_id", "master_id", "coverage", "year_bonus", "_inside")
     cheap = F.when(F.col("_inside"), 100.0).otherwise(F.bround(F.col("coverage") * 75.0, 2))
@@ -81,7 +93,7 @@ def match_titles(texts: DataFrame, titles: DataFrame, preselect: int = 18, top:
     pairs = F.transform(F.arrays_zip(F.col("_lines").alias("a"), F.slice(F.concat("_lines", F.array(F.array().cast("array<string>"))), 2, 45).alias("b")), lambda p: F.array_union(p["a"], p["b"]))
     near = heads.select("doc_id", lines.alias("_lines")).select("doc_id", pairs.alias("_windows"))
     once = F.size(F.array_distinct("tokens")) == F.col("_size")
-    local = F.array_max(F.transform("_windows", lambda w: F.when(once, F.size(F.array_intersect("tokens", w))).otherwise(F.size(F.filter("tokens", lambda t: F.array_contains(w, t)))))) / F.col("_size")
+    local = F.array_max(F.transform("_windows", lambda w: F.when(once, F.size(F.array_intersect("tokens", w))).otherwise(F.size(F.filter("tokens", lambda t: F.array_contains(w, t)))))) / F.nullif("_size", F.lit(0))
     rows = rows.join(near, "doc_id").withColumn("_local", F.coalesce(local, F.lit(0.0))).drop("_windows")
     full = F.when(F.col("_inside"), 100.0).when(F.col("_local") >= 0.99, 92.0).otherwise(F.bround(F.greatest(F.col("coverage") * 75.0, F.col("_local") * 85.0), 2))
     rows = rows.withColumn("title_score", full).withColumn("combined_score", F.col("title_score") + F.col("year_bonus"))
