@@ -23,3 +23,11 @@ def compare(spark, folder, name, *cuts):
 
 def test_master_left_joins(spark, sf_dir):
     compare(spark, sf_dir, "master_left_joins", ("WHERE l_orderkey % 4 = 0 ", ""))
+
+
+def test_year_overlap_best_match(spark, sf_dir, tmp_path):
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    (tmp_path / "part.parquet").unlink()
+    spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("* except (p_partkey)", "p_partkey + 1900 AS p_partkey").toPandas().to_parquet(tmp_path / "part.parquet")
+    compare(spark, tmp_path, "year_overlap_best_match", (" AND p_partkey < 2000", ""))
