@@ -141,7 +141,7 @@ _PLACES = (
 def _place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.plans.biblio_queries import expanded_articles
 
-    rows = expanded_articles(spark, sf_dir).select("master_id", "time_window").where("master_id % 5 < 2")
+    rows = expanded_articles(spark, sf_dir).select("master_id", "time_window")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("master_id"), F.col("o_custkey").alias("c_custkey"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("modern_name"), F.col("n_regionkey").alias("r_regionkey"))

@@ -1,6 +1,7 @@
 """Queries over whole tables, where the given SQL leaves rows out."""
 
 import duckdb
+import pytest
 
 from tests.core.test_queries import TABLES, ordered
 from tessera.plans import catalog
@@ -31,3 +32,8 @@ def test_year_overlap_best_match(spark, sf_dir, tmp_path):
     (tmp_path / "part.parquet").unlink()
     spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("* except (p_partkey)", "p_partkey + 1900 AS p_partkey").toPandas().to_parquet(tmp_path / "part.parquet")
     compare(spark, tmp_path, "year_overlap_best_match", (" AND p_partkey < 2000", ""))
+
+
+@pytest.mark.parametrize("name", ["place_time", "place_subject_time", "place_rollup", "page_places"])
+def test_places(spark, sf_dir, name):
+    compare(spark, sf_dir, name, (" WHERE art.master_id % 5 < 2", ""))
