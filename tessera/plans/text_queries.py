@@ -60,7 +60,7 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("df_vocabulary", f"WITH {TOK}, {vocab_sql('tok', 2000)} SELECT term, raw_count, document_count, round(document_frequency, 6) AS document_frequency, kept_by_df_filter FROM vocab")
 def df_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(text.vocabulary(tokenized(spark, sf_dir), cap=2000), "document_frequency")
+    return rounded(text.vocabulary(tokenized(spark, sf_dir)), "document_frequency")
 
 
 @register(
@@ -111,10 +111,10 @@ def tfidf_by_decade_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tfidf_doc_vectors", f"WITH {TOK}, {vocab_sql('tok', 500)}, d AS (SELECT term, count(*) AS document_count FROM dt GROUP BY term) SELECT doc_id, term, round(tf / doc_len * ({IDF}), 6) AS tfidf FROM dt JOIN d USING (term), (SELECT count(DISTINCT doc_id) AS n FROM dt)")
 def tfidf_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenized(spark, sf_dir)
-    terms = text.doc_terms(docs, text.vocabulary(docs, cap=500).where("kept_by_df_filter"))
-    count = terms.agg(F.countDistinct("doc_id").alias("n_docs"))
+    terms = text.doc_terms(docs)
+    count = docs.agg(F.count("*").alias("n_docs"))
     df = terms.groupBy("term").agg(F.count("*").alias("document_count"))
-    out = terms.join(F.broadcast(df), "term").crossJoin(F.broadcast(count))
+    out = terms.join(df, "term").crossJoin(F.broadcast(count))
     return rounded(out.select("doc_id", "term", (F.col("tf") / F.col("doc_len") * text.idf(F.col("n_docs"), F.col("document_count"))).alias("tfidf")), "tfidf")
 
 

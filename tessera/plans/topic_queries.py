@@ -24,7 +24,7 @@ TOPIC_ROWS = "tr AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN -1 ELSE CAST(
 
 
 def topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = text.tfidf_by_group(tokenized(spark, sf_dir), "source", n=20, cap=3000)
+    top = text.tfidf_by_group(tokenized(spark, sf_dir), "source", n=20)
     topic = F.substring("source", 4, 9).cast("int")
     return top.select(topic.alias("topic_id"), F.when(topic < 10, "m1").otherwise("m2").alias("model"), F.col("term").alias("word"), F.col("tfidf_score").alias("weight"), "rank")
 
@@ -194,7 +194,7 @@ def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("nmf_topics")
 def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenized(spark, sf_dir)
-    kept = text.vocabulary(docs, cap=800).where("kept_by_df_filter")
+    kept = text.vocabulary(docs).where("kept_by_df_filter")
     terms = text.doc_terms(docs, kept).select("doc_id", "term", (F.col("tf") / F.col("doc_len")).alias("value"))
     return models.nmf_topics(terms, sorted(r.term for r in kept.select("term").collect()))
 

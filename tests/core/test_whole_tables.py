@@ -1,10 +1,14 @@
 """Queries over whole tables, where the given SQL leaves rows out."""
 
+import math
+from collections import Counter
+
 import duckdb
 import pytest
 
 from tests.core.test_queries import TABLES, ordered
 from tessera.plans import catalog
+from tessera.plans.text_queries import tokenized
 
 
 def compare(spark, folder, name, *cuts):
@@ -37,3 +41,18 @@ def test_year_overlap_best_match(spark, sf_dir, tmp_path):
 @pytest.mark.parametrize("name", ["place_time", "place_subject_time", "place_rollup", "page_places"])
 def test_places(spark, sf_dir, name):
     compare(spark, sf_dir, name, (" WHERE art.master_id % 5 < 2", ""))
+
+
+def test_tfidf_doc_vectors(spark, sf_dir):
+    docs = {r.doc_id: Counter(r.tokens) for r in tokenized(spark, sf_dir).select("doc_id", "tokens").collect()}
+    df = Counter(t for c in docs.values() for t in c)
+    want = {(d, t): n / sum(c.values()) * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for d, c in docs.items() for t, n in c.items()}
+    got = {(r.doc_id, r.term): r.tfidf for r in catalog.queries()["tfidf_doc_vectors"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_vocabularies_have_the_operators_cap(spark, tmp_path):
+    docs = [(d, " ".join("w" + "".join(chr(97 + int(x)) for x in f"{w:04}") for w in range(k, 2500, 2)), "en", "src1", 1) for k in (0, 1) for d in range(k, 20, 2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").toPandas().to_parquet(tmp_path / "documents.parquet")
+    rows = catalog.queries()["df_vocabulary"](spark, str(tmp_path)).collect()
+    assert len(rows) == 2500 and all(r.kept_by_df_filter for r in rows)
