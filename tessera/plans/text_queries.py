@@ -58,7 +58,7 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(spark, sf_dir).select("doc_id", F.array_join(text.without(F.col("tokens"), extra), " ").alias("tokens"))
 
 
-@register("df_vocabulary", f"WITH {TOK}, {vocab_sql('tok', 2000)} SELECT term, raw_count, document_count, round(document_frequency, 6) AS document_frequency, kept_by_df_filter FROM vocab")
+@register("df_vocabulary", f"WITH {TOK}, {vocab_sql('tok')} SELECT term, raw_count, document_count, round(document_frequency, 6) AS document_frequency, kept_by_df_filter FROM vocab")
 def df_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(text.vocabulary(tokenized(spark, sf_dir)), "document_frequency")
 
@@ -108,7 +108,11 @@ def tfidf_by_decade_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(text.tfidf_macro(tokenized(spark, sf_dir), "source"), "tfidf_score", digits=8)
 
 
-@register("tfidf_doc_vectors", f"WITH {TOK}, {vocab_sql('tok', 500)}, d AS (SELECT term, count(*) AS document_count FROM dt GROUP BY term) SELECT doc_id, term, round(tf / doc_len * ({IDF}), 6) AS tfidf FROM dt JOIN d USING (term), (SELECT count(DISTINCT doc_id) AS n FROM dt)")
+@register(
+    "tfidf_doc_vectors",
+    f"""WITH {TOK}, r AS (SELECT doc_id, unnest(tokens) AS term FROM tok), t AS (SELECT *, sum(tf) OVER (PARTITION BY doc_id) AS doc_len FROM (SELECT doc_id, term, count(*) AS tf FROM r GROUP BY ALL)), d AS (SELECT term, count(*) AS document_count FROM t GROUP BY term)
+SELECT doc_id, term, round(tf / doc_len * ({IDF}), 6) AS tfidf FROM t JOIN d USING (term), (SELECT count(*) AS n FROM documents)""",
+)
 def tfidf_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenized(spark, sf_dir)
     terms = text.doc_terms(docs)

@@ -13,7 +13,7 @@ from tessera.plans.roles import table, with_articles
 from tessera.plans.text_queries import IDF, TOK, tokenized, vocab_sql
 
 #: Words of a topic: the top terms of a source, weighted by tf-idf.
-TOPIC_WORDS = f"""{TOK}, {vocab_sql('tok', 3000)}, n AS (SELECT count(DISTINCT doc_id) AS n FROM dt), cn AS (SELECT source, count(DISTINCT doc_id) AS n FROM dt GROUP BY source),
+TOPIC_WORDS = f"""{TOK}, {vocab_sql('tok')}, n AS (SELECT count(DISTINCT doc_id) AS n FROM dt), cn AS (SELECT source, count(DISTINCT doc_id) AS n FROM dt GROUP BY source),
 tw0 AS (SELECT CAST(substr(source, 4) AS INTEGER) AS topic_id, source, term AS word, sum(tf / doc_len) AS s, count(*) AS document_count FROM dt GROUP BY ALL),
 tw AS (SELECT topic_id, CASE WHEN topic_id < 10 THEN 'm1' ELSE 'm2' END AS model, word, weight, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, word) AS INTEGER) AS rank FROM (
   SELECT topic_id, word, s * ({IDF}) AS weight FROM tw0 JOIN cn USING (source)) QUALIFY rank <= 20)"""

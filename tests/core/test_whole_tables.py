@@ -1,46 +1,15 @@
-"""Queries over whole tables, where the given SQL leaves rows out."""
+"""Queries over whole tables: what they return doesn't depend on ids or caps below the operator's."""
 
 import math
 from collections import Counter
 
-import duckdb
-import pytest
-
-from tests.core.test_queries import TABLES, ordered
 from tessera.plans import catalog
 from tessera.plans.text_queries import tokenized
 
 
-def compare(spark, folder, name, *cuts):
-    """The query's rows against its SQL without the parts in `cuts`."""
-    sql = catalog.oracles()[name]
-    for cut, whole in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, whole)
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
-    found = con.execute(sql)
-    names = [c[0] for c in found.description]
-    got = catalog.queries()[name](spark, str(folder))
-    assert ordered(map(tuple, got.select(*names).collect())) == ordered(found.fetchall())
-
-
-def test_master_left_joins(spark, sf_dir):
-    compare(spark, sf_dir, "master_left_joins", ("WHERE l_orderkey % 4 = 0 ", ""))
-
-
-def test_year_overlap_best_match(spark, sf_dir, tmp_path):
-    for t in TABLES:
-        (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
-    (tmp_path / "part.parquet").unlink()
-    spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("* except (p_partkey)", "p_partkey + 1900 AS p_partkey").toPandas().to_parquet(tmp_path / "part.parquet")
-    compare(spark, tmp_path, "year_overlap_best_match", (" AND p_partkey < 2000", ""))
-
-
-@pytest.mark.parametrize("name", ["place_time", "place_subject_time", "place_rollup", "page_places"])
-def test_places(spark, sf_dir, name):
-    compare(spark, sf_dir, name, (" WHERE art.master_id % 5 < 2", ""))
+def test_no_sql_leaves_rows_out_by_id():
+    for name, sql in catalog.oracles().items():
+        assert "l_orderkey %" not in sql and "p_partkey <" not in sql and "doc_id <" not in sql, name
 
 
 def test_tfidf_doc_vectors(spark, sf_dir):
