@@ -1,14 +1,17 @@
 """Joins with domain rules: title matching, year overlap, containment, positions, nearest
-rows. Candidates come from equi-joins on tokens, years, anchors or time buckets, never from
-a full product."""
+rows. Candidates come from an index of the titles or from equi-joins on years, anchors or
+time buckets, never from a full product."""
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_EVEN, Decimal
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,48 +58,103 @@ def confidence(score: Column, margin: Column, tied: Column, bonus: Column) -> Co
     )
 
 
-def match_titles(texts: DataFrame, titles: DataFrame, preselect: int = 18, top: int = 5) -> DataFrame:
+class TitleIndex:
+    """Titles by their tokens: scores a text against every title without a pair per title."""
+
+    def __init__(self, rows: list[tuple[int, int | None, str, list[str]]]):
+        """rows: (master_id, title_year, normalised title, its tokens of over two letters)."""
+        rows = sorted(rows, key=lambda r: r[0])
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.years = np.array([np.nan if r[1] is None else r[1] for r in rows], np.float64)
+        self.norms = [r[2] for r in rows]
+        self.sizes = np.array([len(r[3]) for r in rows], np.int64)
+        found: dict[str, list[int]] = {}
+        for k, r in enumerate(rows):
+            for token in r[3]:
+                found.setdefault(token, []).append(k)
+        self.postings = {t: np.array(at, np.int32) for t, at in found.items()}
+        # Scores of k of n tokens, rounded half to even once for every n that occurs.
+        lengths = sorted(set(self.sizes.tolist()))
+        starts = dict(zip(lengths, np.concatenate([[0], np.cumsum([n + 1 for n in lengths])[:-1]]).tolist())) if lengths else {}
+        self.at = np.array([starts[n] for n in self.sizes.tolist()], np.int64)
+        self.cheap, self.near = ([float(Decimal(repr(k / n * most if n else 0.0)).quantize(Decimal("0.01"), ROUND_HALF_EVEN)) for n in lengths for k in range(n + 1)] for most in (75.0, 85.0))
+        self.cheap, self.near = np.array(self.cheap), np.array(self.near)
+
+    def _counts(self, groups: list[set[str]], slots: np.ndarray, width: int) -> np.ndarray:
+        """How many tokens of the titles in `slots` each group of words holds."""
+        found = [[self.postings[t] for t in g if t in self.postings] for g in groups]
+        flat = [p for own in found for p in own]
+        if not flat:
+            return np.zeros((len(groups), width), np.int64)
+        of_group = np.repeat(np.arange(len(groups)), [sum(map(len, own)) for own in found])
+        at = slots[np.concatenate(flat)]
+        return np.bincount((of_group * width + at)[at >= 0], minlength=len(groups) * width).reshape(len(groups), width)
+
+    def best(self, lines: list[str], year: int | None, preselect: int) -> list[tuple[int, float, int, float]]:
+        """(master_id, title_score, year_bonus, cheap score) of the `preselect` best by cheap score, best first."""
+        if not len(self.ids):
+            return []
+        whole = " ".join(filter(None, lines))
+        hits = self._counts([set(whole.split(" "))], np.arange(len(self.ids)), len(self.ids))[0]
+        cheap = self.cheap[self.at + hits]
+        # Only the first and the last token of a title can be parts of longer words of a text that holds it.
+        inside = np.zeros(len(self.ids), bool)
+        for k in np.flatnonzero(hits >= self.sizes - 2).tolist():
+            inside[k] = self.norms[k] != "" and self.norms[k] in whole
+        cheap[inside] = 100.0
+        bonus = np.zeros(len(self.ids)) if year is None else np.where(self.years == year, 12, -12)
+        score = cheap + bonus
+        least = np.partition(score, -preselect)[-preselect] if len(score) > preselect else -np.inf
+        kept = np.flatnonzero(score >= least)
+        kept = kept[np.lexsort((self.ids[kept], -score[kept]))][:preselect]
+        slots = np.full(len(self.ids), -1, np.int64)
+        slots[kept] = np.arange(len(kept))
+        words = [set(x.split(" ")) for x in lines[:45]]
+        windows = [a | b for a, b in zip(words, [*words[1:], set()])]
+        local = self._counts(windows, slots, len(kept)).max(axis=0, initial=0)
+        sure = (local >= 0.99 * self.sizes[kept]) & (self.sizes[kept] > 0)
+        full = np.where(inside[kept], 100.0, np.where(sure, 92.0, np.maximum(self.cheap[self.at[kept] + hits[kept]], self.near[self.at[kept] + local])))
+        return list(zip(self.ids[kept].tolist(), full.tolist(), bonus[kept].astype(int).tolist(), cheap[kept].tolist()))
+
+
+def match_titles(texts: DataFrame, titles: DataFrame, preselect: int = 18, top: int = 5, block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, master_id, rank, title_score, year_bonus, combined_score): the best titles of
     each text (doc_id, text, year) among titles (master_id, title, title_year).
 
     Texts count with their first 8,000 characters. Every title counts: a cheap score keeps
-    `preselect` of them, the full score ranks those. Ties by master_id. Of the titles that
-    share no token with a text only the first of its year and the first of all can be kept.
+    `preselect` of them, the full score ranks those. Ties by master_id; ids are unique. The
+    titles are an index that is sent to the tasks in blocks of `block_chars` characters, so
+    texts don't shuffle and no pairs are made; of several blocks each gives its own first
+    `preselect`, which hold the first of all.
     """
-    heads = texts.select("doc_id", "year", F.substring("text", 1, 8000).alias("head")).withColumn("head_norm", normalize_for_match("head"))
-    titles = titles.select("master_id", "title_year", F.coalesce("title", F.lit("")).alias("title"))
-    metas = titles.select("master_id", "title_year", normalize_for_match("title").alias("title_norm"), title_tokens(F.col("title")).alias("tokens"))
-    keys = unnested(metas, "tokens", "token", "master_id").withColumn("hit", F.lit(1))
-    held = unnested(heads, F.array_distinct(F.split("head_norm", " ")), "token", "doc_id")
-    in_year = Window.partitionBy("title_year").orderBy("master_id")
-    years = metas.select("master_id", "title_year", F.row_number().over(in_year).alias("_n")).where(F.col("_n") <= preselect).select("master_id", F.col("title_year").alias("year"))
-    overall = metas.select("master_id").orderBy("master_id").limit(preselect)
-    blank = heads.select("doc_id", "year").join(years, "year").select("doc_id", "master_id").unionByName(heads.select("doc_id").crossJoin(F.broadcast(overall)))
-    # The inner words of a title are whole words in any text that holds it; without a token among them it is compared with every text.
-    words = F.split("title_norm", " ")
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda t: F.length(t) > 2)
-    loose = metas.where((F.col("title_norm") != "") & (F.size(inner) == 0)).select("master_id", "title_norm")
-    blank = blank.unionByName(heads.select("doc_id", "head_norm").join(loose, F.contains("head_norm", "title_norm")).select("doc_id", "master_id"))
-    hits = held.join(keys, "token").select("doc_id", "master_id", "hit").unionByName(blank.withColumn("hit", F.lit(0))).groupBy("doc_id", "master_id").agg(F.sum("hit").alias("hits"))
-    bonus = F.when(F.col("year").isNull(), 0).when(F.col("year") == F.col("title_year"), 12).otherwise(-12)
-    rows = hits.join(heads.drop("head"), "doc_id").join(metas.withColumn("_size", F.size("tokens")), "master_id").withColumn("year_bonus", bonus)
-    rows = rows.withColumn("coverage", F.coalesce(F.col("hits") / F.nullif("_size", F.lit(0)), F.lit(0.0)))
-    # Only the first and the last token of a title can be parts of longer words of a text that holds it.
-    rows = rows.withColumn("_inside", (F.col("title_norm") != "") & (F.col("hits") >= F.col("_size") - 2) & F.contains("head_norm", "title_norm"))
-    # Heads and tokens stay out of the sort; the few pairs that are kept meet them again.
-    rows = rows.select("doc_id", "master_id", "coverage", "year_bonus", "_inside")
-    cheap = F.when(F.col("_inside"), 100.0).otherwise(F.bround(F.col("coverage") * 75.0, 2))
-    first = Window.partitionBy("doc_id").orderBy(F.desc(cheap + F.col("year_bonus")), "master_id")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= preselect).join(metas.select("master_id", "tokens", F.size("tokens").alias("_size")), "master_id")
-    # A window of two lines covers that of its first; the words of each window are made once a text.
-    lines = F.slice(F.transform(F.filter(F.split("head", "\n"), lambda x: F.trim(x) != ""), lambda x: F.split(normalize_for_match(x), " ")), 1, 45)
-    pairs = F.transform(F.arrays_zip(F.col("_lines").alias("a"), F.slice(F.concat("_lines", F.array(F.array().cast("array<string>"))), 2, 45).alias("b")), lambda p: F.array_union(p["a"], p["b"]))
-    near = heads.select("doc_id", lines.alias("_lines")).select("doc_id", pairs.alias("_windows"))
-    once = F.size(F.array_distinct("tokens")) == F.col("_size")
-    local = F.array_max(F.transform("_windows", lambda w: F.when(once, F.size(F.array_intersect("tokens", w))).otherwise(F.size(F.filter("tokens", lambda t: F.array_contains(w, t)))))) / F.nullif("_size", F.lit(0))
-    rows = rows.join(near, "doc_id").withColumn("_local", F.coalesce(local, F.lit(0.0))).drop("_windows")
-    full = F.when(F.col("_inside"), 100.0).when(F.col("_local") >= 0.99, 92.0).otherwise(F.bround(F.greatest(F.col("coverage") * 75.0, F.col("_local") * 85.0), 2))
-    rows = rows.withColumn("title_score", full).withColumn("combined_score", F.col("title_score") + F.col("year_bonus"))
+    lines = F.transform(F.filter(F.split(F.substring("text", 1, 8000), "\n"), lambda x: F.trim(x) != ""), normalize_for_match)
+    heads = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("year").cast("long").alias("year"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
+    title = F.coalesce("title", F.lit(""))
+    metas = titles.select(F.col("master_id").cast("long").alias("master_id"), F.col("title_year").cast("int").alias("title_year"), normalize_for_match(title).alias("norm"), title_tokens(title).alias("tokens"))
+    size = metas.agg(F.coalesce(F.sum(F.length("norm") + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_chars))
+    spark, parts = texts.sparkSession, []
+    for block in range(blocks):
+        own = metas if blocks == 1 else metas.where(F.pmod(F.xxhash64("master_id"), F.lit(blocks)) == block)
+        index = spark.sparkContext.broadcast(TitleIndex([(r.master_id, r.title_year, r.norm, r.tokens) for r in own.collect()]))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    rows = []
+                    for doc, year, own in zip(*(batch.slice(at, 500).column(c).to_pylist() for c in ("doc_id", "year", "lines"))):
+                        rows += [(doc, *r) for r in index.value.best(own, year, preselect)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
+
+        names, kinds = ["doc_id", "master_id", "title_score", "year_bonus", "cheap"], [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64()]
+        parts.append(heads.mapInArrow(run, "doc_id long, master_id long, title_score double, year_bonus int, cheap double"))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    if blocks > 1:
+        first = Window.partitionBy("doc_id").orderBy(F.desc(F.col("cheap") + F.col("year_bonus")), "master_id")
+        rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= preselect)
+    rows = rows.withColumn("combined_score", F.col("title_score") + F.col("year_bonus"))
     last = Window.partitionBy("doc_id").orderBy(F.desc("combined_score"), "master_id")
     return rows.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= top).select("doc_id", "master_id", "rank", "title_score", "year_bonus", "combined_score")
 

@@ -53,3 +53,12 @@ def test_texts_that_share_no_token_have_a_label(spark):
     ranked = match(spark, [(1, "nothing else", 1992)], titles).cache()
     assert ranked.count() == 5
     assert [(r.master_id, r.match_confidence) for r in matching.match_labels(ranked).collect()] == [(2, "unmatched")]
+
+
+def test_blocks_of_titles_give_the_same_rows(spark):
+    rng = random.Random(8)
+    titles = [(k, " ".join(rng.choices(WORDS, k=rng.randint(1, 7))), rng.choice([1995, 1996, None])) for k in range(90)]
+    texts = [(k, " ".join(rng.choices(WORDS, k=30)), rng.choice([1995, None])) for k in range(20)]
+    frames = spark.createDataFrame(texts, "doc_id long, text string, year long"), spark.createDataFrame(titles, "master_id long, title string, title_year long")
+    assert {tuple(r) for r in matching.match_titles(*frames, block_chars=900).collect()} == brute(texts, titles)
+    assert matching.match_titles(frames[0], frames[1].limit(0)).count() == 0
