@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import keep
+from tessera.llm.shared import discard, keep
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +52,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e"))
-        at = keep(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        last, at = at, keep(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        discard(last)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

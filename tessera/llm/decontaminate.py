@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +65,6 @@ class Matcher:
     where: list[list[tuple[int, int]]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        import ahocorasick
-
         self.texts = [normal(t) for _, t in self.items]
         self.budgets = [int(self.rate * len(t)) for t in self.texts]
         pieces: dict[str, list[tuple[int, int]]] = {}

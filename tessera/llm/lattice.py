@@ -3,8 +3,10 @@ counts, weighted by unigram piece probabilities; a log-space forward recursion g
 marginal probability. Segmentations don't cross words, so a document's probability is the
 product of its words' and the end's.
 
-Pieces and their first weights come from an existing vocabulary file; one pass of expected
-counts over all training words re-estimates them. Word counts cover the whole corpus and
+Pieces and their first weights come from an existing vocabulary file. The public file is a
+byte-pair model, whose scores are minus the merge's rank: they order the pieces and are no
+probabilities, so a piece's first weight is 1 / (2 + rank), and one pass of expected counts
+over all training words re-estimates it. A file with unigram scores isn't among the public ones. Word counts cover the whole corpus and
 live in a table: the words that are frequent enough for a broadcast of bounded size are
 scored where the text is read, all others by a join.
 """
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,8 +177,6 @@ class Lattice:
 def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
     """Pieces of a SentencePiece file that lower-cased words can hold, and the bytes' and
     pieces' first log weights, from the file's scores."""
-    import sentencepiece
-
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces, scores = [], []
     for i in range(model.get_piece_size()):
