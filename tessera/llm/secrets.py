@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of
-ordinary identifiers, whose log-likelihood ratio tells a key from a name.
-
-Both models are trained from labelled samples (text, is it a secret?). A token of the text
-is a candidate if it is long, mixes letters with digits and holds nothing but key
-characters; it is reported when its ratio per character passes a threshold and no base
+ordinary identifiers, whose log-likelihood ratio tells a key from a word.
+
+Both models are trained from labelled samples (text, is it a secret?): values that the fixed
+patterns find in a bounded sample of documents are secrets, all other tokens of those
+documents are ordinary, and samples by rule, of usual key alphabets and of identifiers, join
+them. Every token of every text is scored, whatever its length or characters: its ratio is
+summed over its characters, so a longer token gives more evidence. It is reported when the
+ratio outweighs the odds of an ordinary token, as counted in the same documents, and no base
 span overlaps it.
 """
 
@@ -13,6 +16,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,56 +24,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import small_batches, table
+from tessera.llm.shared import as_bytes, discard, keep, small_batches, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 at least is a run that passes the length test
 KINDS = ("assign", "access", "hex", "random")
-ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=.-"
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_-"
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+")
+Samples = list[tuple[str, bool]]
 
 
-def built_in_samples(each: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
+def built_in_samples(each: int = 4000, seed: int = 11) -> Samples:
     """Labelled samples by rule: random keys in usual alphabets, and identifiers of
-    ordinary words in usual styles, with version and serial numbers."""
+    ordinary words in usual styles, dates, versions and serial numbers."""
     rng = random.Random(seed)
     words = "get set user name file path index list value count data time date page size type node tree graph table column row key map item order total price state error message request response client server session buffer stream reader writer parser token filter query result report version release build test sample model layer weight train score batch cache queue worker thread process handler manager factory service config option default public private static import export module package system network address socket channel event listener update delete insert select create remove append merge split join group sort search match replace format string number integer float double boolean object array".split()
-    alphabets = ["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "-_"]
-    out = [("".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(20, 64))), True) for k in range(each)]
+    letters, digits = string.ascii_letters, string.digits
+    alphabets = [digits + "abcdef", letters + digits, letters + digits + "+/", string.ascii_lowercase + digits, string.ascii_uppercase + digits, letters + digits + "-_", letters]
+    out = [("".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(12, 64))), True) for k in range(each)]
     for k in range(each):
-        some = rng.choices(words, k=rng.randint(2, 6))
-        style = k % 5
-        text = "_".join(some) if style == 0 else some[0] + "".join(map(str.title, some[1:])) if style == 1 else "-".join(some) if style == 2 else "/".join(some) if style == 3 else "".join(some)
+        some = rng.choices(words, k=rng.randint(1, 6))
+        style = k % 6
+        text = ["_".join(some), some[0] + "".join(map(str.title, some[1:])), "-".join(some), "/".join(some), "".join(some), "".join(map(str.title, some))][style]
         if k % 3 == 0:
             text += rng.choice(["", "_", "-v"]) + str(rng.randint(0, rng.choice([9, 99, 2026, 99999999])))
+        if k % 11 == 0:
+            text = rng.choice([f"{rng.randint(1900, 2100)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", "".join(rng.choices(digits, k=rng.randint(1, 20))), "-".join("".join(rng.choices(digits, k=rng.randint(2, 5))) for _ in range(rng.randint(2, 4)))])
         out.append((text.upper() if k % 17 == 0 else text, False))
     return out
 
 
 class MarkovRatio:
-    """First-order character chains with add-one smoothing; ratio() is the mean log-likelihood
-    ratio per character, above zero if the random model explains the text better."""
-
-    def __init__(self, samples: Iterable[tuple[str, bool]]):
-        n = len(ALPHABET)
-        self.code = np.full(128, n, np.int64)
-        self.code[[ord(c) for c in ALPHABET]] = np.arange(n)
-        counts = np.ones((2, n + 2, n + 1))
-        for text, secret in samples:
-            at = self._codes(text)
-            if len(at):
-                np.add.at(counts[int(secret)], (np.concatenate([[n + 1], at[:-1]]), at), 1)
-        log = np.log(counts / counts.sum(axis=2, keepdims=True))
-        self.step = log[1] - log[0]
-
-    def _codes(self, text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-        return self.code[raw]
-
-    def ratio(self, text: str) -> float:
-        at = self._codes(text)
-        return float(self.step[np.concatenate([[len(ALPHABET) + 1], at[:-1]]), at].mean()) if len(at) else 0.0
+    """Two first-order character chains with add-one smoothing, from and to the token's ends too.
+
+    Summed over a token, `step` is the log-likelihood ratio of the random chain to the
+    ordinary one. A token passes if it is then likelier a secret than not, where `prior` of
+    all tokens are secrets. No quantile of the ordinary samples' ratios is asked for: some
+    of them are secrets that no fixed pattern knew, and would hide their like.
+    """
+
+    def __init__(self, samples: Iterable[tuple[str, bool]], prior: float = 1e-5):
+        self.edge, self.threshold = len(ALPHABET), float(np.log((1 - prior) / prior))
+        self.code = np.full(256, self.edge, np.int32)
+        self.code[[ord(c) for c in ALPHABET]] = np.arange(self.edge)
+        size = self.edge + 1
+        counts = np.zeros((2, size * size))
+        for text, secret in set(samples):
+            np.add.at(counts[int(secret)], self._path(np.frombuffer(text.encode("ascii", "replace"), np.uint8)), 1)
+        self.step = self._step(counts, size)
+
+    def _path(self, raw: np.ndarray) -> np.ndarray:
+        """Each transition between neighbouring bytes, with an edge before and after, as a number."""
+        at = np.concatenate([[self.edge], self.code[raw], [self.edge]])
+        return at[:-1] * (self.edge + 1) + at[1:]
+
+    def _step(self, counts: np.ndarray, size: int) -> np.ndarray:
+        """log p(next | last) of the random chain less that of the ordinary one; 0 between tokens."""
+        table = counts.reshape(2, size, size) + 1
+        log = np.log(table / table.sum(axis=2, keepdims=True))
+        out = log[1] - log[0]
+        out[self.edge, self.edge] = 0.0
+        return out.ravel()
+
+    def ratio(self, token: str) -> float:
+        """The log-likelihood ratio of one token."""
+        return float(self.step[self._path(np.frombuffer(token.encode("ascii", "replace"), np.uint8))].sum())
+
+    def random_tokens(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
+        """(start, end) in bytes of each text's tokens whose ratio passes the threshold."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        path = self._path(np.frombuffer(b"\n".join(texts), np.uint8))
+        sums = np.concatenate([[0.0], np.cumsum(self.step[path])])
+        before, after = path // (self.edge + 1) == self.edge, path % (self.edge + 1) == self.edge
+        # Transition k leads to byte k: a token begins where one leaves the edge, and ends where one comes to it.
+        starts, ends = np.flatnonzero(before & ~after), np.flatnonzero(~before & after)
+        found = sums[ends + 1] - sums[starts] > self.threshold
+        begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        for s, e in zip(starts[found].tolist(), ends[found].tolist()):
+            k = int(np.searchsorted(begins, s, "right")) - 1
+            out[k].append((s - int(begins[k]), e - int(begins[k])))
+        return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -84,41 +119,92 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def find_spans(text: str, model: MarkovRatio, threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and the spans that the models add."""
-    base = base_spans(text)
-    added = []
-    for m in CANDIDATE.finditer(text) if has_long_word(text) else ():
-        found = m[0]
-        if any(c.isdigit() for c in found) and any(c.isalpha() for c in found) and model.ratio(found) > threshold:
-            if not any(s < m.end() and m.start() < e for s, _, e in base):
-                added.append((m.start(), 3, m.end()))
-    return base, added
+def joined(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+
+
+def find_spans(texts: list[bytes], model: MarkovRatio) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Base spans of each text, and the spans that the models add, in code points.
 
+    An added span leaves out what isn't a letter or digit at a token's ends, and takes in up
+    to two '=' behind it.
+    """
+    for raw, tokens in zip(texts, model.random_tokens(texts)):
+        text, added = raw.decode(), []
+        base = base_spans(text)
+        for s, e in tokens:
+            shift = 0 if len(text) == len(raw) else len(raw[:s].decode()) - s
+            s, e = s + shift, e + shift
+            while s < e and not text[s].isalnum():
+                s += 1
+            while e > s and not text[e - 1].isalnum():
+                e -= 1
+            e += len(re.match("={0,2}", text[e : e + 2])[0])
+            if e > s and not any(a < e and s < b for a, _, b in base):
+                added.append((s, 3, e))
+        yield base, added
+
+
+def ordinary_and_secret(text: str) -> Iterator[tuple[str, bool]]:
+    """Labelled tokens of a text: the values of base spans, and every token outside of them."""
+    spans = base_spans(text)
+    for s, kind, e in spans:
+        value = ASSIGN.match(text, s)[2] if kind == 0 else text[s:e]
+        yield from ((t, True) for t in TOKEN.findall(value) if len(t) >= 8)
+    at = 0
+    for s, _, e in [*spans, (len(text), 0, len(text))]:
+        yield from ((t, False) for t in TOKEN.findall(text[at:s]))
+        at = max(at, e)
+
+
+def labelled_samples(documents: DataFrame, most_documents: int = 2000, most_tokens: int = 50_000) -> tuple[Samples, float]:
+    """Labelled tokens of the `most_documents` documents whose ids have the smallest hashes,
+    at most `most_tokens` distinct ones of each label, those of the smallest hashes, with
+    built_in_samples(); and the share of secrets among all tokens of these documents.
+
+    Ids are sorted apart from the texts and broadcast to them; null ids don't take part.
+    """
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
 
-def has_long_word(text: str) -> bool:
-    return max(map(len, text.split()), default=0) >= 20
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 1_000_000):
+            found = sorted(Counter(x for text in batch.column("text").to_pylist() for x in ordinary_and_secret(text or "")).items())
+            yield pa.RecordBatch.from_arrays([pa.array([t for (t, _), _ in found], pa.string()), pa.array([s for (_, s), _ in found], pa.bool_()), pa.array([n for _, n in found], pa.int64())], names=["token", "secret", "times"])
 
+    found = keep(texts.mapInArrow(run, "token string, secret boolean, times long").groupBy("token").agg(F.max("secret").alias("secret"), F.sum("times").alias("times")), "samples")
+    all_, secret = found.agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("secret"), F.col("times"))), F.lit(0))).first()
+    out = built_in_samples()
+    for label in (False, True):
+        out += [(r.token, label) for r in found.where(F.col("secret") == label).orderBy(F.xxhash64("token"), "token").limit(most_tokens).select("token").collect()]
+    discard(found)
+    return out, (secret + 1) / (all_ + 100_000)
 
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+
+def trained(documents: DataFrame, samples: Samples | None, prior: float | None) -> MarkovRatio:
+    """The models of the given samples, or of labelled_samples() of the documents."""
+    if samples is None:
+        samples, found = labelled_samples(documents)
+        prior = found if prior is None else prior
+    return MarkovRatio(samples, 1e-5 if prior is None else prior)
 
 
-def scan(documents: DataFrame, samples: list[tuple[str, bool]] | None = None, threshold: float = 0.15) -> DataFrame:
+def scan(documents: DataFrame, samples: Samples | None = None, prior: float | None = None) -> DataFrame:
     """The rows of `documents` (doc_id, text) with n_assign, n_access, n_hex, base_sha256,
     spans, and n_random of the spans that the models added.
 
-    Null and empty texts have no spans. Texts of any length are scanned whole; repeated rows
-    and null ids stay. A row needs nothing of other rows: there is no shuffle.
+    Without `samples` the models are trained by labelled_samples() of the documents. Null and
+    empty texts have no spans. Texts of any length are scanned whole; repeated rows and null
+    ids stay; other columns are ignored. A row needs nothing of other rows but the models:
+    texts don't shuffle.
     """
-    model = MarkovRatio(samples or built_in_samples())
+    model = trained(documents, samples, prior)
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_random", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1_000_000):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                base, added = find_spans(text or "", model, threshold)
+            for doc_id, (base, added) in zip(batch.column("doc_id").to_pylist(), find_spans(as_bytes(batch.column("text")), model)):
                 kinds = [k for _, k, _ in base]
                 rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added)))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
@@ -126,27 +212,26 @@ def scan(documents: DataFrame, samples: list[tuple[str, bool]] | None = None, th
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
-def redact(documents: DataFrame, samples: list[tuple[str, bool]] | None = None, threshold: float = 0.15, mark: str = "<secret>") -> DataFrame:
+def redact(documents: DataFrame, samples: Samples | None = None, prior: float | None = None, mark: str = "<secret>") -> DataFrame:
     """`documents` with every found secret replaced by `mark`, and n_chars, if there, set anew.
 
-    Overlapping spans are replaced once. All rows and columns stay; null texts stay null.
+    Without `samples` the models are trained as in scan(). Overlapping spans are replaced
+    once. All rows and columns stay; null texts stay null.
     """
-    model = MarkovRatio(samples or built_in_samples())
+    model = trained(documents, samples, prior)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            out = []
-            for text in batch.column("text").to_pylist():
-                if text:
-                    base, added = find_spans(text, model, threshold)
-                    parts, at = [], 0
-                    for s, _, e in sorted(base + added):
-                        if s >= at:
-                            parts += [text[at:s], mark]
-                        at = max(at, e)
-                    text = "".join(parts) + text[at:] if parts else text
-                out.append(text)
+        for batch in small_batches(batches, "text", 1_000_000):
+            out = batch.column("text").to_pylist()
+            for k, (base, added) in enumerate(find_spans(as_bytes(batch.column("text")), model)):
+                parts, at = [], 0
+                for s, _, e in sorted(base + added):
+                    if s >= at:
+                        parts += [out[k][at:s], mark]
+                    at = max(at, e)
+                if parts:
+                    out[k] = "".join(parts) + out[k][at:]
             columns = dict(zip(batch.schema.names, batch.columns))
             columns["text"] = pa.array(out, pa.string())
             if "n_chars" in columns:

@@ -1,5 +1,12 @@
+import base64
+import builtins
 import hashlib
+import random
 import re
+import string
+import sys
+
+import numpy as np
 
 from tessera.llm import secrets
 
@@ -25,6 +32,25 @@ def plain_spans(text):
     return sorted(out)
 
 
+def planted(count, seed):
+    """Keys that no base pattern covers, from sources of their own: digests in base 32 and 64,
+    letters alone, prefixed keys, and short ones."""
+    rng, out = random.Random(seed), []
+    for k in range(count):
+        digest = hashlib.sha256(f"{seed}-{k}".encode()).digest()
+        forms = [base64.b64encode(digest[:24]).decode(), base64.b32encode(digest[:15]).decode(), "ghx_" + base64.urlsafe_b64encode(digest[:18]).decode(), "".join(rng.choices(string.ascii_letters, k=22)), "".join(rng.choices(string.ascii_letters + string.digits, k=16))]
+        out.append(forms[k % len(forms)])
+    return out
+
+
+def ordinary():
+    """Names of Python's own library: nothing that the models are trained on."""
+    import argparse
+    import unittest.mock
+
+    return sorted({n for m in (builtins, argparse, unittest.mock, np, hashlib, string) for n in dir(m)} | set(sys.stdlib_module_names))
+
+
 def test_base_spans_equal_plain_patterns():
     for text in CASES:
         assert secrets.base_spans(text) == plain_spans(text)
@@ -42,18 +68,68 @@ def test_query_against_plain_patterns(spark, sf_dir):
         assert set(text.split(",") if text else []) <= set(r.spans.split(","))
 
 
+def test_chains_and_their_ratio_by_hand():
+    samples = [("ab", False), ("aa", False), ("b", True)]
+    model = secrets.MarkovRatio(samples)
+    n, edge = len(secrets.ALPHABET) + 1, len(secrets.ALPHABET)
+    a, b = 0, 1
+    counts = np.ones((2, n, n))
+    for text, secret in (([edge, a, b, edge], 0), ([edge, a, a, edge], 0), ([edge, b, edge], 1)):
+        for x, y in zip(text, text[1:]):
+            counts[secret, x, y] += 1
+    p = counts / counts.sum(axis=2, keepdims=True)
+    for token in (("b", [edge, b, edge]), ("ab", [edge, a, b, edge])):
+        assert abs(model.ratio(token[0]) - sum(np.log(p[1, x, y] / p[0, x, y]) for x, y in zip(token[1], token[1][1:]))) < 1e-9
+
+
 def test_model_tells_held_out_keys_from_names():
-    samples = secrets.built_in_samples(3000, 1)
     model = secrets.MarkovRatio(secrets.built_in_samples())
-    right = sum((model.ratio(t) > 0.15) == s for t, s in samples)
-    assert right / len(samples) > 0.95
-    _, added = secrets.find_spans("use Zk9rT2vXq81LmPw4sYb7HcN0 with get_user_name_from_index_2026 or 12345678901234567890123", model, 0.15)
-    assert [(s, e) for s, _, e in added] == [(4, 28)]
+    keys, names = [k for k in planted(1000, 3) if len(k) > 16], ordinary()
+    assert np.mean([model.ratio(k) > model.threshold for k in keys]) > 0.97
+    assert np.mean([model.ratio(n) > model.threshold for n in names]) < 0.02 and len(names) > 800
+
+
+def test_tokens_of_many_texts_equal_those_of_each():
+    model = secrets.MarkovRatio(secrets.built_in_samples())
+    rng = random.Random(5)
+    texts = [f"é {' '.join(rng.choices(planted(50, 9) + ordinary()[:200] + ['(a.b)', '--', ''], k=rng.randint(0, 12)))} 日" for _ in range(60)] + ["", "x"]
+    for text, (base, added) in zip(texts, secrets.find_spans([t.encode() for t in texts], model)):
+        want = set()
+        for m in secrets.TOKEN.finditer(text):
+            if model.ratio(m[0]) > model.threshold:
+                inner = re.search("[A-Za-z0-9](.*[A-Za-z0-9])?", m[0])
+                s, e = m.start() + inner.start(), m.start() + inner.end()
+                e += len(re.match("={0,2}", text[e:])[0])
+                if not any(s < y and x < e for x, _, y in base):
+                    want.add((s, e))
+        assert {(s, e) for s, _, e in added} == want
 
 
-def test_clean_words_are_left_alone(spark, sf_dir):
-    got = secrets.op4_markov_secrets(spark, sf_dir)
-    assert got.where("n_assign + n_access + n_hex = 0 and n_random > 0").count() == 0
+def with_keys(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    keys = planted(len(docs), 77)
+    rows, at = [], {}
+    for k, r in enumerate(docs):
+        if k % 3 == 0 and not plain_spans(keys[k]):
+            at[r.doc_id] = (len(r.text) + 5, len(r.text) + 5 + len(keys[k]))
+            rows.append((r.doc_id, f"{r.text}\nuse {keys[k]} here"))
+        else:
+            rows.append((r.doc_id, r.text))
+    return spark.createDataFrame(rows, "doc_id long, text string"), at, {r.doc_id: r.text for r in docs}
+
+
+def test_planted_keys_that_no_base_pattern_covers(spark, sf_dir, monkeypatch):
+    frame, at, texts = with_keys(spark, sf_dir)
+    got = {r.doc_id: r for r in secrets.scan(frame).collect()}
+    found = [f"random:{s}:{e}" in got[i].spans.split(",") for i, (s, e) in at.items()]
+    assert len(found) > 50 and np.mean(found) > 0.9
+    for r in got.values():
+        base = plain_spans(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+    # Clean documents are left alone, and without the chains nothing is found.
+    assert np.mean([got[i].n_random == 0 for i in texts if i not in at]) > 0.98
+    monkeypatch.setattr(secrets.MarkovRatio, "_step", lambda self, counts, size: np.zeros(size * size))
+    assert secrets.scan(frame).where("n_random > 0").count() == 0
 
 
 def test_redaction_and_edges(spark):
@@ -65,3 +141,4 @@ def test_redaction_and_edges(spark):
     found = secrets.scan(frame)
     assert found.count() == 5 and found.where("n_access = 1").count() == 1
     assert secrets.scan(frame.limit(0)).count() == 0
+    assert secrets.redact(frame.limit(0)).count() == 0
