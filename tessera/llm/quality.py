@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import class_sample
+from tessera.llm.labelled import class_sample, within
 from tessera.llm.shared import as_bytes, held_out, small_batches, table
 
 WORDS, BUCKETS = 100, 48
@@ -123,22 +123,16 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, per_class: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1_000_000):
-            found = [passages(t).astype(np.float32).tobytes() for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], names=["doc_id", "y", "bag"])
-
-    rows, used = [], 0
-    for r in sample.mapInArrow(run, "doc_id long, y int, bag binary").toLocalIterator():
-        bag = np.frombuffer(bytes(r.bag), np.float32).reshape(-1, FEATURES)
-        if used + len(bag) > most_passages:
-            break
-        used += len(bag)
-        rows.append((r.doc_id, bag, r.y))
-    rows.sort(key=lambda r: r[0])
-    model, y = GatedAttention(), np.array([r[2] for r in rows], np.float64)
+            found = [passages(t).astype(np.float32) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "y", "size", "data"])
+
+    rows = within(sample.mapInArrow(run, "doc_id long, y int, size long, data binary"), most_passages)
+    rows = [(np.frombuffer(bytes(r.data), np.float32).reshape(-1, FEATURES), r.y) for r in rows]
+    model, y = GatedAttention(), np.array([y for _, y in rows], np.float64)
     if not len(y) or not 0 < y.sum() < len(y):
         model.p = {k: 0 * x for k, x in model.p.items()}
         return model, odds
-    model.fit([b for _, b, _ in rows], y)
+    model.fit([b for b, _ in rows], y)
     return model, odds - float(np.log(y.sum() / (len(y) - y.sum())))
 
 
