@@ -1,9 +1,10 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
-Every vector queries every shard. The beam is widened until an audit against brute force
-passes on a sample of each block of queries; found pairs are verified by cosine in double
-precision. Tasks return counts and a forest of their links, never all pairs of a group;
-components are then united over the shards.
+Every shard is queried by the vectors of the others, each pair of shards once. The beam is
+widened until audits against brute force pass: on noisy copies of the shard's members, which
+always have true pairs, and on a sample of each batch of queries. Found pairs are verified by
+cosine in double precision. Tasks return counts at both ends and a forest of their links,
+never all pairs of a group; components are then united over the shards.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components, forest
-from tessera.llm.shared import keep, table
+from tessera.llm.shared import discard, keep, table
 
 
 class Graph:
@@ -160,23 +161,51 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, recall: float = 0.98, sample: int = 256, width: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified (query, node) pairs. The beam doubles until, over `sample` queries spread
-    through the block, at least `recall` of the brute-force pairs are found; once it would
-    open every node, the block is compared by brute force instead."""
-    tried = np.unique(np.linspace(0, len(q) - 1, min(sample, len(q))).astype(int))
-    truth = sum(int((q[tried[a : a + 64]] @ x.T >= threshold).sum()) for a in range(0, len(tried), 64))
-    while width < len(x):
-        found = sum(len(i) for i, _ in _verified(graph.search(q[tried], width, threshold), q[tried], x, threshold))
-        if found >= recall * truth:
-            break
-        width *= 2
-    if width < len(x):
-        yield from _verified(graph.search(q, width, threshold), q, x, threshold)
-    else:
-        for a in range(0, len(q), 256):
-            i, j = np.nonzero(q[a : a + 256] @ x.T >= threshold)
-            yield a + i, j
+def probes(x: np.ndarray, threshold: float, count: int, seed: int = 7) -> np.ndarray:
+    """Unit vectors whose cosine to a member of `x` is `threshold` at least: noisy copies of
+    members spread through it, so that an audit always has true pairs to find."""
+    rng = np.random.default_rng(seed)
+    near = x[np.unique(np.linspace(0, len(x) - 1, min(count, len(x))).astype(int))]
+    noise = rng.normal(size=near.shape)
+    noise -= np.einsum("ij,ij->i", noise, near)[:, None] * near
+    size = np.sqrt(np.einsum("ij,ij->i", noise, noise))[:, None]
+    cosine = threshold + (1 - threshold) * rng.uniform(0.02, 1, (len(near), 1))
+    return unit(cosine * near + np.where(size > 1e-9, np.sqrt(1 - cosine**2) * noise / np.maximum(size, 1e-9), 0.0))
+
+
+def _true(q: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    step = max(1, 8_000_000 // len(x))
+    for a in range(0, len(q), step):
+        i, j = np.nonzero(q[a : a + step] @ x.T >= threshold)
+        yield a + i, j
+
+
+class Shard:
+    """A graph with its vectors, and the beam that its audits have found wide enough."""
+
+    def __init__(self, graph: Graph, x: np.ndarray, threshold: float, recall: float = 0.98, width: int = 16):
+        self.graph, self.x, self.threshold, self.recall, self.width = graph, x, threshold, recall, width
+        self.true = self.found = 0
+        self._audit(probes(x, threshold, 256))
+
+    def _audit(self, q: np.ndarray) -> None:
+        """Doubles the beam until `recall` of the brute-force pairs of `q` are found."""
+        true = sum(len(i) for i, _ in _true(q, self.x, self.threshold))
+        while True:
+            found = true if self.width >= len(self.x) else sum(len(i) for i, _ in _verified(self.graph.search(q, self.width, self.threshold), q, self.x, self.threshold))
+            if found >= self.recall * true:
+                break
+            self.width *= 2
+        self.true, self.found = self.true + true, self.found + min(found, true)
+
+    def linked(self, q: np.ndarray, sample: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Verified (query, node) pairs, after an audit on `sample` of the queries; once the
+        beam would open every node the queries are compared by brute force instead."""
+        self._audit(q[np.unique(np.linspace(0, len(q) - 1, min(sample, len(q))).astype(int))])
+        if self.width < len(self.x):
+            yield from _verified(self.graph.search(q, self.width, self.threshold), q, self.x, self.threshold)
+        else:
+            yield from _true(q, self.x, self.threshold)
 
 
 def _verified(pairs: Iterator[tuple[np.ndarray, np.ndarray]], q: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -185,14 +214,21 @@ def _verified(pairs: Iterator[tuple[np.ndarray, np.ndarray]], q: np.ndarray, x:
         yield i[cosine >= threshold], j[cosine >= threshold]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, shard_rows: int = 400_000, block_rows: int = 20_000) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of `vectors` (vec_id, embedding).
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, shard_bytes: int = 96_000_000, task_rows: int = 10_000, most_splits: int = 16) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audited_recall) for each row of `vectors` (vec_id, embedding).
 
     Linked are vectors of one length whose cosine is at least `threshold`. Null or zero
     vectors and those with null or non-finite components link with nothing: 0 links, their
     own component, kept. Equal vectors are found as one class, which counts for all its
     rows. Repeated rows stay and count as links of each other; labels and other columns are
-    ignored. There are `shards` graphs, more only when one would exceed `shard_rows`.
+    ignored. audited_recall: the part of brute-force pairs found in all audits; null if there
+    was nothing to audit.
+
+    There are `shards` graphs, more only when one would exceed `shard_bytes`. Every shard is
+    queried, each pair of shards once: the vectors of one query the graph of the other, and
+    what is found counts at both ends. In a shard's own graph the later id of a pair finds
+    the earlier. A task holds one graph and reads its queries as a stream; queries are split
+    over at most `most_splits` tasks a graph, or one for each million, so a graph moves that often.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
@@ -200,10 +236,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, sh
     largest = F.array_max(F.transform("embedding", lambda v: F.abs(v)))
     classes = rows.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = keep(classes.withColumn("scaled", F.transform("embedding", lambda v: v / largest)).select("embedding", "rep", "copies", "scaled", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("key")), "vectors")
-    count = classes.count()
-    shards = max(shards, -(-count // shard_rows))
-    blocks = max(1, -(-count // block_rows))
-    members = classes.select("dim", F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "rep", "copies", "scaled")
+    count, longest = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
+    shards = max(shards, -(-count * (8 * longest + 128) // shard_bytes))
+    splits = max(1, min(count // task_rows, most_splits), count // 1_000_000)
+    home = F.pmod("key", F.lit(shards)).cast("int")
+    members = classes.select("dim", home.alias("shard"), "rep", "copies", "scaled")
 
     def build(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("rep")
@@ -212,36 +249,69 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, sh
         return pd.DataFrame({"dim": [own["dim"].iloc[0]], "shard": [own["shard"].iloc[0]], "graph": [blob]})
 
     graphs = keep(members.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "graphs")
-    met = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "graph")
-    asked = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.hash("key"), F.lit(blocks)).alias("block"), "rep", "scaled")
-
-    def ask(graph: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
-        if not len(graph) or not len(own):
-            return none
-        built, x, reps, copies = pickle.loads(graph["graph"].iloc[0])
-        own = own.sort_values("rep")
-        q, ids = unit(np.stack(own["scaled"].to_numpy())), own["rep"].to_numpy(np.int64)
-        links, a, b = np.zeros(len(ids), np.int64), [], []
-        for i, j in linked(built, x, q, threshold):
-            other = ids[i] != reps[j]
-            i, j = i[other], j[other]
-            np.add.at(links, i, copies[j])
-            low, high = forest(ids[i], reps[j])
-            a.append(low)
-            b.append(high)
-        low, high = forest(np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
-        some = np.flatnonzero(links)
-        return pd.DataFrame({"a": np.concatenate([low, ids[some]]), "b": np.concatenate([high, ids[some]]), "links": np.concatenate([np.zeros(len(low), np.int64), links[some]])})
-
-    found = keep(met.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(ask, "a long, b long, links long"), "links")
-    parts = connected_components(found.where("links = 0").select("a", "b"))
-    degree = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    # The other half of the shards sends its vectors here; of an even number the one opposite is asked from the lower side.
+    half = F.sequence(F.lit(0), F.lit(shards // 2))
+    to = F.transform(F.filter(half, lambda d: (2 * d != shards) | (home < shards // 2)), lambda d: F.pmod(home + d, F.lit(shards)).cast("int"))
+    split = F.pmod(F.hash("key"), F.lit(splits))
+    asked = classes.select("dim", F.explode(to).alias("shard"), split.alias("split"), home.alias("home"), "rep", "copies", "scaled")
+    met = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "graph")
+    dealt = met.unionByName(asked, allowMissingColumns=True).repartition(shards * splits, "dim", "shard", "split").sortWithinPartitions("dim", "shard", "split", F.col("rep").asc_nulls_first())
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The rows of a graph come behind it; a partition may hold several graphs, one after the other.
+        at = shard = None
+        for batch in batches:
+            ids, keys = batch.column("rep").to_numpy(zero_copy_only=False), np.column_stack([batch.column(c).to_numpy() for c in ("dim", "shard", "split")])
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                part = batch.slice(low, high - low)
+                if (key := tuple(keys[low])) != at:
+                    if shard:
+                        yield outcome([], [], [], [shard.true, shard.found])
+                    at, shard = key, None
+                if part.column("graph")[0].is_valid:
+                    built, x, reps, copies = pickle.loads(part.column("graph")[0].as_py())
+                    shard, part = Shard(built, x, threshold), part.slice(1)
+                if shard is None or not part.num_rows:  # a shard without members has no graph
+                    continue
+                q = unit(part.column("scaled").flatten().to_numpy().reshape(part.num_rows, -1))
+                ids, own = part.column("rep").to_numpy(), part.column("home").to_numpy() == key[1]
+                times, mine, theirs, a, b = part.column("copies").to_numpy(), np.zeros(len(q), np.int64), np.zeros(len(reps), np.int64), [], []
+                for i, j in shard.linked(q):
+                    once = ~own[i] | (ids[i] > reps[j])
+                    i, j = i[once], j[once]
+                    np.add.at(mine, i, copies[j])
+                    np.add.at(theirs, j, times[i])
+                    edges = forest(ids[i], reps[j])
+                    a.append(edges[0])
+                    b.append(edges[1])
+                edges = forest(np.concatenate(a), np.concatenate(b)) if a else ([], [])
+                some, others = np.flatnonzero(mine), np.flatnonzero(theirs)
+                yield outcome(*edges, [(ids[some], mine[some]), (reps[others], theirs[others])], [])
+        if shard:
+            yield outcome([], [], [], [shard.true, shard.found])
+
+    def outcome(a, b, counts, audit) -> pa.RecordBatch:
+        """Edges with 0 links; counts as edges of a node to itself; an audit's sums as nodes -1 and -2 of no id."""
+        rows = [(np.asarray(a, np.int64), np.asarray(b, np.int64), np.zeros(len(a), np.int64))]
+        rows += [(i, i, n) for i, n in counts]
+        left, right, links = (np.concatenate(x) for x in zip(*rows))
+        if not audit:
+            return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(links)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([None, None], pa.int64()), pa.array([0, 1], pa.int64()), pa.array(audit, pa.int64())], schema=schema)
+
+    found = keep(dealt.mapInArrow(ask, "a long, b long, links long"), "links")
+    discard(graphs)
+    true, hits = found.where("a IS NULL").agg(F.sum(F.when(F.col("b") == 0, F.col("links"))), F.sum(F.when(F.col("b") == 1, F.col("links")))).first()
+    parts = connected_components(found.where("links = 0 AND a IS NOT NULL").select("a", "b"))
+    degree = found.where("links > 0 AND a IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     known = classes.select("embedding", "rep", "copies").join(degree, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     good = rows.where("fine").join(known, "embedding").select("vec_id", "n_links", "component_id")
     lone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(lone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    recall = F.lit(hits / true if true else None).cast("double")
+    return good.unionByName(lone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), recall.alias("audited_recall"))
 
 
 def op6_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
