@@ -56,48 +56,50 @@ class Graph:
                 keep_n = min(found.shape[1], 2 * width)
                 best = np.argsort(-found_sims, axis=1, kind="stable")[:, :keep_n]
                 ids, sims = np.hstack([ids, np.take_along_axis(found, best, axis=1)]), np.hstack([sims, np.take_along_axis(found_sims, best, axis=1)])
-            for k, node in enumerate(new.tolist()):
-                chosen, chosen_sims = self._choose(node, ids[k], sims[k], self.links)
-                held[node, : len(chosen)], score[node, : len(chosen)] = chosen, chosen_sims
-            for node in new.tolist():
-                mine = held[node, : self.links]
-                for other, sim in zip(mine[mine >= 0].tolist(), score[node, : self.links].tolist()):
-                    self._link_back(held, score, other, node, sim)
+            chosen, near = self._choose(new, ids, sims, self.links)
+            held[done:stop, : self.links], score[done:stop, : self.links] = chosen, near
+            k, at = np.nonzero(chosen >= 0)
+            self._link_back(held, score, chosen[k, at], new[k], near[k, at])
             done = stop
         return held
 
-    def _choose(self, node: int, ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates nearer to the node than to any already chosen; then the nearest of the rest."""
-        valid = (ids >= 0) & np.isfinite(sims) & (ids != node)
-        ids, sims = ids[valid], sims[valid]
-        order = np.argsort(-sims, kind="stable")[: 4 * most]
-        ids, sims = ids[order], sims[order]
-        ids, first = np.unique(ids, return_index=True)
-        order = np.argsort(first)
-        ids, sims = ids[order], sims[np.sort(first)]
-        between = self.x[ids] @ self.x[ids].T
-        chosen: list[int] = []
-        for k in range(len(ids)):
-            if len(chosen) == most:
-                break
-            if not chosen or between[k, chosen].max() < sims[k]:
-                chosen.append(k)
-        if len(chosen) < most:
-            rest = [k for k in range(len(ids)) if k not in set(chosen)]
-            chosen += rest[: most - len(chosen)]
-        return ids[chosen], sims[chosen]
-
-    def _link_back(self, held: np.ndarray, score: np.ndarray, node: int, new: int, sim: float) -> None:
-        row = held[node]
-        if (row == new).any():
-            return
-        free = np.flatnonzero(row < 0)
-        if len(free):
-            row[free[0]], score[node, free[0]] = new, sim
-            return
-        ids, sims = self._choose(node, np.append(row, new), np.append(score[node], sim), len(row))
-        held[node], score[node] = -1, -np.inf
-        held[node, : len(ids)], score[node, : len(ids)] = ids, sims
+    def _choose(self, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each node, of its row of candidates those nearer to it than to any already
+        chosen, then the nearest of the rest: `most` ids and similarities, padded with -1."""
+        out, out_sims = np.full((len(nodes), most), -1, np.int32), np.full((len(nodes), most), -np.inf, np.float32)
+        step = max(16, 32_000_000 // (16 * most * self.x.shape[1] + 1))
+        for a in range(0, len(nodes), step):
+            i, s = ids[a : a + step], np.where((ids[a : a + step] >= 0) & (ids[a : a + step] != nodes[a : a + step, None]), sims[a : a + step], -np.inf)
+            order = np.argsort(-s, axis=1, kind="stable")[:, : 4 * most]
+            i, s = np.take_along_axis(i, order, axis=1), np.take_along_axis(s, order, axis=1)
+            usable = np.isfinite(s)
+            usable &= ~np.tril(i[:, :, None] == i[:, None, :], -1).any(axis=2)
+            v = self.x[np.where(usable, i, 0)]
+            between = v @ v.transpose(0, 2, 1)
+            chosen = np.zeros(usable.shape, bool)
+            for k in range(usable.shape[1]):
+                nearest = np.where(chosen, between[:, k], -np.inf).max(axis=1)
+                chosen[:, k] = usable[:, k] & (nearest < s[:, k]) & (chosen.sum(axis=1) < most)
+            rest = usable & ~chosen
+            chosen |= rest & (np.cumsum(rest, axis=1) <= most - chosen.sum(axis=1)[:, None])
+            order = np.argsort(~chosen, axis=1, kind="stable")[:, :most]
+            kept = np.take_along_axis(chosen, order, axis=1)
+            out[a : a + step, : order.shape[1]] = np.where(kept, np.take_along_axis(i, order, axis=1), -1)
+            out_sims[a : a + step, : order.shape[1]] = np.where(kept, np.take_along_axis(s, order, axis=1), -np.inf)
+        return out, out_sims
+
+    def _link_back(self, held: np.ndarray, score: np.ndarray, to: np.ndarray, new: np.ndarray, sims: np.ndarray) -> None:
+        """Offers each of `to` its link from `new`; a node keeps the best choice of what it has
+        and its nearest offers, as many of these as it can hold links."""
+        width = held.shape[1]
+        order = np.lexsort((-sims, to))
+        to, new, sims = to[order], new[order], sims[order]
+        nodes, first, of_node = np.unique(to, return_index=True, return_inverse=True)
+        place = np.arange(len(to)) - first[of_node]
+        fits = place < width
+        offered, offered_sims = np.full((len(nodes), width), -1, np.int32), np.full((len(nodes), width), -np.inf, np.float32)
+        offered[of_node[fits], place[fits]], offered_sims[of_node[fits], place[fits]] = new[fits], sims[fits]
+        held[nodes], score[nodes] = self._choose(nodes, np.hstack([held[nodes], offered]), np.hstack([score[nodes], offered_sims]), width)
 
     def _beam(self, held: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of all nodes that each query has met, -1 where there is none.
@@ -248,7 +250,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, sh
         blob = pickle.dumps((Graph(x), x, own["rep"].to_numpy(np.int64), own["copies"].to_numpy(np.int64)))
         return pd.DataFrame({"dim": [own["dim"].iloc[0]], "shard": [own["shard"].iloc[0]], "graph": [blob]})
 
-    graphs = keep(members.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "graphs")
+    graphs = keep(members.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "graphs")
     # The other half of the shards sends its vectors here; of an even number the one opposite is asked from the lower side.
     half = F.sequence(F.lit(0), F.lit(shards // 2))
     to = F.transform(F.filter(half, lambda d: (2 * d != shards) | (home < shards // 2)), lambda d: F.pmod(home + d, F.lit(shards)).cast("int"))
