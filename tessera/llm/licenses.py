@@ -1,4 +1,4 @@
-"""License scans: signature rules over a text's words, in DataFrame functions only.
+"""License scans: written signature rules over a text's words, in DataFrame functions only.
 
 A rule is a regular expression with a keyword that all its matches contain, a label and a
 priority. A rule is tried only where its keyword occurs, and a text without any keyword
@@ -14,75 +14,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.license_rules import SIGNATURES
 from tessera.llm.shared import table
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 #: Fixed by the query's contract: phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label, keyword, name, version: names as regular expressions over words. Every match of a
-#: name, with the spaces around it, contains the keyword.
-FAMILIES = (
-    ("mit", " mit ", "mit(?: x11)?", ""),
-    ("apache", " apache ", "apache(?: software)?", "(?:1 0|1 1|2 0|2)"),
-    ("gpl", "general public", "(?:gnu )?general public", "(?:1|2|3|1 0|2 0|3 0)"),
-    ("gpl", " gpl", "(?:gnu )?gpl(?:v[123])?", "(?:1|2|3|1 0|2 0|3 0)"),
-    ("lgpl", "lesser general", "(?:gnu )?lesser general public", "(?:2 1|3|3 0)"),
-    ("lgpl", "library general", "(?:gnu )?library general public", "(?:2|2 0)"),
-    ("lgpl", " lgpl", "(?:gnu )?lgpl(?:v[23])?", "(?:2 1|3|3 0)"),
-    ("agpl", "affero", "(?:gnu )?affero general public", "(?:1|3|3 0)"),
-    ("agpl", " agpl", "(?:gnu )?agpl(?:v3)?", "(?:3|3 0)"),
-    ("gfdl", "free documentation", "(?:gnu )?free documentation", "(?:1 1|1 2|1 3)"),
-    ("bsd-2", "bsd ", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", ""),
-    ("bsd-3", " bsd ", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", ""),
-    ("bsd-4", " bsd ", "(?:original bsd|bsd 4 clause|4 clause bsd)", ""),
-    ("bsd", " bsd ", "bsd", ""),
-    ("mpl", "mozilla", "mozilla public", "(?:1 0|1 1|2 0)"),
-    ("mpl", " mpl ", "mpl", "(?:1 0|1 1|2 0)"),
-    ("epl", "eclipse", "eclipse public", "(?:1 0|2 0)"),
-    ("epl", " epl ", "epl", "(?:1 0|2 0)"),
-    ("cddl", "common development", "common development and distribution", "(?:1 0|1 1)"),
-    ("cddl", " cddl ", "cddl", "(?:1 0|1 1)"),
-    ("cpl", "common public", "common public", "1 0"),
-    ("eupl", "european union public", "european union public", "(?:1 1|1 2)"),
-    ("eupl", " eupl ", "eupl", "(?:1 1|1 2)"),
-    ("isc", " isc ", "isc", ""),
-    ("zlib", " zlib", "zlib(?: libpng)?", ""),
-    ("boost", " boost ", "boost(?: software)?", "1 0"),
-    ("artistic", "artistic", "artistic", "(?:1 0|2 0)"),
-    ("unlicense", "unlicense", "unlicense", ""),
-    ("wtfpl", "wtfpl", "wtfpl", "2"),
-    ("python", "python", "python software foundation", "2"),
-    ("php", " php ", "php", "(?:3 0|3 01)"),
-    ("openssl", "openssl", "openssl", ""),
-    ("ofl", "open font", "(?:sil )?open font", "1 1"),
-    ("odbl", "open database", "open database", "1 0"),
-    ("odc-by", "open data commons", "open data commons attribution", "1 0"),
-    ("ms-pl", "microsoft public", "microsoft public", ""),
-    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal", ""),
-    ("cc-by-nc-sa", " nc sa ", "cc by nc sa", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by-nc-nd", " nc nd ", "cc by nc nd", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by-nc", " by nc ", "cc by nc", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by-sa", " by sa ", "cc by sa", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by-nd", " by nd ", "cc by nd", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by", " cc by ", "cc by", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc0", "cc0", "cc0", "1 0"),
-    ("cc-by-nc-sa", "creative commons attribution non", "creative commons attribution non ?commercial share ?alike", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by-nc", "creative commons attribution non", "creative commons attribution non ?commercial", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by-sa", "creative commons", "creative commons attribution share ?alike", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by-nd", "creative commons", "creative commons attribution no ?derivatives", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("cc-by", "creative commons", "creative commons attribution", "(?:1 0|2 0|2 5|3 0|4 0)"),
-    ("public-domain", "public domain", "(?:dedicated to )?(?:the )?public domain", ""),
-)
-
-#: Priority and form; the name and an optional version go in.
-FORMS = (
-    (4, "spdx license identifier {name}(?: (?:v|version ?)?{version})?(?: (?:only|or later))?"),
-    (3, "(?:licensed|released|distributed|available|published) under (?:the |a )?(?:terms of the )?{name}(?: licen[cs]e)?(?: (?:v|version ?)?{version})?"),
-    (3, "(?:subject to|governed by|under) the (?:terms of|terms and conditions of|conditions of) the {name}(?: licen[cs]e)?(?: (?:v|version ?)?{version})?"),
-    (2, "{name} licen[cs]e(?: (?:v|version ?)?{version})?"),
-    (2, "licen[cs]e(?: is)? {name}(?: (?:v|version ?)?{version})?"),
-    (1, "{name} (?:v|version ?)?{version}"),
-)
+#: How sure a detection of each priority makes a license; a negation says that there is none.
+STRENGTH = {1: 0.2, 2: 0.5, 3: 0.8, 4: 0.9, 5: 1.0, 6: 0.0}
 
 
 @dataclass(frozen=True)
@@ -94,37 +35,34 @@ class Rule:
 
 
 def built_in_rules() -> list[Rule]:
-    """Every form of every family; forms that need a version only where there is one."""
-    out = []
-    for label, keyword, name, version in FAMILIES:
-        for priority, form in FORMS:
-            if version:
-                body = form.format(name=name, version=version)
-            elif priority > 1:
-                body = form.replace("(?: (?:v|version ?)?{version})?", "").format(name=name)
-            else:
-                continue
-            out.append(Rule(label, keyword, body, priority))
-    out += [Rule("all-rights-reserved", "rights reserved", "all rights reserved", 1), Rule("unknown-license", "licen", "licen[cs]ed under [^ ]+", 1)]
-    return out
+    """The written signatures, in their order."""
+    return [Rule(label, keyword, regex, priority) for label, priority, keyword, regex in SIGNATURES]
 
 
-def gates(rules: list[Rule]) -> tuple[str, ...]:
-    """The keywords of the rules: a text with none of them has no match."""
-    return tuple(dict.fromkeys(r.keyword for r in rules))
+#: Parts that many keywords share. A keyword is sought only where its part occurs, and a
+#: keyword with none of them is its own part, so they change the cost and not what is found.
+PARTS = ("licen", "identifier", "gpl", "public", "software", "exception", "apache", "bsd", "cc by", "cc0", "commons", "under the ", "redistribut", "proprietary", "not ", "mpl", "epl", "cddl", "the gnu", "openssl", "same terms as")
 
 
-GATES = gates(built_in_rules())
+def gates(rules: list[Rule]) -> dict[str, list[str]]:
+    """The rules' keywords by the part that they contain: a text with none of the parts has no match."""
+    out: dict[str, list[str]] = {}
+    for keyword in dict.fromkeys(r.keyword for r in rules):
+        out.setdefault(next((p for p in PARTS if p in keyword), keyword), []).append(keyword)
+    return out
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _rules(rules: list[Rule]) -> Column:
-    """array<struct<keyword, rules>>: the rules by keyword."""
+def _tried(words: Column, rules: list[Rule]) -> Column:
+    """array<struct<rule, label, priority, regex>>: the rules whose keyword occurs."""
     one = lambda k, r: F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"))
-    return F.array(*[F.struct(F.lit(g).alias("keyword"), F.array(*[one(k, r) for k, r in enumerate(rules) if r.keyword == g]).alias("rules")) for g in gates(rules)])
+    own = lambda keyword: F.array(*[one(k, r) for k, r in enumerate(rules) if r.keyword == keyword])
+    table = F.array(*[F.struct(F.lit(part).alias("part"), F.array(*[F.struct(F.lit(k).alias("keyword"), own(k).alias("rules")) for k in keywords]).alias("keywords")) for part, keywords in gates(rules).items()])
+    keywords = F.flatten(F.transform(F.filter(table, lambda g: F.contains(words, g["part"])), lambda g: g["keywords"]))
+    return F.flatten(F.transform(F.filter(keywords, lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"]))
 
 
 def detections(words: Column, rules: list[Rule]) -> Column:
@@ -134,7 +72,7 @@ def detections(words: Column, rules: list[Rule]) -> Column:
     `words` is a text's words with one space before, between and after.
     """
     tried = F.transform(
-        F.flatten(F.transform(F.filter(_rules(rules), lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"])),
+        _tried(words, rules),
         lambda r: F.struct(r.alias("r"), F.split(words, r["regex"], -1).alias("between"), F.regexp_extract_all(words, r["regex"], F.lit(0)).alias("hits")),
     )
     kind = "array<struct<s:bigint,e:bigint,priority:int,rule:int,label:string>>"
@@ -157,12 +95,12 @@ def detections(words: Column, rules: list[Rule]) -> Column:
 def unsuppressed(found: Column) -> Column:
     """Those of detections(), which are sorted, that no earlier one of as high a priority contains."""
     kind = "array<struct<s:bigint,e:bigint,priority:int,rule:int,label:string>>"
-    first = F.struct(*[F.lit(-1).cast("bigint").alias(f"m{p}") for p in range(1, 5)], F.array().cast(kind).alias("out"))
+    first = F.struct(*[F.lit(-1).cast("bigint").alias(f"m{p}") for p in STRENGTH], F.array().cast(kind).alias("out"))
 
     def step(acc: Column, d: Column) -> Column:
-        reached = F.element_at(F.array(*[acc[f"m{p}"] for p in range(1, 5)]), d["priority"])
+        reached = F.element_at(F.array(*[acc[f"m{p}"] for p in STRENGTH]), d["priority"])
         out = F.when(reached >= d["e"], acc["out"]).otherwise(F.concat(acc["out"], F.array(d)).cast(kind))
-        return F.struct(*[F.when(d["priority"] >= p, F.greatest(acc[f"m{p}"], d["e"])).otherwise(acc[f"m{p}"]).alias(f"m{p}") for p in range(1, 5)], out.alias("out"))
+        return F.struct(*[F.when(d["priority"] >= p, F.greatest(acc[f"m{p}"], d["e"])).otherwise(acc[f"m{p}"]).alias(f"m{p}") for p in STRENGTH], out.alias("out"))
 
     return F.aggregate(found, first, step, lambda acc: acc["out"])
 
@@ -171,14 +109,14 @@ def scan(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
     Words are runs of letters, digits and non-ASCII characters of the lower-cased text. Base
-    phrases always count; the rules' detections add labels. score is the highest priority
-    found, as a part of 4; a base phrase has 2. Null and empty texts have no words, empty
+    phrases always count; the rules' detections add labels. score is that of the surest
+    detection (STRENGTH); a base phrase counts as a title. Null and empty texts have no words, empty
     label strings, score 0 and null places. Whole texts are read; repeated rows and null
     ids stay; other columns are ignored.
     """
     base = [Rule(label, "license", phrase, 2) for phrase, label in BASE]
     rules = rules or built_in_rules()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")), F.lit(" ")).alias("words"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")), F.lit(" ")).alias("words"))
     words, kind = F.col("words"), "array<struct<s:bigint,e:bigint,priority:int,rule:int,label:string>>"
     gate = F.lit(False)
     for g in gates(base + rules):
@@ -187,7 +125,8 @@ def scan(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     texts = texts.select("doc_id", F.when(words == "  ", 0).otherwise(_spaces(words) - 1).cast("long").alias("n_words"), F.when(gate, words).alias("words"))
     found = texts.select("doc_id", "n_words", F.when(words.isNotNull(), detections(words, base)).otherwise(empty).alias("base"), F.when(words.isNotNull(), unsuppressed(detections(words, rules))).otherwise(empty).alias("found"))
     labels = lambda c: F.transform(c, lambda d: d["label"])
-    best = F.array_max(F.transform(F.concat("base", "found"), lambda d: d["priority"]))
+    strength = F.array(*[F.lit(STRENGTH[p]) for p in sorted(STRENGTH)])
+    best = F.array_max(F.transform(F.concat("base", "found"), lambda d: F.element_at(strength, d["priority"])))
     return found.select(
         "doc_id",
         "n_words",
@@ -196,7 +135,7 @@ def scan(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         F.array_max(F.transform("base", lambda d: d["s"])).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(labels(F.col("base")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(labels(F.col("base")), labels(F.col("found"))))), ",").alias("labels"),
-        (F.coalesce(best, F.lit(0)) / 4.0).cast("double").alias("score"),
+        F.coalesce(best, F.lit(0.0)).cast("double").alias("score"),
         F.col("found").alias("detections"),
     )
 
