@@ -61,15 +61,17 @@ def fingerprints(texts: list[bytes], size: int = 4) -> np.ndarray:
     return out
 
 
-def fingerprint(documents: DataFrame, size: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long. Null text: as empty, zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprint(documents: DataFrame, size: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns `carry`: the fingerprint of each whole text as a signed
+    long. Null text: as empty, zero."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*carry, F.lit(0).alias("_")).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fingerprints(as_bytes(batch.column("text")), size).view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(as_bytes(batch.column("text")), size).view(np.int64)), batch.column("row")], names=["doc_id", "fp", "row"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    found = rows.mapInArrow(run, f"doc_id long, fp long, row {rows.schema['row'].dataType.simpleString()}")
+    return found.select("doc_id", "fp", *[F.col("row")[c].alias(c) for c in carry])
 
 
 def within(members: np.ndarray, queries: np.ndarray, radius: int, mask: int, reach: int, leaf: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
@@ -186,9 +188,9 @@ def near_links(fps: DataFrame, radius: int = 4, count: int | None = None, sample
 
 
 def simhash_components(documents: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): groups of texts whose fingerprints link at `radius` bits or fewer.
+    """(doc_id, fp, component_id, root): groups of texts whose fingerprints link at `radius` bits or fewer.
 
-    component_id is the smallest doc_id reachable, a document's own if it has no link.
+    root is one fingerprint of the group, the same for all of it; component_id is the smallest doc_id reachable, a document's own if it has no link.
     Null and empty texts have fingerprint zero and link as any other; repeated rows stay;
     a null doc_id gets the smallest other id of its group, or null. Other columns are
     ignored. An empty table gives an empty result.
@@ -199,9 +201,9 @@ def simhash_components(documents: DataFrame, radius: int = 4, size: int = 4) ->
     links = keep(near_links(classes.select("fp"), radius, count), "links")
     parts = connected_components(links)
     roots = parts.join(classes, parts["node"] == classes["fp"]).groupBy("component").agg(F.min("low").alias("least"))
-    moved = parts.join(roots, "component").select(F.col("node").alias("fp"), "least")
-    own = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return docs.join(own, "fp").select("doc_id", "fp", "component_id")
+    moved = parts.join(roots, "component").select(F.col("node").alias("fp"), "least", "component")
+    own = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"), F.coalesce("component", "fp").alias("root"))
+    return docs.join(own, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def op8_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
