@@ -50,6 +50,15 @@ def test_one_of_each_group_stays(stages):
     assert by_id(stages[2]) == {ids[k]: docs[ids[k]] for k in range(len(ids)) if least[k] == k}
 
 
+def test_an_id_with_several_texts_is_decided_for_each(spark):
+    words = [f"{a}{b}" for a in "river stone amber night harbour winter music paper garden iron".split() for b in range(40)]
+    text = lambda k: " ".join(words[(k * 37 + i * (7 + k)) % len(words)] for i in range(120))
+    rows = [(1, text(1)), (5, text(1)), (5, text(2)), (5, text(3)), (5, text(3)), (6, text(4)), (6, text(4)), (7, text(2)), (8, text(5)), (9, text(5)), (None, text(1))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, text(1)), (5, text(2)), (5, text(3)), (6, text(4)), (8, text(5)), (None, text(1))], key=str)
+
+
 def test_leaks_go_and_secrets_are_cut(spark, stages):
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before, after = by_id(stages[2]), by_id(stages[3])
@@ -83,5 +92,13 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES[1:]:
             out = corpus_pipeline.keep(stage(spark, out, SF), name)
         assert {r.doc_id for r in out.collect()} == ({1, 3, 4, None} if some is docs else set())
-    assert corpus_pipeline.quality_stage(spark, docs.limit(0), SF).count() == 0
     assert zlib.crc32(np.array([1], "<u4").tobytes()) in {r.ids_crc32 for r in packing.pack_documents(docs, PATH).collect()}
+    # The quality stage on odd rows: with the documents' labels, with labels of none of them, and with no labels.
+    for label, want in (([(1, 1), (2, 0), (3, 1), (4, 0), (None, 1), (3, None)], None), ([(99, 1)], {1, 2, 3, 4, None}), ([], {1, 2, 3, 4, None})):
+        folder = tmp_path / f"labels{len(label)}"
+        spark.createDataFrame(label, "doc_id long, quality int").write.parquet(str(folder / "labels.parquet"))
+        kept = corpus_pipeline.quality_stage(spark, docs, str(folder)).collect()
+        scored = quality.score_quality(docs, spark.read.parquet(str(folder / "labels.parquet")), F.lit(False)).collect()
+        assert sorted(map(str, (r.doc_id for r in kept))) == sorted(str(r.doc_id) for r in scored if r.predicted)
+        assert want is None or {r.doc_id for r in kept} == want
+        assert corpus_pipeline.quality_stage(spark, docs.limit(0), str(folder)).count() == 0
