@@ -33,13 +33,18 @@ class Grams:
         """Sorted buckets. Lower-cased, with runs of white space as one space at either end too."""
         words = text.decode("utf-8", "replace").lower().split()
         codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
-        h = np.zeros(len(codes), np.uint64)
+        h, found = np.zeros(len(codes), np.uint64), [np.zeros(0, np.uint32)]
         for n in range(1, max(self.orders) + 1):
             if len(codes) < n:
                 break
             h = (h[: len(codes) - n + 1] + np.uint64(n == 1)) * PRIME + codes[n - 1 :]
             if n in self.orders:
-                self.seen[(h * MIX) >> np.uint64(64 - self.bits)] = True
+                found.append(((h * MIX) >> np.uint64(64 - self.bits)).astype(np.uint32))
+        if 16 * len(codes) < len(self.seen):  # a short text is sorted, a long one marks its buckets
+            out = np.sort(np.concatenate(found))
+            return out[np.concatenate([np.ones(min(1, len(out)), bool), out[1:] != out[:-1]])]
+        for at in found:
+            self.seen[at] = True
         out = np.flatnonzero(self.seen)
         self.seen[out] = False
         return out
