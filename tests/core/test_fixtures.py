@@ -35,17 +35,47 @@ TITLE = "Early European Researches"
     ],
 )
 def test_headers(lines, kept):
-    out, report = clean.without_headers("\n".join(lines), TITLE)
-    assert out.split("\n") == kept
-    assert report.page_markers == sum(line.startswith("##") for line in lines)
+    b = clean.batch(["\n".join(lines), "", "\n".join(lines)], [TITLE, TITLE, TITLE])
+    body = b.body()
+    assert body[0].split("\n") == kept and body[1] == "" and body[2] == body[0]
+    assert b.page_markers.tolist() == [sum(line.startswith("##") for line in lines), 0, sum(line.startswith("##") for line in lines)]
+
+
+# The seven published cases, (title, text, readable text).
+CASES = [
+    ("And the Adjacent Countries in the Second Century B.C.", "## p. 5 (#213) ####\n\nAND THE ADJACENT COUNTRIES IN THE SECOND CENTURY B.C. 5\n\nThe body paragraph begins here.\n", "The body paragraph begins here."),
+    ("And the Adjacent Countries in the Second Century B.C.", "## p. 6 (#214) ####\n\nAND THE ADJACENT COUNTRIES IN THE SECOND CENTURY B.C.\n6\n\nAnother body paragraph begins here.\n", "Another body paragraph begins here."),
+    ("Early European researches into the flora of China", "## p. 6 (#62) ####\n\n6\nEARLY EUROPEAN RESEARCHES\n\nBody after number-first header.\n", "Body after number-first header."),
+    ("Early European researches into the flora of China", "## p. 6 (#62) ####\n\nEARLY EUROPEAN RESEARCHES\n6\n\nBody after header-first page number.\n", "Body after header-first page number."),
+    ("Early European researches into the flora of China", "## p. 6 (#62) ####\n\n6 EARLY EUROPEAN RESEARCHES\n\nBody after leading-number header.\n", "Body after leading-number header."),
+    ("Retrospect of events in China", "## p. 181 (#203) ####\n\nARTICLE IX.\nRETROSPECT OF EVENTS IN CHINA, 1873.\nBy Author Name\n\nOpening body remains here.\n", "ARTICLE IX.\nRETROSPECT OF EVENTS IN CHINA, 1873.\nBy Author Name\n\nOpening body remains here."),
+    ("Title of Article", "JOURNAL\nOF THE\nNORTH-CHINA BRANCH\nOF THE\nROYAL ASIATIC SOCIETY.\n\nARTICLE I.\n\nTitle of Article\n\nBy Author Name\n\nBody begins here.\n", "ARTICLE I.\n\nTitle of Article\n\nBy Author Name\n\nBody begins here."),
+]
+
+
+def test_published_cases(spark):
+    rows = spark.createDataFrame([(k, t, x) for k, (t, x, _) in enumerate(CASES)], "k int, title string, text string").select("k", clean.cleaned("text", "title").alias("c")).collect()
+    assert {r.k: r.c.text for r in rows} == {k: want for k, (_, _, want) in enumerate(CASES)}
+    by = {r.k: r.c for r in rows}
+    assert [by[k].header_lines for k in range(7)] == [1, 1, 1, 1, 1, 0, 0] and [by[k].page_numbers for k in range(7)] == [0, 1, 1, 1, 0, 0, 0]
+    assert by[6].front_matter and by[6].warnings == ["front_matter_removed", "no_page_markers_found"] and by[6].removed[0] == "JOURNAL"
+
+
+def test_header_warnings():
+    shout = "\n".join(f"## p. {k} (#{k}) ##\nSOME RUNNING HEADER\nbody of it here." for k in range(25))
+    texts = ["no pages", "## p. 3 (#3) ##", "## p. 3 (#3) ##\nplain body", "## p. 3 (#3) ##\nnotes on early european\nbody", "journal\nof the royal asiatic society", shout, "## p. 7 (#1) ##\n7\nCHINA!!\nbody"]
+    b = clean.batch(texts, ["Notes on early European researches"] * len(texts))
+    assert b.warnings() == [["no_page_markers_found"], ["unusual_header_pattern"], ["unusual_header_pattern"], ["possible_body_text_removed"], ["front_matter_detected_but_article_marker_not_found", "no_page_markers_found"], ["many_headers_removed"], ["unusual_header_pattern"]]
+    assert b.body()[3] == "body" and b.body()[6] == "7\nCHINA!!\nbody"
 
 
 def test_readable_text_and_udf(spark):
-    raw = "This is a line that goes\non to the next one with hyphen-\nated words\n\n[12]\n-----\nEnd.\nNew line"
-    want = "This is a line that goes on to the next one with hyphenated words\n\nEnd.\nNew line"
-    assert clean.readable(raw)[0].split() == want.split()
+    raw = "This is a line that goes\non to the next one with hyphen-\nated words\n\n[12]\n-----\nEnd.\nNew line\nthat is short"
+    want = "This is a line that goes\non to the next one with hyphenated words\n\nEnd.\nNew line\nthat is short"
+    other = "A first line of over twenty-five characters\ngoes on,\n  and on  here\nA HEADING\nshort\nand now a longer line again, which goes on\nto the end.\nNext"
+    assert clean.batch([raw, "", other], [None] * 3).readable() == [want, "", "A first line of over twenty-five characters goes on, and on here\nA HEADING\nshort\nand now a longer line again, which goes on to the end.\nNext"]
     row = spark.createDataFrame([(raw, None), (None, "t")], "a string, b string").select(clean.cleaned("a", "b").alias("c")).collect()
-    assert row[0].c.text == clean.readable(raw)[0] and row[1].c.text == ""
+    assert row[0].c.text == want and row[1].c.text == ""
 
 
 def test_honorifics():
