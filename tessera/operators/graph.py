@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,48 +17,63 @@ def degrees(edges: DataFrame, by: Sequence[str], left: str, right: str) -> DataF
     return side(left).unionByName(side(right))
 
 
-def brandes(adjacency: dict[str, list[str]], sources: list[str]) -> dict[str, float]:
-    """Betweenness contributions of the shortest paths from the given sources, halved."""
-    out: dict[str, float] = dict.fromkeys(adjacency, 0.0)
-    for source in sources:
-        order, paths, depth, before = [], {source: 1.0}, {source: 0}, {source: []}
-        queue = deque([source])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in adjacency[v]:
-                if w not in depth:
-                    depth[w], paths[w], before[w] = depth[v] + 1, 0.0, []
-                    queue.append(w)
-                if depth[w] == depth[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        flow = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before[w]:
-                flow[v] += paths[v] / paths[w] * (1 + flow[w])
-            if w != source:
-                out[w] += flow[w] / 2
-    return out
+class Network:
+    """An undirected graph as two integer arrays: each node's neighbours, one after the other."""
 
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        """a, b: the numbers of the ends of each edge, which are distinct pairs; every node from 0 on has an edge."""
+        ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.argsort(ends, kind="stable")
+        self.neighbour = others[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(ends))[:-1]])
 
-def betweenness(edges: DataFrame, by: str, left: str, right: str, blocks: int = 16) -> DataFrame:
+    def _summed(self, values: np.ndarray) -> np.ndarray:
+        """For each row of node values the sum over each node's neighbours."""
+        return np.add.reduceat(values[:, self.neighbour], self.start, axis=1)
+
+    def betweenness(self, sources: np.ndarray, room: int = 8_000_000) -> np.ndarray:
+        """Each node's share of the shortest paths from the sources to all others, halved: many
+        sources at a time, their breadth-first levels ahead and back."""
+        out, step = np.zeros(len(self.start)), max(1, room // max(1, len(self.neighbour)))
+        for at in range(0, len(sources), step):
+            own = sources[at : at + step]
+            rows = np.arange(len(own))
+            level = np.full((len(own), len(self.start)), -1, np.int32)
+            paths = np.zeros(level.shape)
+            level[rows, own], paths[rows, own], depth = 0, 1.0, 0
+            while (front := level == depth).any():
+                reached = self._summed(np.where(front, paths, 0.0))
+                new = (reached > 0) & (level < 0)
+                depth += 1
+                level[new], paths[new] = depth, reached[new]
+            flow = np.zeros(level.shape)
+            for d in range(depth - 1, 0, -1):
+                share = self._summed(np.divide(1 + flow, paths, out=np.zeros(level.shape), where=level == d))
+                flow += np.where(level == d - 1, paths * share, 0.0)
+            flow[rows, own] = 0.0
+            out += flow.sum(axis=0) / 2
+        return out
+
+
+def betweenness(edges: DataFrame, by: str, left: str, right: str, work: int = 400_000_000) -> DataFrame:
     """(by, node, betweenness) of the right side's nodes, unweighted and undirected.
 
-    The graph of one window is sent to `blocks` tasks, each of which takes a part of the
-    sources; their contributions add up.
+    The graph of one window is sent to as many tasks as its size asks for, about `work`
+    nodes times edges each; a task takes a part of the sources, and the contributions add
+    up. It holds the window's graph, whose bound is the memory of one task: some 100 bytes
+    an edge, so ten million edges a window in a gigabyte.
     """
-    spread = edges.select(by, F.col(left).alias("_l"), F.col(right).alias("_r")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = edges.select(by, F.col(left).alias("_l"), F.col(right).alias("_r")).where(F.col("_l").isNotNull() & F.col("_r").isNotNull()).distinct()
+    sizes = pairs.groupBy(by).agg(((F.countDistinct("_l") + F.countDistinct("_r")) * F.count("*")).alias("_n"))
+    blocks = sizes.select(by, F.least(F.lit(4096), F.ceil(F.col("_n") / work)).cast("int").alias("_blocks"))
+    spread = pairs.join(F.broadcast(blocks), by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        links: dict[str, set[str]] = {}
-        for a, b in zip("a:" + rows["_l"], "s:" + rows["_r"]):
-            links.setdefault(a, set()).add(b)
-            links.setdefault(b, set()).add(a)
-        adjacency = {k: sorted(v) for k, v in links.items()}
-        found = brandes(adjacency, sorted(adjacency)[int(rows["_block"].iloc[0]) :: blocks])
-        own = [(rows[by].iloc[0], k[2:], x) for k, x in found.items() if k.startswith("s:")]
-        return pd.DataFrame(own, columns=[by, "node", "betweenness"])
+        a, _ = pd.factorize(rows["_l"], sort=True)
+        b, names = pd.factorize(rows["_r"], sort=True)
+        first = int(a.max()) + 1
+        found = Network(a, b + first).betweenness(np.arange(int(rows["_block"].iloc[0]), first + len(names), int(rows["_blocks"].iloc[0])))
+        return pd.DataFrame({by: rows[by].iloc[0], "node": names, "betweenness": found[first:]})
 
     parts = spread.groupBy(by, "_block").applyInPandas(run, f"{by} string, node string, betweenness double")
     return parts.groupBy(by, "node").agg(F.sum("betweenness").alias("betweenness"))

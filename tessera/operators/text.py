@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import words as W
 from tessera.functions.numbering import labelled
 from tessera.functions.scalar import normalize_for_match, squish
+from tessera.sources.written import keep
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -75,32 +76,46 @@ def bigrams(tokens: Column) -> Column:
     return F.transform(F.filter(pairs, lambda p: p["a"] != p["b"]), lambda p: F.concat_ws(" ", p["a"], p["b"]))
 
 
-def vocabulary(docs: DataFrame, tokens: str = "tokens", min_df: int = 5, max_df: float = 0.6, cap: int = 12000) -> DataFrame:
-    """(term, raw_count, document_count, document_frequency, kept_by_df_filter) of all terms.
+def term_rows(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(doc_id, term, tf): how often each document has each of its terms, counted within its
+    sorted tokens, without a shuffle. Rows of a null id don't count; ids are unique."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.sort_array(tokens).alias("_t"))
+    size = F.size("_t")
+    # Where the runs of equal terms end, counted from 1; a run's length is its end less that before it.
+    ends = F.when(size > 0, F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (F.get("_t", i) != F.get("_t", i - 1))))
+    rows = rows.select("doc_id", "_t", ends.alias("_e"))
+    counts = F.transform("_e", lambda e, k: F.struct(F.get("_t", e - 1).alias("term"), (e - F.when(k == 0, 0).otherwise(F.get("_e", k - 1))).cast("bigint").alias("tf")))
+    return unnested(rows, counts, "x", "doc_id").select("doc_id", "x.term", "x.tf").where("term IS NOT NULL")
+
 
-    Kept are terms within the document-frequency bounds, at most `cap` of them by count,
-    then documents, then term. One exploded pass: a document's distinct terms carry their
-    counts, so the shuffle holds a row per task and term.
-    """
+def _counted(terms: DataFrame, docs: DataFrame, min_df: int, max_df: float) -> DataFrame:
+    """(term, raw_count, document_count, _n, _ok) of term_rows()."""
     n = docs.agg(F.count("*").alias("_n"))
-    used = unnested(docs, tokens, "term").groupBy("term").agg(F.count("*").alias("raw_count"))
-    held = unnested(docs, F.array_distinct(tokens), "term").groupBy("term").agg(F.count("*").alias("document_count"))
-    out = used.join(held, "term").crossJoin(F.broadcast(n))
+    out = terms.groupBy("term").agg(F.sum("tf").alias("raw_count"), F.count("*").alias("document_count")).crossJoin(F.broadcast(n))
     most = F.greatest(F.floor(F.lit(max_df) * F.col("_n")), F.lit(min_df))
-    out = out.withColumn("_ok", (F.col("document_count") >= min_df) & (F.col("document_count") <= most))
+    return out.withColumn("_ok", (F.col("document_count") >= min_df) & (F.col("document_count") <= most))
+
+
+def kept_terms(terms: DataFrame, docs: DataFrame, min_df: int = 5, max_df: float = 0.6, cap: int = 12000) -> DataFrame:
+    """(term) within the document-frequency bounds, at most `cap` of them by count, then documents, then term."""
+    return _counted(terms, docs, min_df, max_df).where("_ok").orderBy(F.desc("raw_count"), F.desc("document_count"), "term").limit(cap).select("term")
+
+
+def vocabulary(docs: DataFrame, tokens: str = "tokens", min_df: int = 5, max_df: float = 0.6, cap: int = 12000) -> DataFrame:
+    """(term, raw_count, document_count, document_frequency, kept_by_df_filter) of all terms;
+    kept are kept_terms(). The counts are written once and read twice."""
+    out = keep(_counted(term_rows(docs, tokens), docs, min_df, max_df), "vocabulary")
     top = out.where("_ok").orderBy(F.desc("raw_count"), F.desc("document_count"), "term").limit(cap).select("term", F.lit(True).alias("_top"))
     out = out.join(F.broadcast(top), "term", "left")
     return out.select("term", "raw_count", "document_count", (F.col("document_count") / F.col("_n")).alias("document_frequency"), F.coalesce("_top", F.lit(False)).alias("kept_by_df_filter"))
 
 
-def doc_terms(docs: DataFrame, keep_terms: DataFrame | None = None, tokens: str = "tokens", carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, carry..., term, tf, doc_len): counts of the terms in `keep_terms`, which is
-    bounded by the vocabulary's cap and broadcast, and the number of kept tokens of the document."""
-    rows = unnested(docs, tokens, "term", "doc_id", *carry)
+def doc_terms(terms: DataFrame, keep_terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, doc_len) of term_rows(): the terms in `keep_terms`, which is bounded
+    by the vocabulary's cap and broadcast, and the number of kept tokens of the document."""
     if keep_terms is not None:
-        rows = rows.join(F.broadcast(keep_terms.select("term")), "term", "left_semi")
-    rows = rows.groupBy("doc_id", *carry, "term").agg(F.count("*").alias("tf"))
-    return rows.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("doc_id")))
+        terms = terms.join(F.broadcast(keep_terms.select("term")), "term", "left_semi").select("doc_id", "term", "tf")
+    return terms.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("doc_id")))
 
 
 def tfidf_table(terms: DataFrame, n_docs: DataFrame, by: Sequence[str] = (), only: Column | None = None) -> DataFrame:
@@ -122,18 +137,20 @@ def top_terms(scores: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
 
 def tfidf_overall(docs: DataFrame, n: int = 100, phrases_only: bool = False, min_df: int = 5, max_df: float = 0.6, cap: int = 12000) -> DataFrame:
     """The top terms over all documents of (doc_id, tokens)."""
-    kept = vocabulary(docs, min_df=min_df, max_df=max_df, cap=cap).where("kept_by_df_filter")
-    terms = doc_terms(docs, kept)
-    count = terms.agg(F.countDistinct("doc_id").alias("n_docs"))
-    return top_terms(tfidf_table(terms, count, only=F.col("term").contains("_") if phrases_only else None), n)
+    terms = keep(term_rows(docs), "terms")
+    rows = doc_terms(terms, kept_terms(terms, docs, min_df, max_df, cap))
+    count = rows.groupBy("doc_id").agg(F.lit(1).alias("_d")).agg(F.count("*").alias("n_docs"))
+    return top_terms(tfidf_table(rows, count, only=F.col("term").contains("_") if phrases_only else None), n)
 
 
 def tfidf_by_group(docs: DataFrame, group: str, n: int = 25, min_df: int = 5, max_df: float = 0.6, cap: int = 12000) -> DataFrame:
-    """The top terms of each group, with the idf within the group."""
-    kept = vocabulary(docs, min_df=min_df, max_df=max_df, cap=cap).where("kept_by_df_filter")
-    terms = doc_terms(docs.where(F.col(group).isNotNull()), kept, carry=[group])
-    count = terms.groupBy(group).agg(F.countDistinct("doc_id").alias("n_docs"))
-    return top_terms(tfidf_table(terms, count, [group]), n, [group])
+    """The top terms of each group, with the idf within the group. The groups, two short
+    columns, meet the kept terms by document, as these lie for their lengths."""
+    terms = keep(term_rows(docs), "terms")
+    groups = docs.where(F.col(group).isNotNull()).select("doc_id", group)
+    rows = doc_terms(terms, kept_terms(terms, docs, min_df, max_df, cap)).join(groups, "doc_id")
+    count = rows.groupBy(group, "doc_id").agg(F.lit(1).alias("_d")).groupBy(group).agg(F.count("*").alias("n_docs"))
+    return top_terms(tfidf_table(rows, count, [group]), n, [group])
 
 
 def tfidf_macro(docs: DataFrame, group: str, n: int = 40) -> DataFrame:
@@ -207,18 +224,22 @@ def duplicate_key(text: Column) -> Column:
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, checksum, copies) of documents whose normalised text occurs twice or more."""
+    """(doc_id, checksum, copies) of documents whose normalised text occurs twice or more.
+    Copies are counted in the tasks before the shuffle; only repeated checksums are joined."""
     keyed = docs.select("doc_id", duplicate_key(F.col(text)).alias("checksum"))
-    return keyed.withColumn("copies", F.count("*").over(Window.partitionBy("checksum"))).where("copies > 1")
+    sizes = keyed.groupBy("checksum").agg(F.count("*").alias("copies")).where("copies > 1")
+    return keyed.join(sizes, "checksum").select("doc_id", "checksum", "copies")
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", preference: Sequence[Column] = ()) -> DataFrame:
-    """Groups DUP_0001... in order of first appearance, and in each the row to keep by `preference`, then id."""
-    keyed = docs.select("*", duplicate_key(F.col(text)).alias("checksum"))
-    sizes = keyed.groupBy("checksum").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
-    named = labelled(sizes, "group_id", "DUP_%04d", "first_id")
-    best = F.row_number().over(Window.partitionBy("checksum").orderBy(*preference, "doc_id"))
-    return keyed.join(named, "checksum").withColumn("keep", best == 1).select("doc_id", "group_id", "copies", "keep")
+    """Groups DUP_0001... in order of first appearance, and in each the row to keep: the least
+    of the columns `preference`, nulls last, then the smallest id. A group's best row is a
+    minimum, taken in the tasks first, so no group is sorted in one task."""
+    order = F.struct(*[F.struct(p.isNull(), p) for p in preference], "doc_id")
+    keyed = docs.select("doc_id", duplicate_key(F.col(text)).alias("checksum"), order.alias("_order"))
+    groups = keyed.groupBy("checksum").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min("_order").alias("_best")).where("copies > 1")
+    named = labelled(groups, "group_id", "DUP_%04d", "first_id")
+    return keyed.join(named, "checksum").select("doc_id", "group_id", "copies", (F.col("_order") == F.col("_best")).alias("keep"))
 
 
 def language_signals(t: Column, tokens: Column) -> Column:

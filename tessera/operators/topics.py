@@ -29,6 +29,13 @@ def labels(topic_words: DataFrame, n: int, name: str = "topic_words") -> DataFra
     return own.select("topic_id", F.array_join(F.transform("w", lambda x: x["word"]), ", ").alias(name))
 
 
+def described(topic_words: DataFrame, n: int) -> DataFrame:
+    """(topic_id, interpretability, topic_words): interpretability() and labels() in one pass."""
+    top = lambda k: F.sum(F.when(F.col("rank") <= k, F.coalesce("weight", F.lit(0.0))).otherwise(0.0))
+    own = topic_words.groupBy("topic_id").agg(F.when(top(15) > 0, top(5) / top(15)).otherwise(0.0).alias("interpretability"), F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.struct("rank", "word")))).alias("w"))
+    return own.select("topic_id", "interpretability", F.when(F.size("w") > 0, F.array_join(F.transform("w", lambda x: x["word"]), ", ")).alias("topic_words"))
+
+
 def interpretability(topic_words: DataFrame) -> DataFrame:
     """(topic_id, interpretability): the part of the first 5 words' weights in the first 15's."""
     top = lambda n: F.sum(F.when(F.col("rank") <= n, F.coalesce("weight", F.lit(0.0))).otherwise(0.0))
@@ -41,7 +48,7 @@ def importance(rows: DataFrame, topic_words: DataFrame, article: str = "doc_id")
     valid = rows.where("topic_id != -1")
     total = valid.agg(F.count("*").alias("_rows"), F.countDistinct(article).alias("_articles"))
     out = valid.groupBy("topic_id").agg(F.count("*").alias("topic_size"), F.countDistinct(article).alias("article_count"))
-    out = out.crossJoin(F.broadcast(total)).join(interpretability(topic_words), "topic_id", "left").join(labels(topic_words, 12), "topic_id", "left")
+    out = out.crossJoin(F.broadcast(total)).join(described(topic_words, 12), "topic_id", "left")
     out = out.withColumn("topic_size_share", F.col("topic_size") / F.col("_rows")).withColumn("article_coverage", F.col("article_count") / F.col("_articles")).withColumn("interpretability", F.coalesce("interpretability", F.lit(0.0)))
     return scored(out, {"coverage_score_norm": "article_coverage", "size_score_norm": "topic_size", "interpretability_score_norm": "interpretability"}, ["article_coverage", "topic_size"]).drop("_rows", "_articles")
 
@@ -102,18 +109,21 @@ def concentration(theta: DataFrame) -> DataFrame:
 def semantic_coherence(docs: DataFrame, topic_words: DataFrame, n: int = 10) -> DataFrame:
     """Sum over ordered pairs of a topic's words of ln((D(i, j) + 1) / D(j)), D by documents.
 
-    Documents are reduced to the topics' words, so a document emits at most the pairs of
-    one topic's n words for each topic.
+    A document's tokens are reduced to the topics' words, a bounded list that goes to the
+    tasks in one row, before anything is exploded; it then emits at most the pairs of one
+    topic's n words for each topic, a word with itself among them, which counts D(j).
     """
     top = topic_words.where(F.col("rank") <= n).select("topic_id", "rank", "word")
-    held = unnested(docs, F.array_distinct("tokens"), "word", "doc_id").join(F.broadcast(top), "word")
-    own = held.groupBy("doc_id", "topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("w"))
-    single = held.groupBy("topic_id", "rank").agg(F.count("*").alias("d"))
-    pairs = own.select("topic_id", F.explode(F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b["rank"] < a["rank"]), lambda b: F.struct(a["rank"].alias("i"), b["rank"].alias("j")))))).alias("p"))
+    known = top.agg(F.collect_set("word").alias("_known"))
+    held = docs.crossJoin(F.broadcast(known)).select("doc_id", F.array_intersect("tokens", "_known").alias("_w"))
+    rows = unnested(held, "_w", "word", "doc_id").join(F.broadcast(top), "word")
+    own = rows.groupBy("doc_id", "topic_id").agg(F.array_sort(F.collect_list("rank")).alias("w"))
+    pairs = own.select("topic_id", F.explode(F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b <= a), lambda b: F.struct(a.alias("i"), b.alias("j")))))).alias("p"))
     both = pairs.groupBy("topic_id", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.count("*").alias("dij"))
+    single = both.where("i = j").select("topic_id", "j", F.col("dij").alias("d"))
     # Pairs that no document holds count as ln(1 / D(j)).
     every = top.alias("a").join(F.broadcast(top).alias("b"), (F.col("a.topic_id") == F.col("b.topic_id")) & (F.col("a.rank") > F.col("b.rank"))).select(F.col("a.topic_id").alias("topic_id"), F.col("a.rank").alias("i"), F.col("b.rank").alias("j"))
-    out = every.join(both, ["topic_id", "i", "j"], "left").join(single.withColumnRenamed("rank", "j"), ["topic_id", "j"])
+    out = every.join(both, ["topic_id", "i", "j"], "left").join(single, ["topic_id", "j"])
     return out.groupBy("topic_id").agg(F.sum(F.log((F.coalesce("dij", F.lit(0)) + 1) / F.col("d"))).alias("coherence"))
 
 

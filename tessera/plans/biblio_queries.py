@@ -195,7 +195,16 @@ def network_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(known(spark, sf_dir), ["time_window"], "author", "subject_l2")
 
 
-@register("subject_betweenness")
+@register(
+    "subject_betweenness",
+    with_expanded(""", e AS (SELECT DISTINCT time_window AS w, 'a:' || author AS a, 's:' || subject_l2 AS b FROM known UNION SELECT DISTINCT time_window, 's:' || subject_l2, 'a:' || author FROM known),
+bfs(w, s, v, d, n) USING KEY (w, s, v) AS (
+  SELECT DISTINCT w, a, a, 0, 1.0::DOUBLE FROM e
+  UNION SELECT w, s, v, d, n FROM (SELECT x.w, x.s, e.b AS v, x.d + 1 AS d, sum(x.n) AS n FROM bfs x JOIN e ON e.w = x.w AND e.a = x.v GROUP BY ALL) y
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.w = y.w AND r.s = y.s AND r.v = y.v))
+SELECT x.w AS time_window, substr(x.v, 3) AS node, round(sum(CASE WHEN x.s <> x.v AND y.v <> x.v AND x.s <> y.v AND x.d + y.d = z.d THEN x.n * y.n / z.n ELSE 0 END) / 2, 6) AS betweenness
+FROM bfs x JOIN bfs y ON y.w = x.w AND y.s = x.v JOIN bfs z ON z.w = x.w AND z.s = x.s AND z.v = y.v WHERE x.v LIKE 's:%' GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def subject_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import graph
 

@@ -10,6 +10,7 @@ from tessera.functions import words as W
 from tessera.operators import text
 from tessera.plans.biblio_queries import expanded_articles, rounded
 from tessera.plans.catalog import register
+from tessera.sources.written import keep
 from tessera.plans.roles import articles, known, table, with_articles, with_expanded
 
 
@@ -70,7 +71,7 @@ SELECT doc_id, array_to_string(m, ' ') AS model_text, len(tokens) AS token_count
 )
 def model_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenized(spark, sf_dir)
-    return text.model_documents(docs, text.vocabulary(docs).where("kept_by_df_filter"))
+    return text.model_documents(docs, text.kept_terms(text.term_rows(docs), docs))
 
 
 _OVERALL = "SELECT term, s * (" + IDF + ") AS tfidf_score, raw_count, document_count, document_count / n AS document_frequency FROM (SELECT term, sum(tf / doc_len) AS s, CAST(sum(tf) AS BIGINT) AS raw_count, count(*) AS document_count FROM dt {where} GROUP BY term), (SELECT count(DISTINCT doc_id) AS n FROM dt)"
@@ -115,7 +116,7 @@ SELECT doc_id, term, round(tf / doc_len * ({IDF}), 6) AS tfidf FROM t JOIN d USI
 )
 def tfidf_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenized(spark, sf_dir)
-    terms = text.doc_terms(docs)
+    terms = keep(text.doc_terms(text.term_rows(docs)), "vectors")
     count = docs.agg(F.count("*").alias("n_docs"))
     df = terms.groupBy("term").agg(F.count("*").alias("document_count"))
     out = terms.join(df, "term").crossJoin(F.broadcast(count))
@@ -245,7 +246,7 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, group_id, copies, row_number() OVER (PARTITION BY c ORDER BY n_chars DESC, source, doc_id) = 1 AS keep FROM k JOIN g USING (c)""",
 )
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.duplicate_groups(table(spark, sf_dir, "documents"), preference=[F.desc("n_chars"), F.asc("source")])
+    return text.duplicate_groups(table(spark, sf_dir, "documents"), preference=[-F.col("n_chars"), F.col("source")])
 
 
 _LANG = f"""WITH t AS (SELECT doc_id, lower(substr(text, 1, 25000)) AS t FROM documents),

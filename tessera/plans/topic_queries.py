@@ -10,6 +10,7 @@ from tessera.operators import models, text, topics
 from tessera.plans.biblio_queries import rounded
 from tessera.plans.catalog import register
 from tessera.plans.roles import table, with_articles
+from tessera.sources.written import keep
 from tessera.plans.text_queries import IDF, TOK, tokenized, vocab_sql
 
 #: Words of a topic: the top terms of a source, weighted by tf-idf.
@@ -24,7 +25,7 @@ TOPIC_ROWS = "tr AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN -1 ELSE CAST(
 
 
 def topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = text.tfidf_by_group(tokenized(spark, sf_dir), "source", n=20)
+    top = keep(text.tfidf_by_group(tokenized(spark, sf_dir), "source", n=20), "topic-words")
     topic = F.substring("source", 4, 9).cast("int")
     return top.select(topic.alias("topic_id"), F.when(topic < 10, "m1").otherwise("m2").alias("model"), F.col("term").alias("word"), F.col("tfidf_score").alias("weight"), "rank")
 
@@ -194,8 +195,9 @@ def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("nmf_topics")
 def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenized(spark, sf_dir)
-    kept = text.vocabulary(docs).where("kept_by_df_filter")
-    terms = text.doc_terms(docs, kept).select("doc_id", "term", (F.col("tf") / F.col("doc_len")).alias("value"))
+    rows = keep(text.term_rows(docs), "terms")
+    kept = text.kept_terms(rows, docs)
+    terms = text.doc_terms(rows, kept).select("doc_id", "term", (F.col("tf") / F.col("doc_len")).alias("value"))
     return models.nmf_topics(terms, sorted(r.term for r in kept.select("term").collect()))
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,10 +133,38 @@ def test_diversity_by_hand(spark):
 def test_betweenness_by_hand(spark):
     cases = {"path": ([("A1", "S"), ("A2", "S")], {"S": 1}), "star": ([("A1", "S"), ("A2", "S"), ("A3", "S")], {"S": 3}), "cycle": ([("A1", "S1"), ("A1", "S2"), ("A2", "S1"), ("A2", "S2")], {"S1": 0.5, "S2": 0.5})}
     rows = [(w, a, s) for w, (edges, _) in cases.items() for a, s in edges]
-    got = graph.betweenness(spark.createDataFrame(rows, "w string, a string, s string"), "w", "a", "s", blocks=3).collect()
+    got = graph.betweenness(spark.createDataFrame(rows, "w string, a string, s string"), "w", "a", "s", work=4).collect()
     assert {w: {r.node: r.betweenness for r in got if r.w == w} for w in cases} == {w: x for w, (_, x) in cases.items()}
 
 
+def test_betweenness_of_random_graphs(spark):
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for w in range(6):
+        pairs = sorted({(f"a{rng.integers(14)}", f"s{rng.integers(9)}") for _ in range(int(rng.integers(8, 45)))})
+        rows += [(str(w), *p) for p in pairs]
+        nodes = sorted({x for p in pairs for x in p})
+        near = {x: {q if p == x else p for p, q in pairs if x in (p, q)} for x in nodes}
+        far, paths = {}, {}
+        for x in nodes:
+            far[x, x], paths[x, x], front, d = 0, 1, [x], 0
+            while front:
+                d += 1
+                new = sorted({z for y in front for z in near[y] if (x, z) not in far})
+                for z in new:
+                    paths[x, z] = sum(paths[x, y] for y in front if z in near[y])
+                far |= {(x, z): d for z in new}
+                front = new
+        on = lambda v, x, y: (x, v) in far and (x, y) in far and (v, y) in far and far[x, v] + far[v, y] == far[x, y]
+        for v in nodes:
+            if v[0] == "s":
+                want[str(w), v] = sum(paths[x, v] * paths[v, y] / paths[x, y] for x in nodes for y in nodes if len({x, y, v}) == 3 and on(v, x, y)) / 2
+    frame = spark.createDataFrame(rows, "w string, a string, s string")
+    for work in (50, 10**9):
+        got = {(r.w, r.node): r.betweenness for r in graph.betweenness(frame, "w", "a", "s", work=work).collect()}
+        assert got == pytest.approx(want)
+    assert graph.betweenness(frame.limit(0), "w", "a", "s").count() == 0
+
+
 def test_min_max(spark):
     for values, want in (([0, 5, 10], [0, 0.5, 1]), ([3, 3], [1, 1]), ([0, 0], [0, 0])):
         frame = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v int")
