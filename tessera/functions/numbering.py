@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 
 def numbered(rows: DataFrame, name: str, *order: str, buckets: int = 128) -> DataFrame:
-    """Adds 1, 2, ... in the order of the columns, of which the first deals the rows out.
+    """Adds 1, 2, ... in the order of the columns, nulls first.
 
-    At most `buckets` - 1 values of the first column, those of the smallest hashes, are its
-    boundaries. Each bucket numbers its rows; its offset comes from the buckets' counts, a
-    table of `buckets` rows. Nulls come first. Rows that share the first column share a
-    bucket, so it should have many values.
+    Rows are dealt out by all of the columns: at most `buckets` - 1 of their values, those of
+    the smallest hashes, are boundaries. Each bucket numbers its rows; its offset comes from
+    the buckets' counts, a table of `buckets` rows. Only rows that are equal in all columns
+    are sure to share a bucket.
     """
-    first = F.col(order[0])
-    pivots = rows.where(first.isNotNull()).select(first.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(buckets - 1)
-    bounds = sorted(r.k for r in pivots.collect())
-    literal = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    bucket = F.lit(0) if literal is None else F.when(first.isNull(), 0).otherwise(F.size(F.filter(literal, lambda b: b <= first)))
+    key = F.struct(*order)
+    kinds = [rows.schema[c].dataType for c in order]
+    pivots = rows.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(buckets - 1).collect()
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, kinds, order)]) for r in pivots]
+    bucket = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
     dealt = rows.withColumn("_bucket", bucket)
     sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

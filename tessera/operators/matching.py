@@ -28,18 +28,27 @@ def map_subjects(rows: DataFrame, rules: DataFrame, key: str = "subject") -> Dat
 def containment(texts: DataFrame, items: DataFrame, text: str = "text", item: str = "item_text") -> DataFrame:
     """(doc_id, item_id) where the text holds the item, character by character.
 
-    The inner words of an item stand as whole words in any text that holds it, so four of
-    them are an anchor for an equi-join; items of under six words are compared with every text.
+    The inner words of an item stand as whole words in any text that holds it, so up to four
+    of them are an anchor for an equi-join of ids and runs of words; only pairs that meet
+    fetch their texts. Items of one or two words have no inner word and are compared with
+    every text.
     """
-    words = lambda c: F.split(c, " ")
-    own = items.select("item_id", F.col(item).alias("_item"), words(F.col(item)).alias("_w")).where(F.length(item) > 0)
-    long = own.where(F.size("_w") >= 6).select("item_id", "_item", F.array_join(F.slice("_w", 2, 4), " ").alias("_anchor"))
-    runs = F.when(F.size("_w") >= 4, F.transform(F.sequence(F.lit(1), F.size("_w") - 3), lambda i: F.array_join(F.slice("_w", i, 4), " "))).otherwise(F.array().cast("array<string>"))
-    rows = texts.select("doc_id", F.col(text).alias("_text"), words(F.col(text)).alias("_w")).select("doc_id", "_text", F.explode_outer(F.array_distinct(runs)).alias("_anchor")).where("_anchor IS NOT NULL")
-    hits = rows.join(long, "_anchor").where(F.contains("_text", "_item")).select("doc_id", "item_id").distinct()
-    short = own.where(F.size("_w") < 6).select("item_id", "_item")
-    rest = texts.select("doc_id", F.col(text).alias("_text")).join(short, F.contains("_text", "_item")).select("doc_id", "item_id")
-    return hits.unionByName(rest)
+    own = items.select("item_id", F.col(item).alias("_item"), F.split(item, " ").alias("_w")).where(F.length(item) > 0)
+    own = own.withColumn("_size", F.least(F.lit(4), F.size("_w") - 2))
+    long = own.where("_size > 0").select("item_id", "_item", "_size", F.array_join(F.slice("_w", F.lit(2), F.col("_size")), " ").alias("_anchor"))
+    sizes = sorted(r[0] for r in long.select("_size").distinct().collect())  # of 1 to 4
+
+    def runs(n: int) -> Column:
+        return F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    short = own.where("_size <= 0").select("item_id", "_item")
+    found = texts.select("doc_id", F.col(text).alias("_text")).join(short, F.contains("_text", "_item")).select("doc_id", "item_id")
+    for n in sizes:
+        words = texts.select("doc_id", F.split(text, " ").alias("_w"))
+        rows = unnested(words, F.array_distinct(runs(n)), "_anchor", "doc_id")
+        met = rows.join(long.where(F.col("_size") == n), "_anchor").select("doc_id", "item_id", "_item").distinct()
+        found = found.unionByName(texts.select("doc_id", F.col(text).alias("_text")).join(met, "doc_id").where(F.contains("_text", "_item")).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 def title_tokens(title: Column) -> Column:
@@ -175,13 +184,30 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) > 0, 2.0 * common / (F.size(a) + F.size(b))).otherwise(0.0)
 
 
-def year_overlap_best(left: DataFrame, right: DataFrame, score: Column) -> DataFrame:
-    """For each row of left (l_id, l_years, l_tokens) the row of right (r_id, ...) with a year in
-    common and the best score; ties by r_id. A shared year is the join key."""
-    pairs = left.withColumn("year", F.explode("l_years")).join(right.withColumn("year", F.explode("r_years")), "year").dropDuplicates(["l_id", "r_id"])
-    scored = pairs.withColumn("score", score)
-    order = Window.partitionBy("l_id").orderBy(F.desc(F.round("score", 9)), "r_id")
-    return scored.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("l_id", "r_id", "score")
+def year_overlap_best(left: DataFrame, right: DataFrame, score: Column, left_title: str = "a", right_title: str = "b") -> DataFrame:
+    """For each row of left (l_id, l_years, left_title) the row of right (r_id, r_years,
+    right_title) with a year in common and the best score; ties by r_id. The score is of the titles.
+
+    A shared year is the join key. Rows of one title and years are one row of the join, with
+    the smallest r_id, and each pair of titles is scored once: a year costs its distinct
+    titles of one side times those of the other, which a score of any two titles asks for.
+    """
+    asks = left.select("l_years", left_title).distinct().withColumn("year", F.explode("l_years"))
+    offers = right.withColumn("year", F.explode("r_years")).groupBy("year", right_title).agg(F.min("r_id").alias("r_id"))
+    pairs = asks.join(offers, "year").groupBy("l_years", left_title, right_title).agg(F.min("r_id").alias("r_id"))
+    scores = pairs.select(left_title, right_title).distinct().withColumn("score", score)
+    best = F.min(F.struct((-F.round("score", 9)).alias("s"), "r_id", "score"))
+    best = pairs.join(scores, [left_title, right_title]).groupBy("l_years", left_title).agg(best.alias("_b"))
+    return left.join(best, ["l_years", left_title]).select("l_id", F.col("_b.r_id").alias("r_id"), F.col("_b.score").alias("score"))
+
+
+def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l_id, r_id, score, match_status): every row of left (l_id, l_years, a) with its best
+    title of right (r_id, r_years, b) by bag_title_score(); 'no_year_candidate' without one."""
+    best = year_overlap_best(left, right, bag_title_scores("a", "b"))
+    rows = left.select("l_id", "a").join(best, "l_id", "left")
+    status = F.when(F.col("r_id").isNull(), "no_year_candidate").otherwise(match_status(F.col("score"), F.size(F.array_distinct("a"))))
+    return rows.select("l_id", "r_id", "score", status.alias("match_status"))
 
 
 def bag_title_score(a: Sequence[str], b: Sequence[str]) -> float:

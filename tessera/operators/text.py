@@ -209,14 +209,46 @@ def paragraph_records(docs: DataFrame, text: str = "text", separator: str = r"\n
     return rows.where(F.col("word_count") >= least)
 
 
-def text_units(docs: DataFrame, text: str = "text", separator: str = r"\n") -> DataFrame:
-    """Paragraphs and their sentences with places and token counts."""
-    tokens = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), 0))
-    paragraphs = docs.select("doc_id", F.posexplode(F.split(text, separator)).alias("paragraph_id", "unit_text")).where(F.trim("unit_text") != "")
-    sentences = paragraphs.select("doc_id", "paragraph_id", F.posexplode(F.filter(F.transform(F.regexp_extract_all("unit_text", F.lit("[^.!?]+(?:[.!?]+[\"')\\]]*)?"), 0), lambda s: F.trim(s)), lambda s: s != "")).alias("sentence_id", "unit_text"))
-    one = paragraphs.select("doc_id", F.lit("paragraph").alias("unit_type"), "paragraph_id", F.lit(None).cast("int").alias("sentence_id"), F.trim("unit_text").alias("unit_text"))
-    two = sentences.select("doc_id", F.lit("sentence").alias("unit_type"), "paragraph_id", "sentence_id", "unit_text")
-    return one.unionByName(two).withColumn("token_count", tokens(F.col("unit_text")))
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<text, start, end>> of a pattern's matches, in characters from 0."""
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits"))
+    kind = "array<struct<text:string,start:int,end:int>>"
+
+    def step(x: Column, acc: Column, i: Column) -> Column:
+        hit = F.get(x["hits"], i)
+        start = acc["at"] + F.length(F.get(x["between"], i))
+        one = F.struct(hit.alias("text"), start.alias("start"), (start + F.length(hit)).alias("end"))
+        return F.struct((start + F.length(hit)).alias("at"), F.concat(acc["out"], F.array(one)).cast(kind).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    walk = lambda x: F.when(F.size(x["hits"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), first, lambda acc, i: step(x, acc, i), lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    # A one-element array is the place where the two lists are made once and looked up many times.
+    return F.get(F.transform(F.array(parts), walk), 0)
+
+
+#: Sentences by a language's own punctuation; other languages have paragraphs only.
+LATIN_SENTENCE, CHINESE_SENTENCE = "[^.!?]+(?:[.!?]+[\"')\\]]*)?", "[^。！？；]+[。！？；]?"
+PARAGRAPH = r"(?s)\S(?:.*?\S)?(?=\n\s*\n|\s*\z)"
+
+
+def text_units(docs: DataFrame, text: str = "text", language: str = "lang", paragraph: str = PARAGRAPH) -> DataFrame:
+    """(doc_id, unit_id, unit_type, unit_order, paragraph_id, sentence_id, unit_text, char_start,
+    char_end, token_count): paragraphs, each followed by its sentences, numbered from 1, with
+    their places in the text. A null text has none."""
+    cjk, none = F.col(language) == "zh-Hant", F.array().cast("array<struct<text:string,start:int,end:int>>")
+    sentences = lambda t: F.filter(F.when(cjk, spans(t, CHINESE_SENTENCE)).when(F.col(language).isin("en", "fr", "de"), spans(t, LATIN_SENTENCE)).otherwise(none), lambda s: F.trim(s["text"]) != "")
+    unit = lambda kind, p, k, t, a, b: F.struct(F.lit(kind).alias("unit_type"), (p + 1).cast("int").alias("paragraph_id"), k.cast("int").alias("sentence_id"), t.alias("unit_text"), a.cast("int").alias("char_start"), b.cast("int").alias("char_end"))
+
+    def of_paragraph(x: Column, p: Column) -> Column:
+        one = unit("paragraph", p, F.lit(None), x["text"], x["start"], x["end"])
+        return F.concat(F.array(one), F.transform(sentences(x["text"]), lambda s, k: unit("sentence", p, k + 1, F.trim(s["text"]), x["start"] + s["start"], x["start"] + s["end"])))
+
+    # A text's units are made in its row: nothing shuffles.
+    rows = docs.select("doc_id", language, F.coalesce(spans(F.col(text), paragraph), none).alias("_p"))
+    rows = rows.select("doc_id", language, F.flatten(F.transform("_p", of_paragraph)).alias("_u")).select("doc_id", language, F.posexplode("_u").alias("_k", "u"))
+    tokens = F.size(F.when(cjk, F.regexp_extract_all("u.unit_text", F.lit("[\\u3400-\\u9fff]|[A-Za-z0-9]+"), 0)).otherwise(F.regexp_extract_all("u.unit_text", F.lit(r"[\p{L}\p{N}_]+"), 0)))
+    unit_id = F.concat(F.format_string("%d_P%04d", "doc_id", "u.paragraph_id"), F.when(F.col("u.sentence_id").isNotNull(), F.format_string("_S%04d", "u.sentence_id")).otherwise(""))
+    return rows.select("doc_id", unit_id.alias("unit_id"), "u.unit_type", (F.col("_k") + 1).cast("int").alias("unit_order"), "u.paragraph_id", "u.sentence_id", "u.unit_text", "u.char_start", "u.char_end", tokens.alias("token_count"))
 
 
 def duplicate_key(text: Column) -> Column:

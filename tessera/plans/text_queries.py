@@ -221,15 +221,23 @@ def paragraph_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.paragraph_records(table(spark, sf_dir, "documents"))
 
 
+#: Matches h of a pattern and what lies between them, w, with their places, as SQL.
+_PLACED = "list_transform(range(1, len(h) + 1), lambda i: {'t': h[i], 'a': list_sum(list_transform(w[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)})"
+_LINE, _SENTENCE = "[^ \\t\\n\\x0B\\f\\r](?:[^\\n]*[^ \\t\\n\\x0B\\f\\r])?", "[^.!?]+(?:[.!?]+[\"'')\\]]*)?"
+
+
 @register(
     "text_units",
-    """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-q AS (SELECT * FROM p WHERE trim(t, ' ') <> ''), s AS (SELECT doc_id, i, list_filter(list_transform(regexp_extract_all(t, '[^.!?]+(?:[.!?]+["'')\\]]*)?'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM q),
-u AS (SELECT doc_id, 'paragraph' AS unit_type, i, NULL AS j, trim(t, ' ') AS unit_text FROM q UNION ALL SELECT doc_id, 'sentence', i, generate_subscripts(l, 1) - 1, unnest(l) FROM s)
-SELECT doc_id, unit_type, CAST(i AS INTEGER) AS paragraph_id, CAST(j AS INTEGER) AS sentence_id, unit_text, CAST(len(regexp_extract_all(unit_text, '[\\p{L}\\p{N}_]+')) AS INTEGER) AS token_count FROM u""",
+    f"""WITH d AS (SELECT doc_id, lang, regexp_split_to_array(text, '{_LINE}') AS w, regexp_extract_all(text, '{_LINE}') AS h FROM documents), p AS (SELECT doc_id, lang, {_PLACED} AS x FROM d),
+q AS (SELECT doc_id, lang, generate_subscripts(x, 1) AS p, unnest(x).t AS t, unnest(x).a AS a FROM p),
+s0 AS (SELECT doc_id, p, a, regexp_split_to_array(t, '{_SENTENCE}') AS w, regexp_extract_all(t, '{_SENTENCE}') AS h FROM q WHERE lang IN ('en', 'fr', 'de')), s AS (SELECT doc_id, p, a, list_filter({_PLACED}, lambda s: trim(s.t, ' ') <> '') AS l FROM s0),
+u AS (SELECT doc_id, 'paragraph' AS unit_type, p, NULL AS k, t AS unit_text, a, a + length(t) AS b FROM q UNION ALL SELECT doc_id, 'sentence', p, generate_subscripts(l, 1), trim(unnest(l).t, ' '), a + unnest(l).a, a + unnest(l).a + length(unnest(l).t) FROM s)
+SELECT doc_id, printf('%d_P%04d', doc_id, p) || CASE WHEN k IS NULL THEN '' ELSE printf('_S%04d', k) END AS unit_id, unit_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, k NULLS FIRST) AS INTEGER) AS unit_order, CAST(p AS INTEGER) AS paragraph_id, CAST(k AS INTEGER) AS sentence_id, unit_text,
+ CAST(a AS INTEGER) AS char_start, CAST(b AS INTEGER) AS char_end, CAST(len(regexp_extract_all(unit_text, '[\\p{{L}}\\p{{N}}_]+')) AS INTEGER) AS token_count FROM u""",
 )
 def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.text_units(table(spark, sf_dir, "documents"))
+    # In these texts a paragraph is a line.
+    return text.text_units(table(spark, sf_dir, "documents"), paragraph=r"\S(?:[^\n]*\S)?")
 
 
 _CHECKSUM = "sha1(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '))"
