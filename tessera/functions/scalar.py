@@ -144,3 +144,28 @@ def min_max(value: Name, over) -> Column:
     x = F.coalesce(_col(value).cast("double"), F.lit(0.0))
     low, high = F.min(x).over(over), F.max(x).over(over)
     return F.when(high == low, F.when(high > 0, 1.0).otherwise(0.0)).otherwise((x - low) / (high - low))
+
+
+def file_name_parts(name: Name) -> Column:
+    """struct<volume_label, year_hint, first_year, last_year, suffix> of a file's name: a roman
+    numeral or 'v_' number, 'UNKNOWN' without one; the years of the 19th and 20th century in
+    it; what follows a prefix of year and number."""
+    stem = F.regexp_replace(_col(name), r"\.[A-Za-z0-9]+$", "")
+    roman = F.upper(F.nullif(F.regexp_extract(stem, "(?i)_(I{1,3}V?|VI{0,3}|IX|X{1,3}|XL|L)(?:_|$)", 1), F.lit("")))
+    number = F.nullif(F.regexp_extract(stem, "(?i)v_([0-9]+)", 1), F.lit(""))
+    years = F.transform(F.regexp_extract_all(_col(name), F.lit("((?:18|19)[0-9][0-9])"), 1), lambda y: y.cast("int"))
+    low, high = F.array_min(years), F.array_max(years)
+    hint = F.when(low.isNull(), "").when(low == high, low.cast("string")).otherwise(F.concat_ws("-", low, high))
+    rest = F.regexp_replace(stem, "(?i)^(?:[A-Z]+_)?(?:18|19)[0-9]{2}(?:-(?:18|19)[0-9]{2})?_[0-9]+_?", "")
+    rest = F.regexp_replace(rest, "(?i)^(?:18|19)[0-9]{2}(?:-(?:18|19)[0-9]{2})?_[0-9]+_?", "")
+    return F.struct(F.coalesce(roman, number, F.lit("UNKNOWN")).alias("volume_label"), hint.alias("year_hint"), low.alias("first_year"), high.alias("last_year"), F.btrim(rest, F.lit("_ -")).alias("suffix"))
+
+
+def csv_cells(line: Name, width: int) -> Column:
+    """The cells of a CSV line by hand: quotes anywhere, doubled ones inside; a short line gets
+    empty cells, a long one's surplus is joined into the last; NA and N/A are null."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), _col(line)), F.lit(',((?:[^",]|"(?:[^"]|"")*(?:"|$))*)'), 1)
+    cells = F.transform(raw, lambda c: F.replace(F.regexp_replace(c, '"((?:[^"]|"")*)(?:"|$)', "$1"), F.lit('""'), F.lit('"')))
+    full = F.concat(F.slice(cells, 1, width - 1), F.array(F.array_join(F.slice(cells, F.lit(width), F.greatest(F.size(cells) - (width - 1), F.lit(0))), ",")))
+    padded = F.concat(cells, F.array_repeat(F.lit(""), F.lit(width) - F.size(cells)))
+    return F.transform(F.when(F.size(cells) >= width, full).otherwise(padded), lambda c: F.when(~c.isin("NA", "N/A"), c))

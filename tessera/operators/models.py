@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lda_topics(docs: DataFrame, k: int = 8, iterations: int = 10, words: int = 10, vocabulary: int = 2000, seed: int = 42) -> DataFrame:
+def lda_topics(docs: DataFrame, k: int = 8, iterations: int = 10, words: int = 10, vocabulary: int = 12000, seed: int = 42) -> DataFrame:
     """(topic_id, rank, word, weight) of a model on (doc_id, tokens)."""
     counter = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=5.0).fit(docs)
     model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="features").fit(counter.transform(docs))

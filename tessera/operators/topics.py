@@ -156,3 +156,26 @@ def representative_docs(theta: DataFrame, n: int = 12) -> DataFrame:
     """The n documents of the largest prevalence in each topic."""
     order = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("theta"), "doc_id"))
     return theta.withColumn("rank", order).where(F.col("rank") <= n)
+
+
+def prevalence_regression(theta: DataFrame, covariate: str, group: str) -> DataFrame:
+    """(topic_id, documents, slope, r2, slope_within): the least-squares change of a topic's
+    prevalence by a unit of `covariate`, over all documents and within the groups, which is
+    its coefficient beside one effect for each group. Rows without prevalence or covariate
+    don't count; one pass of sums by topic and group."""
+    x, y = F.col(covariate).cast("double"), F.col("theta")
+    rows = theta.where(x.isNotNull() & y.isNotNull())
+    own = rows.groupBy("topic_id", group).agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.sum(y * y).alias("yy"))
+    total = lambda c: F.sum(c)
+    spread = lambda p, a, b: F.sum(F.col(p) - F.col(a) * F.col(b) / F.col("n"))
+    out = own.groupBy("topic_id").agg(*[total(c).alias(c) for c in ("n", "x", "y", "xx", "xy", "yy")], spread("xx", "x", "x").alias("wxx"), spread("xy", "x", "y").alias("wxy"))
+    over = lambda p, a, b: F.col(p) - F.col(a) * F.col(b) / F.col("n")
+    sxx, sxy, syy = over("xx", "x", "x"), over("xy", "x", "y"), over("yy", "y", "y")
+    return out.select("topic_id", F.col("n").alias("documents"), F.when(sxx > 1e-12, sxy / sxx).alias("slope"), F.when((sxx > 1e-12) & (syy > 1e-12), sxy * sxy / (sxx * syy)).alias("r2"), F.when(F.col("wxx") > 1e-12, F.col("wxy") / F.col("wxx")).alias("slope_within"))
+
+
+def theta_diagnostics(theta: DataFrame) -> DataFrame:
+    """(concentration, near_empty_topics, perplexity): concentration() and the exponent of the
+    documents' mean entropy."""
+    entropy = theta.groupBy("doc_id").agg(F.sum(F.when(F.col("theta") > 0, -F.col("theta") * F.log("theta")).otherwise(0.0)).alias("e")).agg(F.exp(F.avg("e")).alias("perplexity"))
+    return concentration(theta).crossJoin(entropy)

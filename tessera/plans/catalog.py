@@ -37,4 +37,4 @@ def oracles() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tessera.plans import biblio_queries, match_queries, text_queries, topic_queries  # noqa: F401
+    from tessera.plans import biblio_queries, match_queries, record_queries, text_queries, topic_queries  # noqa: F401

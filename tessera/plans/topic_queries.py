@@ -168,23 +168,57 @@ def semantic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(topics.semantic_coherence(tokenized(spark, sf_dir), topic_words(spark, sf_dir)), "coherence")
 
 
-_DIAGNOSTICS = "SELECT label AS k, -avg(abs(CAST(embedding[1] AS DOUBLE))) * 100 AS coherence, avg(abs(CAST(embedding[2] AS DOUBLE))) * 10 AS exclusivity, CAST(label % 4 = 0 AS INTEGER) AS near_empty_topics, avg(abs(CAST(embedding[3] AS DOUBLE))) AS perplexity, avg(abs(CAST(embedding[4] AS DOUBLE))) AS concentration FROM embeddings GROUP BY label"
+#: Models to choose from: the first topics of the topic words, and of the prevalences.
+WORD_MODELS, THETA_MODELS = (5, 10, 15, 20), (2, 4, 6, 8, 10)
 
 
-def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = lambda i: F.avg(F.abs(F.col("embedding")[i].cast("double")))
-    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("k")).agg((-e(0) * 100).alias("coherence"), (e(1) * 10).alias("exclusivity"), e(2).alias("perplexity"), e(3).alias("concentration")).withColumn("near_empty_topics", (F.col("k") % 4 == 0).cast("int"))
-
-
-@register("k_selection", f"WITH d AS ({_DIAGNOSTICS}), n AS (SELECT *, {_norm('coherence')} AS a, {_norm('exclusivity')} AS b FROM d) SELECT k, round(coherence, 6) AS coherence, round(exclusivity, 6) AS exclusivity, round(a, 6) AS coherence_norm, round(b, 6) AS exclusivity_norm, round((a + b) / 2, 6) AS balanced_score, round(0.6 * a + 0.4 * b, 6) AS weighted_score, CAST(row_number() OVER (ORDER BY round((a + b) / 2, 9) DESC, coherence DESC, k) AS INTEGER) AS selection_rank FROM n")
+@register(
+    "k_selection",
+    f"""WITH {TOPIC_WORDS}, t AS (SELECT topic_id, rank, word FROM tw WHERE rank <= 10), h AS (SELECT DISTINCT doc_id, topic_id, rank FROM allrow JOIN t ON term = word),
+dj AS (SELECT topic_id, rank, count(*) AS d FROM h GROUP BY ALL), bo AS (SELECT x.topic_id, x.rank AS i, y.rank AS j, count(*) AS dij FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.topic_id = y.topic_id AND x.rank > y.rank GROUP BY ALL),
+co AS (SELECT a.topic_id, sum(ln((coalesce(dij, 0) + 1) / dj.d)) AS coherence FROM t a JOIN t c ON a.topic_id = c.topic_id AND a.rank > c.rank LEFT JOIN bo ON bo.topic_id = a.topic_id AND bo.i = a.rank AND bo.j = c.rank JOIN dj ON dj.topic_id = a.topic_id AND dj.rank = c.rank GROUP BY a.topic_id),
+ks AS (SELECT unnest({list(WORD_MODELS)}) AS k), c1 AS (SELECT k, avg(coherence) AS coherence FROM ks JOIN co ON topic_id < k GROUP BY k),
+e1 AS (SELECT k, avg(1 / m) AS exclusivity FROM (SELECT k, word, count(DISTINCT topic_id) AS m FROM ks JOIN t ON topic_id < k GROUP BY ALL) GROUP BY k),
+sc AS (SELECT *, {_norm('coherence')} AS a, {_norm('exclusivity')} AS b FROM c1 JOIN e1 USING (k))
+SELECT k, round(coherence, 6) AS coherence, round(exclusivity, 6) AS exclusivity, round(a, 6) AS coherence_norm, round(b, 6) AS exclusivity_norm, round((a + b) / 2, 6) AS balanced_score, round(0.6 * a + 0.4 * b, 6) AS weighted_score, CAST(row_number() OVER (ORDER BY round((a + b) / 2, 9) DESC, round(coherence, 9) DESC, k) AS INTEGER) AS selection_rank FROM sc""",
+)
 def k_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = topics.k_selection(_diagnostics(spark, sf_dir).select("k", "coherence", "exclusivity"))
+    words = topic_words(spark, sf_dir)
+    each = keep(topics.semantic_coherence(tokenized(spark, sf_dir), words), "coherence")
+    rows = None
+    for k in WORD_MODELS:
+        coherence = each.where(F.col("topic_id") < k).agg(F.avg("coherence").alias("coherence"))
+        exclusive = topics.exclusivity(words.where(F.col("topic_id") < k).withColumn("model", F.lit("one"))).select("exclusivity")
+        one = coherence.crossJoin(exclusive).withColumn("k", F.lit(k))
+        rows = one if rows is None else rows.unionByName(one)
+    out = topics.k_selection(rows.select("k", "coherence", "exclusivity"))
     return rounded(out, "coherence", "exclusivity", "coherence_norm", "exclusivity_norm", "balanced_score", "weighted_score")
 
 
-@register("best_k", f"SELECT k FROM ({_DIAGNOSTICS}) ORDER BY near_empty_topics > 0, perplexity, concentration DESC, k LIMIT 1")
+_BEST = f"""WITH {THETA}, ks AS (SELECT unnest({list(THETA_MODELS)}) AS k), r AS (SELECT k, doc_id, topic_id, theta / sum(theta) OVER (PARTITION BY k, doc_id) AS theta FROM ks JOIN th ON topic_id < k),
+c AS (SELECT k, avg(m) AS concentration, exp(avg(e)) AS perplexity FROM (SELECT k, doc_id, max(theta) AS m, sum(-theta * ln(theta)) AS e FROM r GROUP BY ALL) GROUP BY k), z AS (SELECT k, count(*) FILTER (s < 0.01) AS near_empty_topics FROM (SELECT k, topic_id, sum(theta) AS s FROM r GROUP BY ALL) GROUP BY k)
+SELECT k, near_empty_topics, round(perplexity, 6) AS perplexity, round(concentration, 6) AS concentration FROM c JOIN z USING (k) ORDER BY near_empty_topics > 0, round(perplexity, 9), concentration DESC, k LIMIT 1"""
+
+
+@register("best_k", _BEST)
 def best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.best_k(_diagnostics(spark, sf_dir)).select("k")
+    rows, out = keep(theta(spark, sf_dir), "theta"), None
+    for k in THETA_MODELS:
+        own = rows.where(F.col("topic_id") < k).withColumn("theta", F.col("theta") / F.sum("theta").over(Window.partitionBy("doc_id")))
+        one = topics.theta_diagnostics(own).withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return rounded(topics.best_k(out).select("k", "near_empty_topics", "perplexity", "concentration"), "perplexity", "concentration")
+
+
+@register(
+    "theta_regression",
+    f"""WITH {THETA}, x AS (SELECT *, CAST(1850 + doc_id % 90 AS DOUBLE) AS year FROM th), g AS (SELECT topic_id, label, avg(year) AS my, avg(theta) AS mt FROM x GROUP BY ALL),
+w AS (SELECT topic_id, sum((year - my) * (theta - mt)) / nullif(sum((year - my) * (year - my)), 0) AS slope_within FROM x JOIN g USING (topic_id, label) GROUP BY 1)
+SELECT topic_id, count(*) AS documents, round(regr_slope(theta, year), 9) AS slope, round(regr_r2(theta, year), 9) AS r2, round(any_value(slope_within), 9) AS slope_within FROM x JOIN w USING (topic_id) GROUP BY topic_id""",
+)
+def theta_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = theta(spark, sf_dir).withColumn("year", (F.col("doc_id") % 90 + 1850).cast("double"))
+    return rounded(topics.prevalence_regression(rows, "year", "label"), "slope", "r2", "slope_within", digits=9)
 
 
 @register("lda_topics")

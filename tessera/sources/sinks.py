@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import first_present
-from tessera.operators import biblio, relational
+from tessera.operators import biblio, places, relational, text
 
 #: The columns that may hold a field, in order of preference.
 ALIASES: Mapping[str, Sequence[str]] = {
@@ -60,8 +60,39 @@ def append_rows(frame: DataFrame, path: str, key: str) -> None:
     frame.write.mode("append").parquet(path)
 
 
-def export_tables(rows: DataFrame) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
-    """The relational tables of article-subject rows by name, each with its primary key."""
+def title_tables(rows: DataFrame) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
+    """Tables of the words of titles: by window, by window and subject, and by article."""
+    known = biblio.known_subjects(rows)
+    titled = lambda r, *more: r.select("master_id", "time_window", "title", *more).distinct()
+    own = titled(rows).select("master_id", "time_window", text.title_tokens(F.col("title")).alias("tokens"))
+    terms = text.unnested(own, "tokens", "term", "master_id", "time_window")
+    pairs = text.unnested(own, text.bigrams(F.col("tokens")), "bigram", "master_id", "time_window")
+    counted = lambda r, *keys: r.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("master_id").alias("article_count"))
+    subject = titled(known, "subject_l1").select("master_id", "time_window", "subject_l1", text.title_tokens(F.col("title")).alias("tokens"))
+    by_subject = counted(text.unnested(subject, "tokens", "term", "master_id", "time_window", "subject_l1"), "time_window", "subject_l1", "term")
+    return {
+        "title_term_time_stats": (counted(terms, "time_window", "term"), ("time_window", "term")),
+        "title_bigram_time_stats": (counted(pairs, "time_window", "bigram"), ("time_window", "bigram")),
+        "title_tfidf_time_stats": (text.count_tfidf(counted(terms, "time_window", "term").drop("article_count"), "term", "time_window", "n"), ("time_window", "term")),
+        "title_term_subject_time_stats": (text.count_tfidf(by_subject, "term", "time_window", "n"), ("time_window", "subject_l1", "term")),
+        "article_title_terms": (terms.groupBy("master_id", "time_window", "term").agg(F.count("*").alias("n")), ("master_id", "term")),
+    }
+
+
+def place_tables(found: DataFrame, rows: DataFrame) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
+    """Tables of places (master_id, time_window, historical_name, modern_name) of articles."""
+    subjects = biblio.known_subjects(rows).select("master_id", "subject_l1", "subject_l2").distinct()
+    return {
+        "title_place_time_stats": (places.place_counts(found, "time_window"), ("time_window", "modern_name")),
+        "title_place_subject_time_stats": (places.place_counts(found.join(subjects, "master_id"), "time_window", "subject_l1", "subject_l2"), ("time_window", "subject_l2", "modern_name")),
+        "article_title_places": (places.article_places(found), ("master_id", "modern_name")),
+        "title_place_name_mapping": (places.name_mapping(found), ("historical_name", "modern_name")),
+    }
+
+
+def export_tables(rows: DataFrame, found: DataFrame | None = None) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
+    """The relational tables of article-subject rows by name, each with its primary key; with
+    those of places if `found`, the articles' places, is given."""
     known = biblio.known_subjects(rows)
     return {
         "articles": (relational.articles(rows), ("master_id",)),
@@ -74,14 +105,16 @@ def export_tables(rows: DataFrame) -> dict[str, tuple[DataFrame, tuple[str, ...]
         "article_subjects": (relational.article_subjects(rows), ("master_id", "subject_id")),
         "time_windows": (relational.time_windows(rows), ("time_window",)),
         "subject_distribution_all_years": (biblio.distribution(known, ["subject_l1", "subject_l2"]), ("subject_l2",)),
-        "subject_distribution_by_time_window": (biblio.distribution(known, ["time_window", "subject_l1", "subject_l2"], ["time_window"]), ("time_window", "subject_l2")),
-        "subject_l1_time": (biblio.level_by_time(known, "subject_l1"), ("time_window", "subject_l1")),
-        "subject_l2_time": (biblio.level_by_time(known, "subject_l2"), ("time_window", "subject_l2")),
+        "subject_distribution_time_window": (biblio.distribution(known, ["time_window", "subject_l1", "subject_l2"], ["time_window"]), ("time_window", "subject_l2")),
+        "subject_l1_time_stats": (biblio.level_by_time(known, "subject_l1"), ("time_window", "subject_l1")),
+        "subject_l2_time_stats": (biblio.level_by_time(known, "subject_l2"), ("time_window", "subject_l2")),
         "subject_diversity_stats": (biblio.diversity(known), ("time_window",)),
-        "subject_network_stats": (biblio.subject_degree(known), ("time_window", "subject_l2")),
+        "subject_network_centrality_stats": (biblio.subject_degree(known), ("time_window", "subject_l2")),
         "network_nodes": (biblio.author_nodes(known).unionByName(biblio.subject_nodes(known)), ("node_id",)),
-        "network_edges_article": (biblio.article_edges(known), ()),
-        "network_edges_time": (biblio.time_edges(known), ()),
+        "network_article_edges": (biblio.article_edges(known), ()),
+        "network_time_edges": (biblio.time_edges(known), ()),
+        **title_tables(rows),
+        **(place_tables(found, rows) if found is not None else {}),
     }
 
 

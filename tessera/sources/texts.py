@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.numbering import labelled
+from tessera.functions.scalar import csv_cells
 
 #: Encodings tried in turn; the last fits any bytes.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -80,6 +81,7 @@ def manifest(docs: DataFrame, key: str, text: str) -> DataFrame:
     return labelled(narrow, "text_id", "TXT_%05d", key).select(key, "text_id", "raw_char_count", "raw_line_count", "raw_text_checksum")
 
 
+# Fixed value: the form of a page marker.
 _PAGE = re.compile(r"^## p\. ([0-9ivxlcdm]*) ?\(#(\d+)\)", re.I | re.M)
 
 
@@ -153,12 +155,15 @@ def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFram
     return spark.createDataFrame(frame.astype(object).where(frame.notna(), None))
 
 
-def parse_rows(lines: Iterable[str]) -> Iterator[list[str]]:
-    """CSV lines by hand: short rows are padded, long ones joined into the last column."""
-    width = 0
-    for line in lines:
-        cells = re.findall(r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))', line.rstrip("\r\n"))
-        row = [(a.replace('""', '"') if a else b) for a, b in cells]
-        width = width or len(row)
-        row = row + [""] * (width - len(row)) if len(row) <= width else row[: width - 1] + [",".join(row[width - 1 :])]
-        yield row
+def read_csv_by_hand(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV table of text whose rows may be shorter or longer than its header: csv_cells() of
+    each line, which the executors parse; only the header comes to the driver."""
+    lines = spark.read.text(path)
+    first = lines.limit(1).collect()
+    if not first:
+        return spark.createDataFrame([], "value string")
+    header = first[0].value.removeprefix("\ufeff")
+    names = spark.range(1).select(csv_cells(F.lit(header), header.count(",") + 1).alias("c")).first().c
+    names = [n for n in names[: next((k for k in range(len(names), 0, -1) if names[k - 1]), 1)]]
+    rows = lines.where(~F.col("value").isin(first[0].value, header)).select(csv_cells("value", len(names)).alias("c"))
+    return rows.select(*[F.col("c")[k].alias(n) for k, n in enumerate(names)])

@@ -213,7 +213,9 @@ def test_csv_sources(spark, tmp_path):
     assert [tuple(r) for r in rows] == [('q "x", y', None, 1), ("z", None, None)]
     assert texts.read_optional_csv(spark, f"file://{tmp_path}/none.csv", "a string").schema.simpleString() == "struct<a:string>"
     assert texts.first_existing(spark, [f"file://{tmp_path}/none", f"file://{tmp_path}/x.csv"]).endswith("x.csv")
-    assert list(texts.parse_rows(["a,b,c", '1,"x, ""y"""', "1,2,3,4"])) == [["a", "b", "c"], ["1", 'x, "y"', ""], ["1", "2", "3,4"]]
+    (tmp_path / "long.csv").write_text('\ufeffa,"b, c",d\n1,"x, ""y"""\n1,2,3,4\n,N/A,z"q,q"w\n')
+    rows = texts.read_csv_by_hand(spark, f"file://{tmp_path}/long.csv")
+    assert rows.columns == ["a", "b, c", "d"] and [tuple(r) for r in rows.collect()] == [("1", 'x, "y"', ""), ("1", "2", "3,4"), ("", None, "zq,qw")]
     (tmp_path / "g.json").write_text('{"features": [{"properties": {"n": "A"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]}')
     assert texts.read_geojson(spark, f"file://{tmp_path}/g.json").first().properties == {"n": "A"}
     assert texts.read_geojson(spark, f"file://{tmp_path}/no.json").count() == 0
@@ -291,12 +293,16 @@ def test_numbers_over_a_whole_table(spark):
 def test_export_and_metadata(spark, sf_dir, tmp_path):
     from tessera.sources import sinks
 
-    tables = {n: t for n, t in sinks.export_tables(roles.expanded(spark, sf_dir).cache()).items() if n in ("articles", "article_subjects", "subjects", "time_windows", "subject_diversity_stats")}
+    from tessera.plans.match_queries import _place_rows
+
+    every = sinks.export_tables(roles.expanded(spark, sf_dir).cache(), _place_rows(spark, sf_dir))
+    assert len(every) == 27
+    tables = {n: t for n, t in every.items() if n in ("articles", "article_subjects", "subjects", "time_windows", "subject_diversity_stats", "network_nodes", "title_term_time_stats", "title_bigram_time_stats", "title_tfidf_time_stats", "title_term_subject_time_stats", "article_title_terms", "title_place_time_stats", "title_place_subject_time_stats", "article_title_places", "title_place_name_mapping")}
     ddl = sinks.export(spark, tables, f"file://{tmp_path}/out")
-    assert ddl.count("CREATE TABLE") == 5 and "PRIMARY KEY (`master_id`, `subject_id`)" in ddl
+    assert ddl.count("CREATE TABLE") == 15 and "PRIMARY KEY (`master_id`, `subject_id`)" in ddl
     for name, (_, key) in tables.items():
         written = spark.read.parquet(f"file://{tmp_path}/out/{name}")
-        assert written.count() == written.select(*key).distinct().count() > 0
+        assert written.count() == written.select(*key).distinct().count() > 0, name
     frame = spark.createDataFrame([(" ", "T", "x"), ("1", "U", None)], "master_id string, matched_title string, `L1 subject` string")
     assert [(r.master_id, r.title, r.L1, r.year) for r in sinks.by_alias(frame).collect()] == [(None, "T", "x", None), ("1", "U", None, None)]
     assert sinks.existing(frame, ["no", "L1 subject"]).columns == ["L1 subject"] and sinks.ordered(frame, ["L1 subject", "no"]).columns[0] == "L1 subject"
@@ -306,3 +312,86 @@ def test_export_and_metadata(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/rows").count() == 4
     sinks.write_csv(spark.createDataFrame([('a "q"', 1)], "s string, n int"), f"file://{tmp_path}/csv")
     assert texts.read_csv(spark, f"file://{tmp_path}/csv", "s string, n int").first().s == 'a "q"'
+
+
+def test_reconciled_titles_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    words = "history of china notes on the rivers north coast trade silk routes journey".split()
+    title = lambda: [str(w) for w in rng.choice(words, size=int(rng.integers(1, 6)))]
+    left = [(k, sorted({int(y) for y in rng.integers(1870, 1876, 2)}), title()) for k in range(40)] + [(90, [1800], ["history"]), (91, [1871], [])]
+    right = [(k, sorted({int(y) for y in rng.integers(1870, 1876, 2)}), title()) for k in range(60)]
+    got = matching.reconcile(spark.createDataFrame(left, "l_id int, l_years array<int>, a array<string>"), spark.createDataFrame(right, "r_id int, r_years array<int>, b array<string>")).collect()
+    assert len(got) == len(left)
+    for r in got:
+        _, years, a = left[[x[0] for x in left].index(r.l_id)]
+        best = min(((-round(matching.bag_title_score(a, b), 9), k) for k, ys, b in right if set(ys) & set(years)), default=None)
+        if best is None:
+            assert (r.r_id, r.score, r.match_status) == (None, None, "no_year_candidate")
+        else:
+            status = "accepted" if -best[0] >= 0.92 and len(set(a)) >= 2 else "review" if -best[0] >= 0.82 and len(set(a)) >= 3 else "manual"
+            assert (r.r_id, r.match_status) == (best[1], status) and r.score == pytest.approx(-best[0])
+
+
+def test_greedy_rows_of_the_query(spark, sf_dir):
+    from tessera.plans import catalog
+
+    events = [r for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect() if r.event_type in ("click", "view")]
+    want = set()
+    for user in {r.user_id for r in events}:
+        side = lambda t: sorted((r.ts.timestamp(), r.event_id) for r in events if r.user_id == user and r.event_type == t)
+        free = side("view")
+        for y, k in side("click"):
+            near = sorted((abs(x - y), j, x) for x, j in free)
+            if near and near[0][0] <= 7200:
+                want.add((user, k, near[0][1]))
+                free.remove((near[0][2], near[0][1]))
+            else:
+                want.add((user, k, None))
+        want |= {(user, None, j) for _, j in free}
+    assert {tuple(r) for r in catalog.queries()["greedy_nearest"](spark, sf_dir).collect()} == want
+
+
+def themes(spark, n=60):
+    rng = np.random.default_rng(2)
+    words = [[f"{t}{k}" for k in range(8)] for t in "abc"]
+    docs = [(d, [str(w) for w in rng.choice(words[d % 3], size=30)]) for d in range(n)]
+    return spark.createDataFrame(docs, "doc_id long, tokens array<string>"), words
+
+
+def test_topic_models_find_the_themes(spark):
+    docs, words = themes(spark)
+    terms = text.doc_terms(text.term_rows(docs)).select("doc_id", "term", (F.col("tf") / F.col("doc_len")).alias("value"))
+    for rows in (models.lda_topics(docs, k=3, iterations=40, words=8), models.nmf_topics(terms, sorted(w for own in words for w in own), k=3, iterations=40, words=8)):
+        topics_ = {}
+        for r in rows.collect():
+            topics_.setdefault(r.topic_id, set()).add(r.word)
+        assert sorted(map(sorted, topics_.values())) == sorted(map(sorted, words))
+
+
+def test_factorisation_error_falls(spark):
+    docs, _ = themes(spark, 30)
+    terms = text.doc_terms(text.term_rows(docs)).select("doc_id", "term", (F.col("tf") / F.col("doc_len")).alias("value"))
+    rows = terms.collect()
+    names = sorted({r.term for r in rows})
+    x = np.zeros((30, len(names)))
+    for r in rows:
+        x[r.doc_id, names.index(r.term)] = r.value
+    errors = []
+    for n in (1, 5, 25):
+        h = np.zeros((3, len(names)))
+        for r in models.nmf_topics(terms, names, k=3, iterations=n, words=len(names)).collect():
+            h[r.topic_id, names.index(r.word)] = r.weight
+        w = np.full((30, 3), 1 / 3)
+        for _ in range(200):
+            w *= (x @ h.T) / (w @ (h @ h.T) + 1e-9)
+        errors.append(float(((x - w @ h) ** 2).sum()))
+    assert errors[0] > errors[1] > errors[2]
+
+
+def test_vectors_are_in_the_cluster_of_the_nearest_centre(spark, sf_dir):
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    found = {r.vec_id: r.cluster for r in models.embedding_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 6).collect()}
+    unit = lambda v: v / np.linalg.norm(v)
+    centres = {c: unit(np.mean([unit(rows[k]) for k, x in found.items() if x == c], axis=0)) for c in set(found.values())}
+    nearest = [max(centres, key=lambda c: float(unit(v) @ centres[c])) == found[k] for k, v in rows.items()]
+    assert np.mean(nearest) > 0.9 and found.keys() == rows.keys()
