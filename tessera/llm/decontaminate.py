@@ -4,7 +4,8 @@ An item of m characters may differ by k = floor(rate * m) edits. Cut into k + 1
 piece at least survives k edits untouched, so exact hits of pieces, found by one
 Aho-Corasick pass over a text, give every candidate place; Myers' bit-parallel distance
 then verifies the candidate windows. Documents never shuffle: the items, a stated query
-set, are broadcast in blocks of bounded size, and each block passes over all rows.
+set, are broadcast in blocks of bounded size, and each block passes over all rows. A block
+of two million characters is an automaton of about 50 MB in a task.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def _matcher(value: tuple[str, list, float]) -> Matcher:
     return _MATCHERS[key]
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 400_000) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, distance, end_char, budget): one row for each document and item that
     it holds within the item's budget, with the least distance over all places.
 
@@ -172,7 +173,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.05, b
     return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, end_char long, budget int") if out is None else out
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 400_000) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 2_000_000) -> DataFrame:
     """The rows of `documents`, unchanged, whose text holds no item within its budget."""
     for block in _blocks(benchmark, rate, block_chars):
 

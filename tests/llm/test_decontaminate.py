@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,3 +59,26 @@ def test_blocks_and_edges(spark):
         assert sorted(r.doc_id for r in d.decontaminate(docs, items, block_chars=chars).collect()) == [1, 2, 5]
     assert d.find_leaks(docs, items.limit(0)).count() == 0 and d.decontaminate(docs, items.limit(0)).count() == 6
     assert d.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_query_on_edited_items_against_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    words = "river stone amber night harbour winter music paper garden iron silver lantern".split()
+    items = [" ".join(rng.choices(words, k=rng.randint(4, 16))) for _ in range(14)] + ["short", "a b"]
+
+    def edited(text, n):
+        out = list(text)
+        for _ in range(n):
+            k = rng.randrange(len(out))
+            out[k : k + 1] = rng.choice([[], [rng.choice("xyz")], [out[k], rng.choice("xyz")]])
+        return "".join(out)
+
+    docs = []
+    for k in range(70):
+        item = rng.choice(items)
+        docs.append(f"{' '.join(rng.choices(words, k=12))} {edited(item, rng.randint(0, 6))} {' '.join(rng.choices(words, k=9))}")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {(i, k): n for i, t in enumerate(docs) for k, x in enumerate(items) if (n := plain_distance(d.normal(x), d.normal(t))) <= int(0.05 * len(d.normal(x)))}
+    got = {(r.doc_id, r.item_id): r.distance for r in d.op1_pigeonhole_edit(spark, str(tmp_path)).collect()}
+    assert got == want and len({n for n in want.values()}) > 3

@@ -75,12 +75,16 @@ def test_scores_of_the_query(spark, sf_dir, broadcast_rows):
     docs = [(r.doc_id, r.text) for r in frame.collect()]
     learn = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
     want = plain(docs, learn)
+    pieces, logp, end = lattice.fit(lattice.word_counts(frame, ~(F.crc32(F.col("doc_id").cast("string")) % 7 == 2)), PATH)
+    model = lattice.Lattice(pieces, logp)
     got = lattice.score_documents(frame, PATH, ~(F.crc32(F.col("doc_id").cast("string")) % 7 == 2), broadcast_rows).collect()
     assert len(got) == len(docs)
     for r in got:
         n, known, train, base = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, train, not learn(r.doc_id))
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), dict(docs)[r.doc_id]))
+        assert r.score == pytest.approx((model.forward(words).sum() + end) / math.log(10), rel=1e-9)
 
 
 def test_fitting_raises_the_likelihood(spark, sf_dir):
