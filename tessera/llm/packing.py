@@ -163,7 +163,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return np.array(bins, np.int64), np.array(offsets, np.int64), opened
 
 
-def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 40_000) -> DataFrame:
+def pack(pieces: DataFrame, window: int = 2048, shard_rows: int = 10_000) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to `window` tokens.
 
     Ties in length go by doc_id, then start. A shard numbers its windows shard + k * shards,
