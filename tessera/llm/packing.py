@@ -13,6 +13,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,29 +41,28 @@ class WordTokenizer:
     The memo has two generations of at most `most` words; it changes speed, not results.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.young, self.old = most, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words, by encoding plain letter runs many at a time."""
-        texts = [w.decode() for w in words]
-        plain = [k for k, t in enumerate(texts) if all_letters(t)]
-        out: dict[bytes, np.ndarray] = {}
+        ascii_ = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        plain = ascii_ + [w for w in other if all_letters(w.decode())]
+        out: dict[bytes, bytes] = {}
         if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(texts[k] for k in plain), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(plain):
-                for k, x in zip(plain, np.split(ids, cuts[:-1])):
-                    out[words[k]] = x.tobytes()
-            else:
-                plain = []
-        rest = sorted(set(range(len(words))) - set(plain))
-        for k, e in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False)):
-            out[words[k]] = np.array(e.ids, np.uint32).tobytes()
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                out = {w: raw[a:b] for w, a, b in zip(plain, [0, *ends], ends)}
+        rest = [w for w in words if w not in out]
+        for w, e in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)):
+            out[w] = np.array(e.ids, np.uint32).tobytes()
         return out
 
     def parts(self, word: bytes) -> tuple[bytes, ...]:
@@ -74,26 +74,27 @@ class WordTokenizer:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, as bytes."""
         split = [t.lower().split() for t in texts]
-        young, old = self.young, self.old
-        unknown = {w for ws in split for w in ws} - young.keys()
-        for w in unknown & old.keys():
-            young[w] = old[w]
-        pieces = {w: self.parts(w) for w in unknown - old.keys()}
-        fresh = {p for ps in pieces.values() for p in ps} - young.keys()
-        for p in fresh & old.keys():
-            young[p] = old[p]
-        fresh = sorted(fresh - young.keys())
+        young = self.young
+        unknown = self._recall(set(chain.from_iterable(split)))
+        cut = {w: ps for w in unknown if not w.isalpha() and len(ps := self.parts(w)) > 1}
+        fresh = sorted(self._recall(unknown.difference(cut).union(*cut.values())))
         for a in range(0, len(fresh), 4096):
             young.update(self.learn(fresh[a : a + 4096]))
-        for w, ps in pieces.items():
-            if len(ps) > 1:
-                young[w] = young[ps[0]] + young[ps[1]]
+        for w, (head, tail) in cut.items():
+            young[w] = young[head] + young[tail]
         get = young.__getitem__
         out = [b"".join(map(get, ws)) for ws in split]
         if len(young) > self.most:
             self.old, self.young = young, {}
         return out
 
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """Those of the words that neither generation knows; what the older one knows moves on to the younger."""
+        words = words.difference(self.young)
+        known = words.intersection(self.old)
+        self.young.update(zip(known, map(self.old.__getitem__, known)))
+        return words - known
+
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -112,7 +113,7 @@ def cut_pieces(documents: DataFrame, path: str, window: int = 2048, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for batch in small_batches(batches, "text", 4_000_000):
+        for batch in small_batches(batches, "text", 2_000_000):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(as_bytes(batch.column("text")))):
                 ids += end

@@ -67,7 +67,7 @@ def fingerprint(documents: DataFrame, size: int = 4, carry: tuple[str, ...] = ()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*carry, F.lit(0).alias("_")).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 2_000_000):  # a shingle's hash takes some forty bytes while it is counted
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(as_bytes(batch.column("text")), size).view(np.int64)), batch.column("row")], names=["doc_id", "fp", "row"])
 
     found = rows.mapInArrow(run, f"doc_id long, fp long, row {rows.schema['row'].dataType.simpleString()}")
