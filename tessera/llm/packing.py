@@ -41,7 +41,7 @@ class WordTokenizer:
     The memo has two generations of at most `most` words; it changes speed, not results.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.young, self.old = most, {}, {}
         vocabulary = self.tokenizer.get_vocab()
@@ -67,7 +67,7 @@ class WordTokenizer:
 
     def parts(self, word: bytes) -> tuple[bytes, ...]:
         head = word.rstrip(SYMBOLS)
-        if head and len(head) < len(word) and all_letters(head.decode()):
+        if head and len(head) < len(word) and (head.isalpha() or all_letters(head.decode())):
             return head, word[len(head) :]
         return (word,)
 
@@ -90,10 +90,10 @@ class WordTokenizer:
 
     def _recall(self, words: set[bytes]) -> set[bytes]:
         """Those of the words that neither generation knows; what the older one knows moves on to the younger."""
-        words = words.difference(self.young)
-        known = words.intersection(self.old)
-        self.young.update(zip(known, map(self.old.__getitem__, known)))
-        return words - known
+        words, old = words.difference(self.young), self.old
+        known = [w for w in words if w in old]
+        self.young.update(zip(known, map(old.__getitem__, known)))
+        return words.difference(known)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -113,7 +113,7 @@ def cut_pieces(documents: DataFrame, path: str, window: int = 2048, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for batch in small_batches(batches, "text", 2_000_000):
+        for batch in small_batches(batches, "text", 4_000_000):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(as_bytes(batch.column("text")))):
                 ids += end
