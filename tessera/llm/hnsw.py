@@ -5,29 +5,37 @@ widened until audits against brute force pass: on noisy copies of the shard's me
 always have true pairs, and on a sample of each batch of queries. Found pairs are verified by
 cosine in double precision. Tasks return counts at both ends and a forest of their links,
 never all pairs of a group; components are then united over the shards.
+
+Graphs are tables of one row per node, so they are written, dealt out and read in batches of
+rows like the vectors, and no cell grows with a shard.
 """
 
 from __future__ import annotations
 
-import pickle
+import gc
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.components import connected_components, forest
 from tessera.llm.shared import discard, keep, table
 
 
+#: Entries that the lists of a block of queries may have before the block is made smaller.
+MOST_MET = 2_000_000
+
+
 class Graph:
     """A layered proximity graph over unit vectors, built and searched many rows at a time."""
 
     def __init__(self, x: np.ndarray, links: int = 12, width: int = 48, seed: int = 3):
-        """x: double, unit length. links: neighbours a node chooses; it keeps up to twice as many."""
-        self.x, self.links, self.n = x.astype(np.float32), links, len(x)
+        """x: unit length. links: neighbours a node chooses; it keeps up to twice as many."""
+        self.x, self.links, self.n = x.astype(np.float32, copy=False), links, len(x)
         rng = np.random.default_rng(seed)
         level = np.minimum((-np.log(1 - rng.random(self.n)) / np.log(links)).astype(int), 6)
         self.order = np.argsort(-level, kind="stable").astype(np.int32)
@@ -36,6 +44,25 @@ class Graph:
         self.sizes = [int((level >= k).sum()) for k in range(int(level[0]) + 1)] if self.n else []
         self.layers = [self._layer(size, width) for size in self.sizes]
 
+    @classmethod
+    def of_rows(cls, x: np.ndarray, neighbours: np.ndarray, lengths: np.ndarray, links: int = 12) -> Graph:
+        """The graph of node_links() of all nodes, whose vectors in the same order are x."""
+        out = cls.__new__(cls)
+        out.x, out.links, out.n, out.order = x.astype(np.float32), links, len(x), np.arange(len(x), dtype=np.int32)
+        begins, width = np.cumsum(lengths) - lengths, 2 * links
+        out.sizes = [int((lengths > k * width).sum()) for k in range(int(lengths.max(initial=0)) // width)]
+        out.layers = [neighbours[begins[:size, None] + (k * width + np.arange(width))] for k, size in enumerate(out.sizes)]
+        return out
+
+    def node_links(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbours of nodes low..high-1, each node's layers from the lowest up, and how many each node has."""
+        high = min(high, self.n)
+        every, held = np.full((high - low, len(self.sizes), 2 * self.links), -1, np.int32), np.zeros((high - low, len(self.sizes)), bool)
+        for k, (size, layer) in enumerate(zip(self.sizes, self.layers)):
+            some = layer[low : min(high, size)]
+            every[: len(some), k], held[: len(some), k] = some, True
+        return every[held].ravel(), held.sum(axis=1) * (2 * self.links)
+
     def _layer(self, size: int, width: int) -> np.ndarray:
         """Nodes 0..size-1, which are the layer's, in batches: the first by brute force, then
         each by searching what is there, together with its own batch."""
@@ -52,10 +79,13 @@ class Graph:
             near = np.argpartition(-within, top - 1, axis=1)[:, :top] if top else np.zeros((len(new), 0), int)
             ids, sims = new[near], np.take_along_axis(within, near, axis=1)
             if done:
-                found, found_sims = self._beam(held[:done], self.x[new], np.zeros(len(new), np.int32), width, np.inf)
-                keep_n = min(found.shape[1], 2 * width)
-                best = np.argsort(-found_sims, axis=1, kind="stable")[:, :keep_n]
-                ids, sims = np.hstack([ids, np.take_along_axis(found, best, axis=1)]), np.hstack([sims, np.take_along_axis(found_sims, best, axis=1)])
+                parts = []
+                for some in np.array_split(new, -(-len(new) // self._rows())):
+                    found, found_sims = self._beam(held[:done], self.x[some], np.zeros(len(some), np.int32), width, np.inf)
+                    best = np.argsort(-found_sims, axis=1, kind="stable")[:, : 2 * width]  # a beam's lists have at least four times its width
+                    parts.append((np.take_along_axis(found, best, axis=1), np.take_along_axis(found_sims, best, axis=1)))
+                found, found_sims = map(np.vstack, zip(*parts))
+                ids, sims = np.hstack([ids, found]), np.hstack([sims, found_sims])
             chosen, near = self._choose(new, ids, sims, self.links)
             held[done:stop, : self.links], score[done:stop, : self.links] = chosen, near
             k, at = np.nonzero(chosen >= 0)
@@ -63,6 +93,10 @@ class Graph:
             done = stop
         return held
 
+    def _rows(self, rows: int = 256) -> int:
+        """Queries in a block: a byte for each of them and each node."""
+        return max(8, min(rows, 64_000_000 // max(1, self.n)))
+
     def _choose(self, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """For each node, of its row of candidates those nearer to it than to any already
         chosen, then the nearest of the rest: `most` ids and similarities, padded with -1."""
@@ -101,11 +135,13 @@ class Graph:
         offered[of_node[fits], place[fits]], offered_sims[of_node[fits], place[fits]] = new[fits], sims[fits]
         held[nodes], score[nodes] = self._choose(nodes, np.hstack([held[nodes], offered]), np.hstack([score[nodes], offered_sims]), width)
 
-    def _beam(self, held: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    def _beam(self, held: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int, threshold: float, most_met: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, similarities) of all nodes that each query has met, -1 where there is none.
 
         Best first: each query opens its nearest unopened node, `width` times, and goes on
         for as long as that node passes `threshold`, so no number of partners is a limit.
+        None if the lists of several queries would hold more than `most_met` entries: they
+        are then to be asked in smaller blocks.
         """
         size, rows = len(held), np.arange(len(q))
         met = np.zeros((len(q), size), bool)
@@ -135,6 +171,8 @@ class Graph:
             s = np.where(fresh, np.einsum("ij,ikj->ik", q[active], self.x[near]), -np.inf).astype(np.float32)
             if int(used[active].max()) + most > cap:
                 more = max(cap, most)
+                if most_met and len(q) > 1 and len(q) * (cap + more) > most_met:
+                    return None
                 ids, sims, open_sims = (np.hstack([a, np.full((len(q), more), f, a.dtype)]) for a, f in ((ids, -1), (sims, -np.inf), (open_sims, -np.inf)))
                 cap += more
             to = used[active][:, None] + np.arange(most)
@@ -147,22 +185,39 @@ class Graph:
     def search(self, q: np.ndarray, width: int, threshold: float, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, node) pairs whose single-precision similarity comes near `threshold`, block by block."""
         q = q.astype(np.float32)
-        rows = max(8, min(rows, 64_000_000 // max(1, self.n)))
-        for a in range(0, len(q), rows):
-            own = q[a : a + rows]
+        rows = step = self._rows(rows)
+        a = 0
+        while a < len(q):
+            own = q[a : a + step]
             at = np.zeros(len(own), np.int32)
             for layer in self.layers[:0:-1]:
                 ids, sims = self._beam(layer, own, at, 4, np.inf)
                 at = ids[np.arange(len(own)), np.argmax(sims, axis=1)]
-            ids, sims = self._beam(self.layers[0], own, at, width, threshold - 1e-3)
+            met = self._beam(self.layers[0], own, at, width, threshold - 1e-3, MOST_MET)
+            if met is None:
+                step = max(1, len(own) // 2)
+                continue
+            ids, sims = met
             i, j = np.nonzero((ids >= 0) & (sims >= threshold - 1e-4))
-            yield a + i, self.order[ids[i, j]]
+            found = self.order[ids[i, j]]
+            del met, ids, sims, j
+            yield a + i, found
+            a, step = a + len(own), min(rows, step + max(1, step // 4))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def directions(x: np.ndarray, dtype: type = np.float64) -> np.ndarray:
+    """Unit vectors of finite ones of any size, computed in double precision block by block."""
+    out = np.empty(x.shape, dtype)
+    for a in range(0, len(x), 5000):
+        v = x[a : a + 5000].astype(np.float64)
+        out[a : a + 5000] = unit(v / np.abs(v).max(axis=1, keepdims=True))
+    return out
+
+
 def probes(x: np.ndarray, threshold: float, count: int, seed: int = 7) -> np.ndarray:
     """Unit vectors whose cosine to a member of `x` is `threshold` at least: noisy copies of
     members spread through it, so that an audit always has true pairs to find."""
@@ -176,7 +231,7 @@ def probes(x: np.ndarray, threshold: float, count: int, seed: int = 7) -> np.nda
 
 
 def _true(q: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    step = max(1, 8_000_000 // len(x))
+    step = max(1, MOST_MET // len(x))
     for a in range(0, len(q), step):
         i, j = np.nonzero(q[a : a + step] @ x.T >= threshold)
         yield a + i, j
@@ -216,7 +271,60 @@ def _verified(pairs: Iterator[tuple[np.ndarray, np.ndarray]], q: np.ndarray, x:
         yield i[cosine >= threshold], j[cosine >= threshold]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, shard_bytes: int = 96_000_000, task_rows: int = 10_000, most_splits: int = 16) -> DataFrame:
+def _pieces(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Each run of rows that agree in the columns `names`, as a stream of slices."""
+
+    def cut() -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in names])
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low:
+                    yield tuple(keys[low].tolist()), batch.slice(low, high - low)
+
+    for key, run in groupby(cut(), key=lambda x: x[0]):
+        yield key, (x for _, x in run)
+
+
+def _matrix(part: pa.RecordBatch) -> np.ndarray:
+    return part.column("embedding").flatten().to_numpy().reshape(part.num_rows, -1)
+
+
+def shard_graphs(members: DataFrame, shards: int) -> DataFrame:
+    """(dim, shard, at, rep, copies, embedding, neighbours) for each row of `members`, which has
+    all but `at` and `neighbours`: the node's place in the graph of its shard, and its links
+    in all its layers."""
+    value = members.schema["embedding"].dataType.elementType.simpleString()
+    vector = pa.list_(pa.float32() if value == "float" else pa.float64())
+    schema = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("at", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("embedding", vector), ("neighbours", pa.list_(pa.int32()))])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (dim, shard), parts in _pieces(batches, ("dim", "shard")):
+            raw, reps, copies = zip(*((_matrix(p), p.column("rep").to_numpy(), p.column("copies").to_numpy()) for p in parts))
+            raw, reps, copies = np.concatenate(raw), np.concatenate(reps), np.concatenate(copies)
+            graph = Graph(directions(raw, np.float32))
+            for low in range(0, len(reps), 5000):
+                own = graph.order[low : low + 5000]
+                neighbours, lengths = graph.node_links(low, low + 5000)
+                lists = [(np.full(len(own), dim), raw[own].ravel()), (lengths, neighbours)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(v)) for n, v in lists]
+                columns = [np.full(len(own), dim), np.full(len(own), shard), np.arange(low, low + len(own)), reps[own], copies[own]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema)), *lists], schema=schema)
+
+    dealt = members.select("dim", "shard", "rep", "copies", "embedding").repartition(4 * shards, "dim", "shard").sortWithinPartitions("dim", "shard", "rep")
+    return dealt.mapInArrow(build, f"dim int, shard int, at int, rep long, copies long, embedding array<{value}>, neighbours array<int>")
+
+
+def _read_graph(parts: list[pa.RecordBatch]) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """The graph of rows of shard_graphs(), its vectors, and their ids and copies."""
+    x = np.concatenate([directions(_matrix(p)) for p in parts])
+    lengths = np.concatenate([p.column("neighbours").value_lengths().to_numpy() for p in parts])
+    neighbours = np.concatenate([p.column("neighbours").flatten().to_numpy() for p in parts])
+    reps, copies = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("rep", "copies"))
+    return Graph.of_rows(x, neighbours, lengths), x, reps, copies
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, shard_bytes: int = 96_000_000, task_rows: int = 10_000, most_splits: int = 16, wave_bytes: int = 500_000_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall) for each row of `vectors` (vec_id, embedding).
 
     Linked are vectors of one length whose cosine is at least `threshold`. Null or zero
@@ -230,55 +338,49 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, sh
     queried, each pair of shards once: the vectors of one query the graph of the other, and
     what is found counts at both ends. In a shard's own graph the later id of a pair finds
     the earlier. A task holds one graph and reads its queries as a stream; queries are split
-    over at most `most_splits` tasks a graph, or one for each million, so a graph moves that often.
+    over at most `most_splits` tasks a graph, so a graph moves that often.
+
+    Shards meet in waves: those at some distances of their numbers, then those at the next.
+    A wave sends as many copies of all vectors as `wave_bytes` hold, and of all graphs as many
+    again; one at the least. So disk grows with the vectors, not with vectors times shards.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    largest = F.array_max(F.transform("embedding", lambda v: F.abs(v)))
     classes = rows.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = keep(classes.withColumn("scaled", F.transform("embedding", lambda v: v / largest)).select("embedding", "rep", "copies", "scaled", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("key")), "vectors")
+    classes = keep(classes.select("embedding", "rep", "copies", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("key")), "vectors")
     count, longest = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
     shards = max(shards, -(-count * (8 * longest + 128) // shard_bytes))
-    splits = max(1, min(count // task_rows, most_splits), count // 1_000_000)
+    copies_held = max(1, wave_bytes // max(1, count * ((4 if single else 8) * longest + 40)))
+    splits = max(1, min(count // task_rows, most_splits, copies_held))
     home = F.pmod("key", F.lit(shards)).cast("int")
-    members = classes.select("dim", home.alias("shard"), "rep", "copies", "scaled")
-
-    def build(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("rep")
-        x = unit(np.stack(own["scaled"].to_numpy()))
-        blob = pickle.dumps((Graph(x), x, own["rep"].to_numpy(np.int64), own["copies"].to_numpy(np.int64)))
-        return pd.DataFrame({"dim": [own["dim"].iloc[0]], "shard": [own["shard"].iloc[0]], "graph": [blob]})
-
-    graphs = keep(members.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "graphs")
-    # The other half of the shards sends its vectors here; of an even number the one opposite is asked from the lower side.
-    half = F.sequence(F.lit(0), F.lit(shards // 2))
-    to = F.transform(F.filter(half, lambda d: (2 * d != shards) | (home < shards // 2)), lambda d: F.pmod(home + d, F.lit(shards)).cast("int"))
     split = F.pmod(F.hash("key"), F.lit(splits))
-    asked = classes.select("dim", F.explode(to).alias("shard"), split.alias("split"), home.alias("home"), "rep", "copies", "scaled")
-    met = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "graph")
-    dealt = met.unionByName(asked, allowMissingColumns=True).repartition(shards * splits, "dim", "shard", "split").sortWithinPartitions("dim", "shard", "split", F.col("rep").asc_nulls_first())
+    graphs = keep(shard_graphs(classes.withColumn("shard", home), shards), "graphs")
+    met = graphs.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
+    def asked(distances: list[int]) -> DataFrame:
+        # The other half of the shards sends its vectors here; of an even number the one opposite is asked from the lower side.
+        to = F.transform(F.filter(F.array(*map(F.lit, distances)), lambda d: (2 * d != shards) | (home < shards // 2)), lambda d: F.pmod(home + d, F.lit(shards)).cast("int"))
+        return classes.select("dim", F.explode(to).alias("shard"), split.alias("split"), home.alias("home"), "rep", "copies", "embedding")
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The rows of a graph come behind it; a partition may hold several graphs, one after the other.
-        at = shard = None
-        for batch in batches:
-            ids, keys = batch.column("rep").to_numpy(zero_copy_only=False), np.column_stack([batch.column(c).to_numpy() for c in ("dim", "shard", "split")])
-            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
-            for low, high in zip(cuts, cuts[1:]):
-                part = batch.slice(low, high - low)
-                if (key := tuple(keys[low])) != at:
-                    if shard:
-                        yield outcome([], [], [], [shard.true, shard.found])
-                    at, shard = key, None
-                if part.column("graph")[0].is_valid:
-                    built, x, reps, copies = pickle.loads(part.column("graph")[0].as_py())
-                    shard, part = Shard(built, x, threshold), part.slice(1)
-                if shard is None or not part.num_rows:  # a shard without members has no graph
+        # The rows of a graph come before those that ask it; a partition may hold several graphs, one after the other.
+        for (_, at, _), parts in _pieces(batches, ("dim", "shard", "split")):
+            nodes, shard, reps, copies = [], None, None, None
+            for part in parts:
+                own = len(part) - part.column("at").null_count
+                if own:
+                    nodes.append(part.slice(0, own))
+                part = part.slice(own)
+                if not part.num_rows or not (nodes or shard):  # a shard without members has no graph
                     continue
-                q = unit(part.column("scaled").flatten().to_numpy().reshape(part.num_rows, -1))
-                ids, own = part.column("rep").to_numpy(), part.column("home").to_numpy() == key[1]
+                if not shard:
+                    graph, x, reps, copies = _read_graph(nodes)
+                    nodes, shard = [], Shard(graph, x, threshold)
+                q = directions(_matrix(part))
+                ids, own = part.column("rep").to_numpy(), part.column("home").to_numpy() == at
                 times, mine, theirs, a, b = part.column("copies").to_numpy(), np.zeros(len(q), np.int64), np.zeros(len(reps), np.int64), [], []
                 for i, j in shard.linked(q):
                     once = ~own[i] | (ids[i] > reps[j])
@@ -291,8 +393,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, sh
                 edges = forest(np.concatenate(a), np.concatenate(b)) if a else ([], [])
                 some, others = np.flatnonzero(mine), np.flatnonzero(theirs)
                 yield outcome(*edges, [(ids[some], mine[some]), (reps[others], theirs[others])], [])
-        if shard:
-            yield outcome([], [], [], [shard.true, shard.found])
+            if shard:
+                yield outcome([], [], [], [shard.true, shard.found])
 
     def outcome(a, b, counts, audit) -> pa.RecordBatch:
         """Edges with 0 links; counts as edges of a node to itself; an audit's sums as nodes -1 and -2 of no id."""
@@ -303,7 +405,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shards: int = 8, sh
             return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(links)], schema=schema)
         return pa.RecordBatch.from_arrays([pa.array([None, None], pa.int64()), pa.array([0, 1], pa.int64()), pa.array(audit, pa.int64())], schema=schema)
 
-    found = keep(dealt.mapInArrow(ask, "a long, b long, links long"), "links")
+    def wave(distances: list[int]) -> DataFrame:
+        dealt = met.unionByName(asked(distances), allowMissingColumns=True).repartition(4 * shards * splits, "dim", "shard", "split")
+        dealt = dealt.sortWithinPartitions("dim", "shard", "split", F.col("at").asc_nulls_last(), "rep")
+        return keep(dealt.mapInArrow(ask, "a long, b long, links long"), "links")
+
+    every = list(range(shards // 2 + 1))
+    waves = []
+    for low in range(0, len(every), copies_held):
+        waves.append(wave(every[low : low + copies_held]))
+        if low + copies_held < len(every):  # Spark deletes a wave's shuffled rows only when the driver's collector has met it
+            gc.collect()
+            vectors.sparkSession.sparkContext._jvm.System.gc()
+    found = vectors.sparkSession.read.schema(waves[0].schema).parquet(*(w._kept_at for w in waves))
     discard(graphs)
     true, hits = found.where("a IS NULL").agg(F.sum(F.when(F.col("b") == 0, F.col("links"))), F.sum(F.when(F.col("b") == 1, F.col("links")))).first()
     parts = connected_components(found.where("links = 0 AND a IS NOT NULL").select("a", "b"))

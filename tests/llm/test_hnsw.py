@@ -1,3 +1,6 @@
+import pickle
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -85,3 +88,39 @@ def test_near_vectors_against_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert all(got[k].n_links == 0 and got[k].kept for k in (1002, 1003, 1004, 1005, 1008, 1009)) and got[1006].n_links == 1
     assert hnsw.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_graph_of_rows_is_the_graph():
+    x = data(700, 12)
+    graph = hnsw.Graph(x)
+    links, lengths = (np.concatenate(p) for p in zip(*(graph.node_links(low, low + 300) for low in range(0, 700, 300))))
+    again = hnsw.Graph.of_rows(x[graph.order], links, lengths)
+    assert again.sizes == graph.sizes and len(graph.sizes) > 1 and all(np.array_equal(a, b) for a, b in zip(again.layers, graph.layers))
+
+
+def test_no_cell_grows_with_a_shard_and_waves_give_the_same_rows(spark, monkeypatch):
+    x, kept = data(900, 16, 3), {}
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+    def kept_sizes(df, label, keep=hnsw.keep):
+        out = keep(df, label)
+        if label in ("vectors", "graphs"):
+            kept[label] = max(len(pickle.dumps(tuple(r))) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(hnsw, "keep", kept_sizes)
+    one = sorted(map(tuple, hnsw.near_vectors(frame, shards=5).drop("audited_recall").collect()))
+    assert kept["graphs"] < kept["vectors"] + 1000  # one node's links, whatever the shard's size
+    waves = sorted(map(tuple, hnsw.near_vectors(frame, shards=5, wave_bytes=1).drop("audited_recall").collect()))
+    assert one == waves and sum(r[1] for r in one) > 1000
+
+
+def test_memory_of_a_search_among_many_copies():
+    rng = np.random.default_rng(2)
+    x = hnsw.unit(rng.normal(size=24) + 0.05 * rng.normal(size=(12_000, 24)))
+    graph = hnsw.Graph(x)
+    tracemalloc.start()
+    found = sum(len(i) for i, _ in graph.search(x[:300], 16, 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= 0.98 * 300 * len(x) and peak < 90_000_000
