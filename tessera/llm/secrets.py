@@ -1,13 +1,12 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of
 ordinary identifiers, whose log-likelihood ratio tells a key from a word.
 
-Both models are trained from labelled samples (text, is it a secret?): values that the fixed
-patterns find in a bounded sample of documents are secrets, all other tokens of those
-documents are ordinary, and samples by rule, of usual key alphabets and of identifiers, join
-them. Every token of every text is scored, whatever its length or characters: its ratio is
+Both models are trained from labelled tokens (text, is it a secret?): values that the fixed
+patterns find in any document are secrets, all other tokens of all documents are ordinary,
+and samples by rule, of usual key alphabets and of identifiers, join them. Every token of every text is scored, whatever its length or characters: its ratio is
 summed over its characters, so a longer token gives more evidence. It is reported when the
-ratio outweighs the odds of an ordinary token, as counted in the same documents, and no base
-span overlaps it.
+ratio outweighs the odds of an ordinary token, as counted in all documents, and no base span
+overlaps it.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import as_bytes, discard, keep, small_batches, table
+from tessera.llm.shared import as_bytes, small_batches, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -64,7 +63,8 @@ class MarkovRatio:
     of them are secrets that no fixed pattern knew, and would hide their like.
     """
 
-    def __init__(self, samples: Iterable[tuple[str, bool]], prior: float = 1e-5):
+    def __init__(self, samples: Iterable[tuple[str, bool]], prior: float = 1e-5, more: np.ndarray | None = None):
+        """more: transitions() of further ordinary and further secret tokens."""
         self.edge, self.threshold = len(ALPHABET), float(np.log((1 - prior) / prior))
         self.code = np.full(256, self.edge, np.int32)
         self.code[[ord(c) for c in ALPHABET]] = np.arange(self.edge)
@@ -72,6 +72,8 @@ class MarkovRatio:
         counts = np.zeros((2, size * size))
         for text, secret in set(samples):
             np.add.at(counts[int(secret)], self._path(np.frombuffer(text.encode("ascii", "replace"), np.uint8)), 1)
+        if more is not None:
+            counts += more
         self.step = self._step(counts, size)
 
     def _path(self, raw: np.ndarray) -> np.ndarray:
@@ -79,6 +81,12 @@ class MarkovRatio:
         at = np.concatenate([[self.edge], self.code[raw], [self.edge]])
         return at[:-1] * (self.edge + 1) + at[1:]
 
+    def transitions(self, tokens: list[str]) -> np.ndarray:
+        """How often each transition comes in all tokens, which are not empty."""
+        if not tokens:
+            return np.zeros((self.edge + 1) ** 2, np.int64)
+        return np.bincount(self._path(np.frombuffer("\n".join(tokens).encode("ascii"), np.uint8)), minlength=(self.edge + 1) ** 2)
+
     def _step(self, counts: np.ndarray, size: int) -> np.ndarray:
         """log p(next | last) of the random chain less that of the ordinary one; 0 between tokens."""
         table = counts.reshape(2, size, size) + 1
@@ -157,46 +165,60 @@ def ordinary_and_secret(text: str) -> Iterator[tuple[str, bool]]:
         at = max(at, e)
 
 
-def labelled_samples(documents: DataFrame, most_documents: int = 2000, most_tokens: int = 50_000) -> tuple[Samples, float]:
-    """Labelled tokens of the `most_documents` documents whose ids have the smallest hashes,
-    at most `most_tokens` distinct ones of each label, those of the smallest hashes, with
-    built_in_samples(); and the share of secrets among all tokens of these documents.
+def labelled_counts(documents: DataFrame, samples: Samples) -> tuple[np.ndarray, float]:
+    """MarkovRatio.transitions() of the distinct labelled tokens of all documents, ordinary and
+    secret ones, without those in `samples`; and the share of secrets among all tokens.
 
-    Ids are sorted apart from the texts and broadcast to them; null ids don't take part.
+    A token that is a secret anywhere is one everywhere. Only tokens shuffle, each with its
+    number in a batch, and only sums come to the driver: no more of them than transitions.
     """
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 1_000_000):
-            found = sorted(Counter(x for text in batch.column("text").to_pylist() for x in ordinary_and_secret(text or "")).items())
-            yield pa.RecordBatch.from_arrays([pa.array([t for (t, _), _ in found], pa.string()), pa.array([s for (_, s), _ in found], pa.bool_()), pa.array([n for _, n in found], pa.int64())], names=["token", "secret", "times"])
-
-    found = keep(texts.mapInArrow(run, "token string, secret boolean, times long").groupBy("token").agg(F.max("secret").alias("secret"), F.sum("times").alias("times")), "samples")
-    all_, secret = found.agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("secret"), F.col("times"))), F.lit(0))).first()
-    out = built_in_samples()
-    for label in (False, True):
-        out += [(r.token, label) for r in found.where(F.col("secret") == label).orderBy(F.xxhash64("token"), "token").limit(most_tokens).select("token").collect()]
-    discard(found)
-    return out, (secret + 1) / (all_ + 100_000)
+    blank, made = MarkovRatio(()), set(samples)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 2_000_000, 10_000):
+            found = Counter(x for text in batch.column("text").to_pylist() if text for x in ordinary_and_secret(text))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.bool_()), pa.array(found.values(), pa.int64())], names=["token", "secret", "times"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, times = np.zeros((2, (blank.edge + 1) ** 2), np.int64), np.zeros(2, np.int64)
+        for batch in small_batches(batches, "token", 2_000_000, 10_000):
+            labelled = list(zip(batch.column("token").to_pylist(), batch.column("secret").to_pylist()))
+            np.add.at(times, [int(s) for _, s in labelled], batch.column("times").to_numpy())
+            for label in (False, True):
+                counts[int(label)] += blank.transitions([t for t, s in labelled if s == label and (t, s) not in made])
+        label, at = np.nonzero(counts)
+        # A label's number of tokens stands beside its transitions, at -1.
+        columns = np.concatenate([label, [0, 1]]), np.concatenate([at, [-1, -1]]), np.concatenate([counts[label, at], times])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["label", "at", "n"])
+
+    found = documents.select("text").mapInArrow(tokens, "token string, secret boolean, times long").groupBy("token").agg(F.max("secret").alias("secret"), F.sum("times").alias("times"))
+    counts, times = np.zeros((2, (blank.edge + 1) ** 2)), [0, 0]
+    for r in found.mapInArrow(sums, "label long, at long, n long").groupBy("label", "at").agg(F.sum("n").alias("n")).collect():
+        if r["at"] < 0:
+            times[r.label] = r.n
+        else:
+            counts[r.label, r["at"]] = r.n
+    return counts, (times[1] + 1) / (sum(times) + 100_000)
 
 
 def trained(documents: DataFrame, samples: Samples | None, prior: float | None) -> MarkovRatio:
-    """The models of the given samples, or of labelled_samples() of the documents."""
+    """The models of the given samples, or of built_in_samples() and labelled_counts() of all documents."""
+    more = None
     if samples is None:
-        samples, found = labelled_samples(documents)
+        samples = built_in_samples()
+        more, found = labelled_counts(documents, samples)
         prior = found if prior is None else prior
-    return MarkovRatio(samples, 1e-5 if prior is None else prior)
+    return MarkovRatio(samples, 1e-5 if prior is None else prior, more)
 
 
 def scan(documents: DataFrame, samples: Samples | None = None, prior: float | None = None) -> DataFrame:
     """The rows of `documents` (doc_id, text) with n_assign, n_access, n_hex, base_sha256,
     spans, and n_random of the spans that the models added.
 
-    Without `samples` the models are trained by labelled_samples() of the documents. Null and
+    Without `samples` the models are trained by labelled_counts() of all documents. Null and
     empty texts have no spans. Texts of any length are scanned whole; repeated rows and null
     ids stay; other columns are ignored. A row needs nothing of other rows but the models:
-    texts don't shuffle.
+    texts don't shuffle, and are read once more for the models.
     """
     model = trained(documents, samples, prior)
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_random", pa.int64())])

@@ -142,3 +142,19 @@ def test_redaction_and_edges(spark):
     assert found.count() == 5 and found.where("n_access = 1").count() == 1
     assert secrets.scan(frame.limit(0)).count() == 0
     assert secrets.redact(frame.limit(0)).count() == 0
+
+
+def test_models_are_trained_on_all_tokens_of_all_documents(spark):
+    rng = random.Random(8)
+    rows = [(k if k % 7 else None, " ".join(["".join(rng.choices("abcdeXYZ019_", k=rng.randint(1, 9))) for _ in range(30)] + ["key value", CASES[k % len(CASES)]] + [""] * (k % 2))) for k in range(2600)]
+    rows += [(9000, None), (9001, ""), (9002, " ".join(f"q{k}" for k in range(60_000))), (9003, 'secret="XYZ01abcde_1"')]
+    made = secrets.built_in_samples()
+    labels, times = {}, {}
+    for _, text in rows:
+        for token, secret in secrets.ordinary_and_secret(text or ""):
+            labels[token] = labels.get(token, False) or secret
+            times[token] = times.get(token, 0) + 1
+    prior = (sum(n for t, n in times.items() if labels[t]) + 1) / (sum(times.values()) + 100_000)
+    want = secrets.MarkovRatio(made + list(labels.items()), prior)
+    got = secrets.trained(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), None, None)
+    assert len(labels) > 60_000 and np.array_equal(got.step, want.step) and got.threshold == want.threshold
