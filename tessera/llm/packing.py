@@ -10,22 +10,27 @@ that a shard leaves part empty are a vanishing share.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tessera.llm.shared import as_bytes, keep, small_batches, table
 
-#: ASCII that the vocabulary's pre-tokenizer keeps together in one run of symbols.
-SYMBOLS = b'.,!?:;|#$%&*"()[]{}<>/=+_~@^-'
+#: Classes of bytes: white space, letters, digits, other printable ASCII, and all else.
+SPACE, LETTER, DIGIT, SYMBOL, OTHER = range(5)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[33:127] = SYMBOL
+KINDS[list(b"0123456789")] = DIGIT
+KINDS[list(b"abcdefghijklmnopqrstuvwxyz")] = LETTER
+KINDS[list(b" \t\n\r\x0b\x0c")] = SPACE
 
 
 def all_letters(text: str) -> bool:
@@ -33,67 +38,114 @@ def all_letters(text: str) -> bool:
     return text.isascii() and text.isalpha() or text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
 
 
+NOTHING = pa.array([], pa.large_binary())
+
+
+def few_changes(text: str) -> bool:
+    """Whether all are letters up to U+012F, which are composed as they are and lower-cased one by one."""
+    return text.isalpha() and max(text) < "\u0130"
+
+
+def split_words(data: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """(starts, words) of lower-case UTF-8 that begins and ends with a space.
+
+    Words end at ASCII white space and, within it, where the tokenizer's pattern surely ends a
+    pre-token: between letters, single digits and symbols of ASCII, U+00C0 to U+00FF being
+    letters too. What follows an apostrophe stays with it, as in 's and 'll. Characters on
+    either side of such a place are starters that compose with nothing before them.
+    """
+    kind = KINDS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    left, right = kind[:-1], kind[1:]
+    cut = (left != right) & ((left != OTHER) & (right != OTHER) | (left == SPACE) | (right == SPACE))
+    cut |= (left == DIGIT) & (right == DIGIT)
+    cut &= (data[:-1] != ord("'")) | (right != LETTER)
+    edges = np.append(np.flatnonzero(cut) + 1, len(data))
+    word = kind[edges[:-1]] != SPACE
+    starts = edges[:-1][word]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.diff(edges)[word], out=offsets[1:])
+    return starts, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[kind != SPACE])])
+
+
 class WordTokenizer:
     """Token ids of whole texts by a tokenizer file, with a bounded memo of word ids.
 
-    No token spans ASCII white space, so a text's ids are those of its words in order.
-    A word that is letters and then symbols is two pre-tokens, which are memoised apart.
-    The memo has two generations of at most `most` words; it changes speed, not results.
+    No token spans the words of `split_words`, so a text's ids are those of its words in order.
+    The memo is two Arrow arrays, of words and of their ids, and a batch's words are numbered
+    together with them, so that Python sees a word only when it is new. Beyond `most` words the
+    half of them that occurred most stays; the memo changes speed, not results. Added tokens
+    are found in the text as it is, before it is lower-cased.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.young, self.old = most, {}, {}
+        # The same model for words that need no other change than to bytes.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.most, self.words, self.ids, self.uses = most, NOTHING, NOTHING, np.zeros(0, np.int64)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.added = {t.content.encode(): np.array([i], np.uint32).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.at_added = re.compile(b"(" + b"|".join(map(re.escape, self.added)) + b")")
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words, by encoding plain letter runs many at a time."""
-        ascii_ = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        plain = ascii_ + [w for w in other if all_letters(w.decode())]
+        """Ids of words, by encoding letter runs many at a time."""
         out: dict[bytes, bytes] = {}
-        if plain:
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain):
-                raw, ends = ids.tobytes(), (4 * cuts).tolist()
-                out = {w: raw[a:b] for w, a, b in zip(plain, [0, *ends], ends)}
+        known = {w: s.lower() for w, s in zip(words, map(bytes.decode, words)) if few_changes(s)}
+        self._join(self.plain, known, out)
+        self._join(self.tokenizer, {w: s for w in words if w not in out and all_letters(s := w.decode())}, out)
         rest = [w for w in words if w not in out]
         for w, e in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)):
             out[w] = np.array(e.ids, np.uint32).tobytes()
         return out
 
-    def parts(self, word: bytes) -> tuple[bytes, ...]:
-        head = word.rstrip(SYMBOLS)
-        if head and len(head) < len(word) and (head.isalpha() or all_letters(head.decode())):
-            return head, word[len(head) :]
-        return (word,)
+    def _join(self, by: Tokenizer, words: dict[bytes, str], out: dict[bytes, bytes]) -> None:
+        """Adds the ids of words of one pre-token each, unless the number of their last tokens shows that some aren't."""
+        if not words:
+            return
+        ids = np.array(by.encode(" ".join(words.values()), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words):
+            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            out.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, as bytes."""
-        split = [t.lower().split() for t in texts]
-        young = self.young
-        unknown = self._recall(set(chain.from_iterable(split)))
-        cut = {w: ps for w in unknown if not w.isalpha() and len(ps := self.parts(w)) > 1}
-        fresh = sorted(self._recall(unknown.difference(cut).union(*cut.values())))
+        split = [self.at_added.split(t) if any(x in t for x in self.added) else [t] for t in texts]
+        ids = iter(self._encode([x for xs in split for x in xs[::2]]))
+        return [next(ids) if len(xs) == 1 else b"".join(self.added[x] if k % 2 else next(ids) for k, x in enumerate(xs)) for xs in split]
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b" ".join([b"", *texts, b""]).lower(), np.uint8)
+        starts, words = split_words(data)
+        if not len(words):
+            return [b""] * len(texts)
+        before = len(self.words)
+        numbered = pa.concat_arrays([self.words, words]).dictionary_encode()
+        known, numbers = numbered.dictionary, numbered.indices[before:]
+        fresh = known[before:].to_numpy(zero_copy_only=False).tolist()
+        new: list[bytes] = []
         for a in range(0, len(fresh), 4096):
-            young.update(self.learn(fresh[a : a + 4096]))
-        for w, (head, tail) in cut.items():
-            young[w] = young[head] + young[tail]
-        get = young.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        if len(young) > self.most:
-            self.old, self.young = young, {}
-        return out
-
-    def _recall(self, words: set[bytes]) -> set[bytes]:
-        """Those of the words that neither generation knows; what the older one knows moves on to the younger."""
-        words, old = words.difference(self.young), self.old
-        known = [w for w in words if w in old]
-        self.young.update(zip(known, map(old.__getitem__, known)))
-        return words.difference(known)
+            new += map(self.learn(some := fresh[a : a + 4096]).__getitem__, some)
+        all_ids = pa.concat_arrays([self.ids, pa.array(new, pa.large_binary())])
+        out = all_ids.take(numbers)
+        firsts = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+        bounds = np.frombuffer(out.buffers()[1], np.int64)[firsts].tolist()
+        raw = memoryview(out.buffers()[2] or b"")
+        self._remember(known, all_ids, numbers)
+        return [bytes(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+    def _remember(self, words: pa.Array, ids: pa.Array, used: pa.Array) -> None:
+        uses = np.bincount(used.to_numpy(), minlength=len(words))
+        uses[: len(self.uses)] += self.uses
+        if len(words) > self.most:
+            stay = np.sort(np.argsort(-uses, kind="stable")[: self.most // 2])
+            words, ids, uses = words.take(pa.array(stay)), ids.take(pa.array(stay)), uses[stay] // 2
+        self.words, self.ids, self.uses = words, ids, uses
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -106,6 +158,19 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def large_batches(batches: Iterable[pa.RecordBatch], column: str, least: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `least` bytes of `column`, short batches together, as each call looks through the memo."""
+    held, size = [], 0
+    for batch in small_batches(batches, column, least, 100_000):
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= least // 2:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def cut_pieces(documents: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows and a remainder for each document."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
@@ -113,7 +178,7 @@ def cut_pieces(documents: DataFrame, path: str, window: int = 2048, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for batch in small_batches(batches, "text", 4_000_000):
+        for batch in large_batches(batches, "text"):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(as_bytes(batch.column("text")))):
                 ids += end

@@ -40,6 +40,60 @@ def test_ids_of_any_text(text):
     assert np.frombuffer(_own.encode([text.encode()])[0], "<u4").tolist() == _plain.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\x0b\x1c\x7f\xa0a1'9.,<(|=Bstdé×÷ÀÿĀİĭªµ²–Σß\u0301\u0338\u0345한ᄀ"), max_size=30), min_size=1, max_size=4))
+def test_ids_where_words_meet_marks_and_digits(texts):
+    global _met, _theirs
+    try:
+        _met
+    except NameError:
+        from tokenizers import Tokenizer
+
+        _met, _theirs = packing.WordTokenizer(PATH, most=50), Tokenizer.from_file(PATH)
+    for t, g in zip(texts, _met.encode([t.encode() for t in texts])):
+        assert np.frombuffer(g, "<u4").tolist() == _theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_only_as_they_are_written(plain):
+    texts = ["x <|EndOfText|> y", "–<|ENDOFTEXT|>x", "<|endoftext|>", "A<|startoftext|><|endoftext|>É.", "<|<|endoftext|>|>", ""]
+    for t, g in zip(texts, packing.WordTokenizer(PATH).encode([t.encode() for t in texts])):
+        assert np.frombuffer(g, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+class Counting(packing.WordTokenizer):
+    learned = 0
+
+    def learn(self, words):
+        self.learned += len(words)
+        return super().learn(words)
+
+
+def test_a_word_is_learned_once_with_any_marks_and_digits():
+    words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(26)]
+    own = Counting(PATH)
+    for around in ("{}", "{},", "({})", "{}7", "12{}.", "'{}'", "é {}="):
+        own.encode([" ".join(map(around.format, words)).encode()])
+    assert own.learned <= 2 * len(words) + 20  # the apostrophe stays with what follows
+
+
+def test_memo_keeps_what_is_used_most():
+    own = Counting(PATH, most=100)
+    for a in range(40):
+        own.encode([" ".join(["often", "again"] * 9 + [f"x{chr(97 + a // 26)}{chr(97 + a % 26)}{chr(97 + b)}" for b in range(26)]).encode()])
+        assert len(own.words) == len(own.ids) == len(own.uses) <= 100
+    assert own.learned == 40 * 26 + 2
+
+
+def test_short_batches_are_joined_and_long_ones_cut():
+    import pyarrow as pa
+
+    for sizes, least in (([3, 5, 1, 0, 4], 10**6), ([200, 1, 300], 100)):
+        texts = [["é" * 10 if k % 3 else None for k in range(n)] for n in sizes]
+        out = list(packing.large_batches((pa.RecordBatch.from_pydict({"text": pa.array(t, pa.string())}) for t in texts), "text", least))
+        assert [x for b in out for x in b.column("text").to_pylist()] == [x for t in texts for x in t]
+        assert len(out) == 1 if least == 10**6 else len(out) > 10
+
+
 def plain_best_fit(lengths, window):
     rooms, out = [], []
     for n in lengths:
