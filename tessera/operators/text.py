@@ -163,6 +163,14 @@ def tfidf_macro(docs: DataFrame, group: str, n: int = 40) -> DataFrame:
     return top_terms(out.withColumn("tfidf_score", F.col("tf") * idf(F.col("n_docs"), F.col("document_count"))).select(group, "term", "count", "tfidf_score"), n, [group])
 
 
+def grouped_counts(groups: DataFrame, terms: DataFrame, name: str, *by: str) -> DataFrame:
+    """(by..., name, n, article_count) from how many rows and distinct articles of an item a
+    group has, (by..., item, rows, articles), and how often its titles hold a term, (item,
+    name, times); an article is of one item. Both are small next to the articles."""
+    rows = groups.join(terms, "item")
+    return rows.groupBy(*by, name).agg(F.sum(F.col("rows") * F.col("times")).alias("n"), F.sum("articles").alias("article_count"))
+
+
 def count_tfidf(counts: DataFrame, term: str, window: str, count: str, windows: DataFrame | None = None) -> DataFrame:
     """Adds df (distinct windows of the term), idf over all windows, and tfidf = count * idf."""
     n = (windows if windows is not None else counts).agg(F.countDistinct(window).alias("_n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import biblio, relational
 from tessera.plans.catalog import register
-from tessera.plans.roles import articles, expanded, known, table, with_articles, with_expanded
+from tessera.plans.roles import expanded, known, table, titles, windowed_items, with_articles, with_expanded
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -43,7 +43,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("time_window_assign", with_articles("SELECT master_id, year, window_start, window_end, time_window FROM art"))
 def time_window_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return biblio.time_window(articles(spark, sf_dir), "year", 1995, 2).select("master_id", "year", "window_start", "window_end", "time_window")
+    return expanded_articles(spark, sf_dir).select("master_id", "year", "window_start", "window_end", "time_window")
 
 
 @register("subject_weight", with_expanded("SELECT master_id, subject_l2, n_subjects_article_all, n_subjects_article_network, round(subject_weight, 6) AS subject_weight FROM expanded"))
@@ -243,7 +243,7 @@ def rel_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expanded_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return biblio.time_window(articles(spark, sf_dir), "year", 1995, 2)
+    return windowed_items(spark, sf_dir).join(titles(spark, sf_dir), "item").drop("item")
 
 
 _REL_AUTHORS = "SELECT printf('AUTH_%05d', row_number() OVER (ORDER BY author)) AS author_id, author AS author_name FROM (SELECT DISTINCT author FROM expanded)"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import biblio
+from tessera.sources.written import keep
 
 BASE_YEAR, WINDOW_YEARS = 1995, 2
 
@@ -19,27 +20,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """master_id, year, author, title, volume."""
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """master_id, year, author, volume, and item, which stands for the titles that articles() joins."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("master_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("volume"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("master_id"), "l_suppkey")
     author = lines.join(supplier, lines["l_suppkey"] == supplier["s_suppkey"]).groupBy("master_id").agg(F.min("s_name").alias("author"))
-    titles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("title"))
-    return orders.join(author, "master_id").withColumn("_item", F.col("master_id") % 40).join(titles, "_item").drop("_item")
+    return orders.join(author, "master_id").withColumn("item", F.col("master_id") % 40).join(titles(spark, sf_dir).select("item"), "item", "left_semi")
 
 
-def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article-subject rows with window and weight; pos is the order of the rows."""
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("title"))
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """master_id, year, author, title, volume."""
+    return items(spark, sf_dir).join(titles(spark, sf_dir), "item").select("master_id", "year", "volume", "author", "title")
+
+
+def windowed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """items() with window. They are written once, as the windows need the last year of all; titles come later, so that they neither shuffle nor sort."""
+    return biblio.time_window(keep(items(spark, sf_dir), "items"), "year", BASE_YEAR, WINDOW_YEARS)
+
+
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct master_id, subject_l1, subject_l2."""
     part = table(spark, sf_dir, "part").select(
         "p_partkey",
         F.when(F.col("p_size") > 45, "Unknown").otherwise(F.col("p_type")).alias("subject_l1"),
         F.when(F.col("p_size") > 45, "Unknown").otherwise(F.concat_ws(" / ", "p_type", "p_brand")).alias("subject_l2"),
     )
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("master_id"), "l_partkey")
-    subjects = lines.join(part, lines["l_partkey"] == part["p_partkey"]).select("master_id", "subject_l1", "subject_l2").distinct()
-    rows = biblio.time_window(articles(spark, sf_dir), "year", BASE_YEAR, WINDOW_YEARS).join(subjects, "master_id")
-    return biblio.subject_weight(rows).withColumn("pos", F.concat_ws("|", F.format_string("%012d", "master_id"), "subject_l2"))
+    return lines.join(part, lines["l_partkey"] == part["p_partkey"]).select("master_id", "subject_l1", "subject_l2").distinct()
+
+
+def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article-subject rows with window and weight; pos is the order of the rows."""
+    rows = biblio.subject_weight(windowed_items(spark, sf_dir).join(subjects(spark, sf_dir), "master_id"))
+    return rows.join(titles(spark, sf_dir), "item").drop("item").withColumn("pos", F.concat_ws("|", F.format_string("%012d", "master_id"), "subject_l2"))
 
 
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.functions import words as W
 from tessera.operators import text
+from tessera.operators.biblio import known_subjects
 from tessera.plans.biblio_queries import expanded_articles, rounded
 from tessera.plans.catalog import register
 from tessera.sources.written import keep
-from tessera.plans.roles import articles, known, table, with_articles, with_expanded
+from tessera.plans.roles import articles, subjects, table, titles, windowed_items, with_articles, with_expanded
 
 
 def _list(words: tuple[str, ...]) -> str:
@@ -150,8 +153,20 @@ def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titled(spark, sf_dir).select("master_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+def _of_titles(spark: SparkSession, sf_dir: str, array: Callable[[Column], Column], name: str, distinct: bool = False) -> DataFrame:
+    """(item, name, times): how often the titles of an item, each once if distinct, hold each element."""
+    rows = titles(spark, sf_dir)
+    return text.unnested(rows.distinct() if distinct else rows, array(F.col("title")), name, "item").groupBy("item", name).agg(F.count("*").alias("times"))
+
+
+def _window_counts(spark: SparkSession, sf_dir: str, array: Callable[[Column], Column], name: str) -> DataFrame:
+    """(time_window, name, n, article_count). Articles are counted by item before titles are taken apart: an item's articles all hold its terms."""
+    groups = windowed_items(spark, sf_dir).groupBy("time_window", "item").agg(F.count("*").alias("rows"), F.countDistinct("master_id").alias("articles"))
+    return text.grouped_counts(groups, _of_titles(spark, sf_dir, array, name), name, "time_window")
+
+
 def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.unnested(_titled(spark, sf_dir), "tokens", "term", "master_id", "time_window").groupBy("time_window", "term").agg(F.count("*").alias("n"), F.countDistinct("master_id").alias("article_count"))
+    return _window_counts(spark, sf_dir, text.title_tokens, "term")
 
 
 @register("title_term_time", TITLES + "SELECT time_window, term, count(*) AS n, count(DISTINCT master_id) AS article_count FROM term GROUP BY ALL")
@@ -164,8 +179,7 @@ def title_term_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     TITLES + ", b AS (SELECT master_id, time_window, unnest(list_transform(range(1, greatest(len(tokens) - 1, 0) + 1), lambda i: CASE WHEN tokens[i] <> tokens[i + 1] THEN tokens[i] || ' ' || tokens[i + 1] END)) AS bigram FROM tt) SELECT time_window, bigram, count(*) AS n, count(DISTINCT master_id) AS article_count FROM b WHERE bigram IS NOT NULL GROUP BY ALL",
 )
 def title_bigram_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text.unnested(_titled(spark, sf_dir), text.bigrams(F.col("tokens")), "bigram", "master_id", "time_window")
-    return rows.groupBy("time_window", "bigram").agg(F.count("*").alias("n"), F.countDistinct("master_id").alias("article_count"))
+    return _window_counts(spark, sf_dir, lambda t: text.bigrams(text.title_tokens(t)), "bigram")
 
 
 @register(
@@ -179,15 +193,18 @@ def title_tfidf_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERM_SUBJECT = with_expanded(f", tt AS (SELECT DISTINCT master_id, time_window, title FROM known), term AS (SELECT master_id, time_window, unnest({TITLE_TOKENS}) AS term FROM tt)")
 
 
-def _term_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = known(spark, sf_dir).select("master_id", "time_window", "title", "subject_l1").distinct()
-    terms = text.unnested(rows.select("master_id", "time_window", "title").distinct(), text.title_tokens(F.col("title")), "term", "master_id", "time_window")
-    return terms.join(rows.drop("title"), ["master_id", "time_window"])
+def _term_subjects(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """(by..., term, n, article_count) by window or subject_l1. An article, its window and a
+    subject count once; they are counted by item before titles are taken apart."""
+    own = known_subjects(subjects(spark, sf_dir)).select("master_id", "subject_l1").distinct()
+    rows = windowed_items(spark, sf_dir).join(own, "master_id").groupBy("master_id", "time_window", "subject_l1", "item").agg(F.lit(1).alias("_one"))
+    groups = rows.groupBy(*by, "item").agg(F.count("*").alias("rows"), F.count("*").alias("articles"))
+    return text.grouped_counts(groups, _of_titles(spark, sf_dir, text.title_tokens, "term", True), "term", *by)
 
 
 @register("term_subject_join", TERM_SUBJECT + "SELECT t.term, k.subject_l1, count(*) AS n FROM term t JOIN (SELECT DISTINCT master_id, time_window, subject_l1 FROM known) k USING (master_id, time_window) GROUP BY ALL")
 def term_subject_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _term_subjects(spark, sf_dir).groupBy("term", "subject_l1").agg(F.count("*").alias("n"))
+    return _term_subjects(spark, sf_dir, "subject_l1").select("term", "subject_l1", "n")
 
 
 @register(
@@ -198,7 +215,7 @@ d AS (SELECT term, count(DISTINCT time_window) AS df FROM c GROUP BY term)
 SELECT time_window, subject_l1, term, n, article_count, df, round(ln((1 + w) / (1 + df)) + 1, 6) AS idf, round(n * (ln((1 + w) / (1 + df)) + 1), 6) AS tfidf FROM c JOIN d USING (term), (SELECT count(DISTINCT time_window) AS w FROM c)""",
 )
 def title_term_subject_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _term_subjects(spark, sf_dir).groupBy("time_window", "subject_l1", "term").agg(F.count("*").alias("n"), F.countDistinct("master_id").alias("article_count"))
+    counts = _term_subjects(spark, sf_dir, "time_window", "subject_l1")
     return rounded(text.count_tfidf(counts, "term", "time_window", "n"), "idf", "tfidf")
 
 

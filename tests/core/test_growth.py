@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, text
+from tessera.plans import catalog
 
 
 def plan(df):
@@ -22,3 +23,16 @@ def test_betweenness_in_blocks_is_that_by_sources(spark):
     assert len(want) == frame.select("w", "s").distinct().count() and all(x == pytest.approx(want) for x in others)
     # Edges were copied to each of up to 4,096 tasks: an exploded row for each.
     assert "Generate" not in plan(graph.betweenness(frame, "w", "a", "s", work=1, depth=50))
+
+
+@pytest.mark.parametrize("name", ["title_term_subject_time"])
+def test_titles_are_taken_apart_without_their_articles(spark, sf_dir, name):
+    # Each article's title was exploded into a row a term, and met its subjects then.
+    found = [x for x in plan(catalog.queries()[name](spark, sf_dir)).splitlines() if "Generate explode" in x]
+    assert found and not any("master_id" in x for x in found)
+
+
+def test_grouped_counts(spark):
+    groups = spark.createDataFrame([("w1", 1, 5, 4), ("w1", 2, 2, 2), ("w2", 1, 1, 1)], "w string, item long, rows long, articles long")
+    terms = spark.createDataFrame([(1, "x", 2), (2, "x", 1), (2, "y", 1)], "item long, term string, times long")
+    assert {tuple(r) for r in text.grouped_counts(groups, terms, "term", "w").collect()} == {("w1", "x", 12, 6), ("w1", "y", 2, 2), ("w2", "x", 2, 1)}
