@@ -25,7 +25,7 @@ def test_betweenness_in_blocks_is_that_by_sources(spark):
     assert "Generate" not in plan(graph.betweenness(frame, "w", "a", "s", work=1, depth=50))
 
 
-@pytest.mark.parametrize("name", ["title_term_subject_time", "title_tfidf_time"])
+@pytest.mark.parametrize("name", ["title_term_subject_time", "title_tfidf_time", "title_bigram_time"])
 def test_titles_are_taken_apart_without_their_articles(spark, sf_dir, name):
     # Each article's title was exploded into a row a term, and met its subjects then.
     found = [x for x in plan(catalog.queries()[name](spark, sf_dir)).splitlines() if "Generate explode" in x]
