@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.written import keep
+
 
 def numbered(rows: DataFrame, name: str, *order: str, buckets: int = 128) -> DataFrame:
     """Adds 1, 2, ... in the order of the columns, nulls first.
@@ -12,8 +14,10 @@ def numbered(rows: DataFrame, name: str, *order: str, buckets: int = 128) -> Dat
     Rows are dealt out by all of the columns: at most `buckets` - 1 of their values, those of
     the smallest hashes, are boundaries. Each bucket numbers its rows; its offset comes from
     the buckets' counts, a table of `buckets` rows. Only rows that are equal in all columns
-    are sure to share a bucket.
+    are sure to share a bucket. The rows are written once: boundaries, counts and numbers each
+    read them.
     """
+    rows = keep(rows, "numbered")
     key = F.struct(*order)
     kinds = [rows.schema[c].dataType for c in order]
     pivots = rows.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(buckets - 1).collect()

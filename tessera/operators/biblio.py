@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbering import labelled
 from tessera.functions.scalar import joined_distinct
+from tessera.sources.written import keep
+
+BROADCAST_NODES = 500_000
 
 
 def time_window(rows: DataFrame, year: str = "year", base: int = 1858, size: int = 10) -> DataFrame:
@@ -146,10 +149,13 @@ def subject_nodes(rows: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def article_edges(rows: DataFrame, order: str = "pos") -> DataFrame:
-    """Author-subject edges of every article, with the nodes' ids."""
-    a = author_nodes(rows, order).select(F.col("node_id").alias("from_id"), F.col("node_label").alias("author"))
-    s = subject_nodes(rows, order).select(F.col("node_id").alias("to_id"), F.col("node_label").alias("subject_l2"))
-    return rows.join(a, "author").join(s, "subject_l2").select("from_id", "to_id", "author", "subject_l2", "subject_l1", "master_id", "title", "year", "time_window", "subject_weight")
+    """Author-subject edges of every article, with the nodes' ids. Nodes are numbered by first
+    appearance alone; up to a bound they are broadcast, so that articles don't shuffle."""
+    a = labelled(rows.groupBy("author").agg(F.min(order).alias("_at")), "from_id", "A_%d", "_at", "author").select("from_id", "author")
+    s = labelled(rows.groupBy("subject_l2", "subject_l1").agg(F.min(order).alias("_at")), "to_id", "S_%d", "_at", "subject_l2").select("to_id", "subject_l2")
+    for nodes, key in ((keep(a, "nodes"), "author"), (keep(s, "nodes"), "subject_l2")):
+        rows = rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, key)
+    return rows.select("from_id", "to_id", "author", "subject_l2", "subject_l1", "master_id", "title", "year", "time_window", "subject_weight")
 
 
 def time_edges(rows: DataFrame) -> DataFrame:

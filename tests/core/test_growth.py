@@ -36,3 +36,10 @@ def test_grouped_counts(spark):
     groups = spark.createDataFrame([("w1", 1, 5, 4), ("w1", 2, 2, 2), ("w2", 1, 1, 1)], "w string, item long, rows long, articles long")
     terms = spark.createDataFrame([(1, "x", 2), (2, "x", 1), (2, "y", 1)], "item long, term string, times long")
     assert {tuple(r) for r in text.grouped_counts(groups, terms, "term", "w").collect()} == {("w1", "x", 12, 6), ("w1", "y", 2, 2), ("w2", "x", 2, 1)}
+
+
+@pytest.mark.parametrize("name", ["network_nodes"])
+def test_numbers_are_given_to_a_written_table(spark, sf_dir, name):
+    # Boundaries, counts and numbers each made the rows anew, with all the joins below them.
+    found = plan(catalog.queries()[name](spark, sf_dir))
+    assert "/numbered-" in found and "lineitem" not in found
