@@ -38,7 +38,7 @@ def test_grouped_counts(spark):
     assert {tuple(r) for r in text.grouped_counts(groups, terms, "term", "w").collect()} == {("w1", "x", 12, 6), ("w1", "y", 2, 2), ("w2", "x", 2, 1)}
 
 
-@pytest.mark.parametrize("name", ["network_nodes", "network_nodes_author"])
+@pytest.mark.parametrize("name", ["network_nodes", "network_nodes_author", "network_nodes_subject"])
 def test_numbers_are_given_to_a_written_table(spark, sf_dir, name):
     # Boundaries, counts and numbers each made the rows anew, with all the joins below them.
     found = plan(catalog.queries()[name](spark, sf_dir))
