@@ -43,3 +43,9 @@ def test_numbers_are_given_to_a_written_table(spark, sf_dir, name):
     # Boundaries, counts and numbers each made the rows anew, with all the joins below them.
     found = plan(catalog.queries()[name](spark, sf_dir))
     assert "/numbered-" in found and "lineitem" not in found
+
+
+def test_article_edges_number_their_nodes_by_order_alone(spark, sf_dir):
+    # Each side's counts were made too, three times, and articles with their titles were shuffled to meet the nodes.
+    found = plan(catalog.queries()["network_edges_article"](spark, sf_dir))
+    assert found.count("/nodes-") == 2 and "/numbered-" not in found and "A_%d" not in found
