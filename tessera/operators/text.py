@@ -172,7 +172,9 @@ def grouped_counts(groups: DataFrame, terms: DataFrame, name: str, *by: str) ->
 
 
 def count_tfidf(counts: DataFrame, term: str, window: str, count: str, windows: DataFrame | None = None) -> DataFrame:
-    """Adds df (distinct windows of the term), idf over all windows, and tfidf = count * idf."""
+    """Adds df (distinct windows of the term), idf over all windows, and tfidf = count * idf.
+    The counts are written once and read for each of them."""
+    counts = keep(counts, "counts")
     n = (windows if windows is not None else counts).agg(F.countDistinct(window).alias("_n"))
     df = counts.groupBy(term).agg(F.countDistinct(window).alias("df"))
     out = counts.join(df, term).crossJoin(F.broadcast(n)).withColumn("idf", idf(F.col("_n"), F.col("df")))

@@ -9,7 +9,7 @@ from tessera.functions import scalar
 from tessera.operators import matching, places, setops
 from tessera.plans.biblio_queries import rounded
 from tessera.plans.catalog import register
-from tessera.plans.roles import articles, expanded, table, with_articles, with_expanded
+from tessera.plans.roles import articles, subjects, table, with_articles, with_expanded
 from tessera.plans.text_queries import _NORM
 from tessera.streaming import windows
 
@@ -167,8 +167,8 @@ def place_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_subject_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.biblio import known_subjects
 
-    subjects = known_subjects(expanded(spark, sf_dir)).select("master_id", "subject_l1", "subject_l2").distinct()
-    return rounded(places.place_counts(_place_rows(spark, sf_dir).join(subjects, "master_id"), "time_window", "subject_l1", "subject_l2"), "share", "idf", "tfidf")
+    # The articles are in the place rows; the subjects need no second table of them.
+    return rounded(places.place_counts(_place_rows(spark, sf_dir).join(known_subjects(subjects(spark, sf_dir)), "master_id"), "time_window", "subject_l1", "subject_l2"), "share", "idf", "tfidf")
 
 
 @register("place_rollup", with_articles(_PLACES + " SELECT 'place' AS level, modern_name AS name, count(*) AS count, string_agg(DISTINCT time_window, ',' ORDER BY time_window) AS windows FROM pl GROUP BY modern_name UNION ALL SELECT 'province', r_name, count(*), string_agg(DISTINCT time_window, ',' ORDER BY time_window) FROM pl GROUP BY r_name"))

@@ -49,3 +49,9 @@ def test_article_edges_number_their_nodes_by_order_alone(spark, sf_dir):
     # Each side's counts were made too, three times, and articles with their titles were shuffled to meet the nodes.
     found = plan(catalog.queries()["network_edges_article"](spark, sf_dir))
     assert found.count("/nodes-") == 2 and "/numbered-" not in found and "A_%d" not in found
+
+
+def test_counts_of_places_are_made_once(spark, sf_dir):
+    # Articles were joined four times, and counts made for the rows, the windows and their number.
+    found = plan(catalog.queries()["place_subject_time"](spark, sf_dir))
+    assert "/counts-" in found and "lineitem" not in found
