@@ -7,6 +7,8 @@ order; a group column, where there is one, may hold nulls, which count as no gro
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,16 +78,21 @@ def bigrams(tokens: Column) -> Column:
     return F.transform(F.filter(pairs, lambda p: p["a"] != p["b"]), lambda p: F.concat_ws(" ", p["a"], p["b"]))
 
 
-def term_rows(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(doc_id, term, tf): how often each document has each of its terms, counted within its
-    sorted tokens, without a shuffle. Rows of a null id don't count; ids are unique."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.sort_array(tokens).alias("_t"))
+def nested_counts(docs: DataFrame, tokens: str = "tokens", *carry: str) -> DataFrame:
+    """(doc_id, carry..., _c): an array of how often each document has each of its terms, (term,
+    tf), counted within its sorted tokens. Rows of a null id don't count; ids are unique."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", *carry, F.sort_array(tokens).alias("_t"))
     size = F.size("_t")
     # Where the runs of equal terms end, counted from 1; a run's length is its end less that before it.
     ends = F.when(size > 0, F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (F.get("_t", i) != F.get("_t", i - 1))))
-    rows = rows.select("doc_id", "_t", ends.alias("_e"))
+    rows = rows.select("doc_id", *carry, "_t", ends.alias("_e"))
     counts = F.transform("_e", lambda e, k: F.struct(F.get("_t", e - 1).alias("term"), (e - F.when(k == 0, 0).otherwise(F.get("_e", k - 1))).cast("bigint").alias("tf")))
-    return unnested(rows, counts, "x", "doc_id").select("doc_id", "x.term", "x.tf").where("term IS NOT NULL")
+    return rows.select("doc_id", *carry, counts.alias("_c"))
+
+
+def term_rows(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(doc_id, term, tf) of nested_counts(), without a shuffle."""
+    return unnested(nested_counts(docs, tokens), "_c", "x", "doc_id").select("doc_id", "x.term", "x.tf").where("term IS NOT NULL")
 
 
 def _counted(terms: DataFrame, docs: DataFrame, min_df: int, max_df: float) -> DataFrame:
@@ -118,12 +125,68 @@ def doc_terms(terms: DataFrame, keep_terms: DataFrame | None = None) -> DataFram
     return terms.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("doc_id")))
 
 
-def tfidf_table(terms: DataFrame, n_docs: DataFrame, by: Sequence[str] = (), only: Column | None = None) -> DataFrame:
+def among(term: Column, words: Sequence[str]) -> Column:
+    """Whether a term is one of many words: buckets by checksum in one literal, as thousands of
+    literals take the driver long to plan."""
+    buckets: list[list[str]] = [[] for _ in range(2 * len(words) + 1)]
+    for w in words:
+        buckets[zlib.crc32(w.encode()) % len(buckets)].append(w)
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<string>>")
+    return F.array_contains(F.get(table, F.pmod(F.crc32(term.cast("binary")), F.lit(len(buckets))).cast("int")), term)
+
+
+#: The most pairs of words that three-word terms are sought by.
+MOST_PAIRS = 50_000
+
+
+def kept_list(docs: DataFrame, high: int = 1, min_df: int = 5, max_df: float = 0.6, cap: int = 12000) -> list[str]:
+    """kept_terms() of the n-grams of up to `high` (1 to 3) tokens, which have no '_', as a list.
+
+    A term of three words isn't in more places or documents than its first two words or its
+    last two. So once those of one and two are counted, only such of three are made whose
+    pairs have what the last kept term has; all others, counted, would be left out.
+    """
+    order = [F.desc("raw_count"), F.desc("document_count"), F.asc("term")]
+    first = lambda rows: rows.where("_ok").orderBy(*order).limit(cap).select("term", "raw_count", "document_count").collect()
+    short = docs if high == 1 else docs.withColumn("tokens", ngrams(F.col("tokens"), 1, min(high, 2)))
+    counted = _counted(term_rows(short), docs, min_df, max_df)
+    if high < 3:
+        return [r.term for r in first(counted)]
+    counted = keep(counted.where(F.col("document_count") >= min_df), "counted")
+    top = first(counted)
+    raw, df = (top[-1].raw_count, top[-1].document_count) if len(top) == cap else (0, 0)
+    pairs = counted.where(F.col("term").contains("_") & ((F.col("raw_count") > raw) | (F.col("raw_count") == raw) & (F.col("document_count") >= df)))
+    pairs = [r.term for r in pairs.select("term").limit(MOST_PAIRS + 1).collect()]
+    if len(pairs) > MOST_PAIRS:
+        long = docs.withColumn("tokens", ngrams(F.col("tokens"), 3, 3))
+    else:
+        known = docs.withColumn("_p", F.transform(ngrams(F.col("tokens"), 2, 2), lambda p: among(p, pairs)))
+        of = lambda c, k, name: F.slice(c, k, F.greatest(F.size("tokens") - 2, F.lit(0))).alias(name)
+        places = F.arrays_zip(of("tokens", 1, "a"), of("tokens", 2, "b"), of("tokens", 3, "c"), of("_p", 1, "p"), of("_p", 2, "q"))
+        long = known.withColumn("tokens", F.transform(F.filter(places, lambda x: x["p"] & x["q"]), lambda x: F.concat_ws("_", x["a"], x["b"], x["c"])))
+    top += first(_counted(term_rows(long), docs, min_df, max_df))
+    return [r.term for r in sorted(top, key=lambda r: (-r.raw_count, -r.document_count, r.term.encode()))[:cap]]
+
+
+def kept_counts(docs: DataFrame, vocabulary: list[str], *carry: str) -> DataFrame:
+    """(doc_id, carry..., doc_len, _c): nested_counts() of the tokens in `vocabulary`, and how many they are."""
+    kept = F.filter("tokens", lambda t: among(t, vocabulary))
+    own = docs.select("doc_id", *carry, kept.alias("tokens")).withColumn("doc_len", F.size("tokens").cast("bigint"))
+    return nested_counts(own, "tokens", *carry, "doc_len").where("doc_len > 0")
+
+
+def tfidf_table(docs: DataFrame, vocabulary: list[str], by: Sequence[str] = (), only: Column | None = None) -> DataFrame:
     """(by..., term, tfidf_score, raw_count, document_count, document_frequency): the sum over
-    documents of tf / length times the idf within the group. n_docs: (by..., n_docs)."""
-    rows = terms if only is None else terms.where(only)
-    out = rows.groupBy(*by, "term").agg(F.sum(F.col("tf") / F.col("doc_len")).alias("_s"), F.sum("tf").alias("raw_count"), F.count("*").alias("document_count"))
-    out = out.join(F.broadcast(n_docs), list(by)) if by else out.crossJoin(F.broadcast(n_docs))
+    documents of tf / length times the idf within the group. `vocabulary` is capped: lengths are
+    taken and terms counted within a document's row, and what is shuffled are sums by group and
+    term. A null term stands for the document itself and counts them."""
+    rows = kept_counts(docs, vocabulary, *by)
+    each = F.concat(F.col("_c"), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf"))))
+    rows = unnested(rows, each, "x", *by, "doc_len").select(*by, "x.term", "x.tf", "doc_len")
+    out = keep(rows.groupBy(*by, "term").agg(F.sum(F.col("tf") / F.col("doc_len")).alias("_s"), F.sum("tf").alias("raw_count"), F.count("*").alias("document_count")), "sums")
+    n_docs = F.broadcast(out.where("term IS NULL").select(*by, F.col("document_count").alias("n_docs")))
+    out = out.where("term IS NOT NULL" if only is None else F.col("term").isNotNull() & only)
+    out = out.join(n_docs, list(by)) if by else out.crossJoin(n_docs)
     return out.select(*by, "term", (F.col("_s") * idf(F.col("n_docs"), F.col("document_count"))).alias("tfidf_score"), "raw_count", "document_count", (F.col("document_count") / F.col("n_docs")).alias("document_frequency"))
 
 
@@ -135,22 +198,17 @@ def top_terms(scores: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     return scores.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def tfidf_overall(docs: DataFrame, n: int = 100, phrases_only: bool = False, min_df: int = 5, max_df: float = 0.6, cap: int = 12000) -> DataFrame:
-    """The top terms over all documents of (doc_id, tokens)."""
-    terms = keep(term_rows(docs), "terms")
-    rows = doc_terms(terms, kept_terms(terms, docs, min_df, max_df, cap))
-    count = rows.groupBy("doc_id").agg(F.lit(1).alias("_d")).agg(F.count("*").alias("n_docs"))
-    return top_terms(tfidf_table(rows, count, only=F.col("term").contains("_") if phrases_only else None), n)
+def tfidf_overall(docs: DataFrame, n: int = 100, phrases_only: bool = False, high: int = 1, min_df: int = 5, max_df: float = 0.6, cap: int = 12000) -> DataFrame:
+    """The top terms over all documents of (doc_id, tokens), of n-grams of up to `high` tokens."""
+    kept = kept_list(docs, high, min_df, max_df, cap)
+    rows = docs if high == 1 else docs.withColumn("tokens", ngrams(F.col("tokens"), 1, high))
+    return top_terms(tfidf_table(rows, kept, only=F.col("term").contains("_") if phrases_only else None), n)
 
 
 def tfidf_by_group(docs: DataFrame, group: str, n: int = 25, min_df: int = 5, max_df: float = 0.6, cap: int = 12000) -> DataFrame:
-    """The top terms of each group, with the idf within the group. The groups, two short
-    columns, meet the kept terms by document, as these lie for their lengths."""
-    terms = keep(term_rows(docs), "terms")
-    groups = docs.where(F.col(group).isNotNull()).select("doc_id", group)
-    rows = doc_terms(terms, kept_terms(terms, docs, min_df, max_df, cap)).join(groups, "doc_id")
-    count = rows.groupBy(group, "doc_id").agg(F.lit(1).alias("_d")).groupBy(group).agg(F.count("*").alias("n_docs"))
-    return top_terms(tfidf_table(rows, count, [group]), n, [group])
+    """The top terms of each group, with the idf within the group."""
+    kept = kept_list(docs, 1, min_df, max_df, cap)
+    return top_terms(tfidf_table(docs.where(F.col(group).isNotNull()), kept, [group]), n, [group])
 
 
 def tfidf_macro(docs: DataFrame, group: str, n: int = 40) -> DataFrame:

@@ -55,3 +55,35 @@ def test_counts_of_places_are_made_once(spark, sf_dir):
     # Articles were joined four times, and counts made for the rows, the windows and their number.
     found = plan(catalog.queries()["place_subject_time"](spark, sf_dir))
     assert "/counts-" in found and "lineitem" not in found
+
+
+def themed(spark):
+    rng = np.random.default_rng(8)
+    docs = [(d, [f"w{int(x)}" for x in rng.zipf(1.6, 40) % 30], "ab"[d % 2]) for d in range(80)] + [(99, [], "a"), (None, ["w1"], "a"), (100, ["w1"], None)]
+    return spark.createDataFrame(docs, "doc_id long, tokens array<string>, g string")
+
+
+@pytest.mark.parametrize("cap", [3, 40, 12000])
+def test_kept_terms_of_three_words_by_their_pairs(spark, cap, monkeypatch):
+    docs = themed(spark)
+    whole = docs.withColumn("tokens", text.ngrams(F.col("tokens"), 1, 3))
+    want = [r.term for r in text.kept_terms(text.term_rows(whole), docs, cap=cap).collect()]
+    assert text.kept_list(docs, 3, cap=cap) == want
+    monkeypatch.setattr(text, "MOST_PAIRS", 1)
+    assert text.kept_list(docs, 3, cap=cap) == want
+
+
+@pytest.mark.parametrize("group", ["g"])
+def test_tfidf_is_counted_within_rows(spark, group):
+    docs = themed(spark)
+    table = text.tfidf_table(docs.where("g is not null"), text.kept_list(docs), [group])
+    # Lengths were sums over sorted rows of all terms, which met their groups by document.
+    found = plan(text.tfidf_by_group(docs, group))
+    assert "/sums-" in found and "doc_id" not in found
+    kept = set(text.kept_list(docs))
+    own = [(r.g, [t for t in r.tokens if t in kept]) for r in docs.collect() if r.doc_id is not None and r.g]
+    for r in table.collect():
+        texts = [t for g, t in own if g == r.g and t]
+        s, df = sum(t.count(r.term) / len(t) for t in texts), sum(r.term in t for t in texts)
+        assert (r.raw_count, r.document_count) == (sum(t.count(r.term) for t in texts), df)
+        assert r.tfidf_score == pytest.approx(s * (np.log((1 + len(texts)) / (1 + df)) + 1))
