@@ -39,7 +39,7 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
  CAST(len(string_split(text, chr(10))) AS INTEGER) AS page_markers, CAST(len(string_split(text, chr(10))) AS INTEGER) AS header_lines, CAST(len(string_split(text, chr(10))) - len(string_split(text, chr(10))) // 3 AS INTEGER) AS page_numbers, CASE WHEN len(string_split(text, chr(10))) >= 25 THEN 'many_headers_removed' ELSE '' END AS warnings FROM documents""",
 )
 def header_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans(spark, sf_dir).select("doc_id", clean.cleaned("text", "title").alias("c"))
+    found = clean.cleaned_rows(scans(spark, sf_dir), "text", "title")
     return found.select("doc_id", "c.text", "c.page_markers", "c.header_lines", "c.page_numbers", F.array_join("c.warnings", ";").alias("warnings"))
 
 

@@ -322,9 +322,9 @@ def normalize_for_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("normalize_unicode")
 def normalize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.functions.unicode import normalize_unicode as nfkc
+    from tessera.functions.unicode import normalized_rows
 
-    return table(spark, sf_dir, "documents").select("doc_id", nfkc("text").alias("norm"))
+    return normalized_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "norm")
 
 
 @register("place_normalize", "SELECT item_id, trim(regexp_replace(replace(lower(text), 'ü', 'u'), '[^a-z0-9]+', ' ', 'g'), ' ') AS norm FROM benchmark")

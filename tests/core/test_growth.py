@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import clean, unicode
 from tessera.operators import graph, text
 from tessera.plans import catalog
 
@@ -87,3 +88,25 @@ def test_tfidf_is_counted_within_rows(spark, group):
         s, df = sum(t.count(r.term) / len(t) for t in texts), sum(r.term in t for t in texts)
         assert (r.raw_count, r.document_count) == (sum(t.count(r.term) for t in texts), df)
         assert r.tfidf_score == pytest.approx(s * (np.log((1 + len(texts)) / (1 + df)) + 1))
+
+
+@pytest.mark.parametrize("name", ["header_cleaning"])
+def test_texts_are_worked_on_in_slices(spark, sf_dir, name):
+    # A pandas function held a whole batch of 10,000 texts, of any length, in several forms.
+    found = plan(catalog.queries()[name](spark, sf_dir))
+    assert "MapInArrow" in found and "ArrowEvalPython" not in found
+
+
+def test_slices_are_of_whole_rows_and_few_characters():
+    sizes = [0, 5, 900, 3, 3000, 1, 1, 0, 99, 450, 450, 450]
+    parts = [list(range(len(sizes)))[p] for p in unicode.slices(sizes, 1000)]
+    assert [k for p in parts for k in p] == list(range(len(sizes))) and max(sum(sizes[k] for k in p) for p in parts if len(p) > 1) < 2 * 1000 + 3000
+    assert list(unicode.slices([], 5)) == []
+
+
+def test_cleaned_rows_are_as_columns(spark):
+    frame = spark.createDataFrame([(1, "## p. 1 (#11) ####\n\nA HEADER 1\n\nBody of a text.\n" * 3, "A title"), (2, None, None), (3, "", "x")], "k long, text string, title string")
+    want = frame.select("k", clean.cleaned("text", "title").alias("c")).orderBy("k").collect()
+    assert clean.cleaned_rows(frame, "text", "title").orderBy("k").collect() == want
+    want = frame.select("k", "title", unicode.normalize_unicode("text").alias("n")).orderBy("k").collect()
+    assert unicode.normalized_rows(frame, "text", "n").orderBy("k").collect() == want
