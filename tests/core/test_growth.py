@@ -90,7 +90,7 @@ def test_tfidf_is_counted_within_rows(spark, group):
         assert r.tfidf_score == pytest.approx(s * (np.log((1 + len(texts)) / (1 + df)) + 1))
 
 
-@pytest.mark.parametrize("name", ["header_cleaning"])
+@pytest.mark.parametrize("name", ["header_cleaning", "normalize_unicode"])
 def test_texts_are_worked_on_in_slices(spark, sf_dir, name):
     # A pandas function held a whole batch of 10,000 texts, of any length, in several forms.
     found = plan(catalog.queries()[name](spark, sf_dir))
