@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.written import discard, keep
 
 def lda_topics(docs: DataFrame, k: int = 8, iterations: int = 10, words: int = 10, vocabulary: int = 12000, seed: int = 42) -> DataFrame:
     """(topic_id, rank, word, weight) of a model on (doc_id, tokens)."""
@@ -34,31 +35,45 @@ def nmf_topics(terms: DataFrame, vocabulary: list[str], k: int = 8, iterations:
     spark, rng = terms.sparkSession, np.random.default_rng(seed)
     index = {t: i for i, t in enumerate(vocabulary)}
     rows = terms.where(F.col("term").isin(*vocabulary)) if len(vocabulary) <= 1000 else terms.join(F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string")), "term", "left_semi")
-    rows = rows.groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("value").alias("values")).cache()
+    rows = rows.groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("value").alias("values"))
+
+    def number(frames):
+        for frame in frames:
+            yield pd.DataFrame({"ids": [np.array([index[t] for t in names], np.int32) for names in frame["terms"]], "values": frame["values"]})
+
+    # Written once as numbers: no iteration reads a word.
+    rows = keep(rows.mapInPandas(number, "ids array<int>, values array<double>"), "documents")
     topics = rng.random((k, len(vocabulary))) + 0.1
     for _ in range(iterations):
-        spread = spark.sparkContext.broadcast((index, topics))
+        spread = spark.sparkContext.broadcast(topics)
 
         def part(frames, spread=spread):
-            at, h = spread.value
+            h = spread.value
             gram = h @ h.T
             top, bottom = np.zeros_like(h), np.zeros((len(h), len(h)))
             for frame in frames:
-                for names, values in zip(frame["terms"], frame["values"]):
-                    ids, v = np.array([at[t] for t in names]), np.asarray(values)
-                    own = h[:, ids] @ v
-                    w = np.full(len(h), 1.0 / len(h))
-                    for _ in range(10):
-                        w = w * own / (gram @ w + 1e-9)
-                    top[:, ids] += np.outer(w, v)
-                    bottom += np.outer(w, w)
+                lengths = frame["ids"].map(len).to_numpy()
+                frame, lengths = frame[lengths > 0], lengths[lengths > 0]
+                if not len(frame):
+                    continue
+                # The documents' terms lie one after the other: weights of all are updated at once.
+                ids = np.concatenate(frame["ids"].tolist())
+                v = np.concatenate(frame["values"].tolist())
+                own = np.add.reduceat(h[:, ids] * v, np.cumsum(lengths) - lengths, axis=1).T
+                w = np.full(own.shape, 1.0 / len(h))
+                for _ in range(10):
+                    w = w * own / (w @ gram + 1e-9)
+                of = np.repeat(np.arange(len(lengths)), lengths)
+                for j in range(len(h)):
+                    top[j] += np.bincount(ids, weights=w[of, j] * v, minlength=h.shape[1])
+                bottom += w.T @ w
             yield pd.DataFrame({"top": [top.ravel()], "bottom": [bottom.ravel()]})
 
         sums = rows.mapInPandas(part, "top array<double>, bottom array<double>").rdd.map(lambda r: (np.array(r.top), np.array(r.bottom))).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
         top, bottom = sums[0].reshape(topics.shape), sums[1].reshape(k, k)
         topics = topics * top / (bottom @ topics + 1e-9)
     best = [(j, r + 1, vocabulary[i], float(topics[j, i])) for j in range(k) for r, i in enumerate(np.lexsort((np.arange(len(vocabulary)), -topics[j]))[:words])]
-    rows.unpersist()
+    discard(rows)
     return spark.createDataFrame(best, "topic_id int, rank int, word string, weight double")
 
 

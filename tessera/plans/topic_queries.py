@@ -229,10 +229,9 @@ def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("nmf_topics")
 def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenized(spark, sf_dir)
-    rows = keep(text.term_rows(docs), "terms")
-    kept = text.kept_terms(rows, docs)
-    terms = text.doc_terms(rows, kept).select("doc_id", "term", (F.col("tf") / F.col("doc_len")).alias("value"))
-    return models.nmf_topics(terms, sorted(r.term for r in kept.select("term").collect()))
+    kept = text.kept_list(docs)
+    rows = text.unnested(text.kept_counts(docs, kept), "_c", "x", "doc_id", "doc_len")
+    return models.nmf_topics(rows.select("doc_id", "x.term", (F.col("x.tf") / F.col("doc_len")).alias("value")), sorted(kept))
 
 
 @register("embedding_clusters")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import clean, unicode
-from tessera.operators import graph, text
+from tessera.operators import graph, models, text
 from tessera.plans import catalog
 
 
@@ -110,3 +110,13 @@ def test_cleaned_rows_are_as_columns(spark):
     assert clean.cleaned_rows(frame, "text", "title").orderBy("k").collect() == want
     want = frame.select("k", "title", unicode.normalize_unicode("text").alias("n")).orderBy("k").collect()
     assert unicode.normalized_rows(frame, "text", "n").orderBy("k").collect() == want
+
+
+def test_factorisation_reads_numbers_in_its_iterations(spark, monkeypatch):
+    # Each iteration sent every word of the cached documents through Python and looked it up there.
+    read, keep = [], models.keep
+    monkeypatch.setattr(models, "keep", lambda df, label: read.append(df.dtypes) or keep(df, label))
+    rows = [(d, t, 0.5) for d in range(6) for t in ("ab" if d % 2 else "cd")]
+    found = models.nmf_topics(spark.createDataFrame(rows, "doc_id long, term string, value double"), list("abcd"), k=2, iterations=30, words=2).collect()
+    assert read == [[("ids", "array<int>"), ("values", "array<double>")]]
+    assert sorted("".join(sorted(r.word for r in found if r.topic_id == k)) for k in (0, 1)) == ["ab", "cd"]
