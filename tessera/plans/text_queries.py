@@ -119,7 +119,9 @@ SELECT doc_id, term, round(tf / doc_len * ({IDF}), 6) AS tfidf FROM t JOIN d USI
 )
 def tfidf_doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenized(spark, sf_dir)
-    terms = keep(text.doc_terms(text.term_rows(docs)), "vectors")
+    # A document's length is that of its row's tokens: no window over documents.
+    rows = text.nested_counts(docs.withColumn("doc_len", F.size("tokens").cast("bigint")), "tokens", "doc_len")
+    terms = keep(text.unnested(rows, "_c", "x", "doc_id", "doc_len").select("doc_id", "x.term", "x.tf", "doc_len"), "vectors")
     count = docs.agg(F.count("*").alias("n_docs"))
     df = terms.groupBy("term").agg(F.count("*").alias("document_count"))
     out = terms.join(df, "term").crossJoin(F.broadcast(count))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import clean, unicode
 from tessera.operators import graph, models, text
-from tessera.plans import catalog
+from tessera.plans import catalog, text_queries
 
 
 def plan(df):
@@ -120,3 +120,11 @@ def test_factorisation_reads_numbers_in_its_iterations(spark, monkeypatch):
     found = models.nmf_topics(spark.createDataFrame(rows, "doc_id long, term string, value double"), list("abcd"), k=2, iterations=30, words=2).collect()
     assert read == [[("ids", "array<int>"), ("values", "array<double>")]]
     assert sorted("".join(sorted(r.word for r in found if r.topic_id == k)) for k in (0, 1)) == ["ab", "cd"]
+
+
+def test_document_lengths_need_no_window(spark, sf_dir, monkeypatch):
+    # All terms were shuffled and sorted by document for its length.
+    made, keep = [], text_queries.keep
+    monkeypatch.setattr(text_queries, "keep", lambda df, label: made.append(plan(df)) or keep(df, label))
+    text_queries.tfidf_doc_vectors(spark, sf_dir)
+    assert made and "Window" not in made[0] and "Exchange" not in made[0]
